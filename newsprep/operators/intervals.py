@@ -29,7 +29,7 @@ def split_span(span: DataFrame, n: int) -> DataFrame:
     # The first microsecond t of interval i is the smallest with (t - lo) * n >= i * (hi - lo).
     edge = "timestamp_micros(unix_micros(lo) + ({i} * (unix_micros(hi) - unix_micros(lo)) + {n} - 1) div {n})"
     return (
-        span.withColumn("interval", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
+        span.withColumn("interval", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
         .withColumn("interval_start", F.expr(edge.format(i="interval", n=n)))
         .withColumn("interval_end", F.expr(edge.format(i="(interval + 1)", n=n)))
         .drop("lo", "hi")

@@ -1 +1,82 @@
-"""."""
+"""The news stream into a collection, replay, and batch against stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsprep.session import work_dir
+from newsprep.sources import ensure_collection, landing_batch, read_collection
+from newsprep.streaming import ingest_frames, news_stream
+
+from .common import chunks_sql, latest_sql, query
+from .ingest import GOOD_SQL, REASON_SQL, frames
+from .common import NEWS_SQL
+
+DIM, WORDS = 128, 64
+POINTS_SQL = f"WITH {GOOD_SQL}, {chunks_sql(WORDS)}, {latest_sql()} SELECT chunk_id, id AS article_id, part, pos FROM points"
+
+
+def _landed(spark, sf_dir):
+    src = work_dir(spark, "landing")
+    frames(spark, sf_dir).write.text(src)
+    return src
+
+
+def _points(spark, dst):
+    return read_collection(spark, dst).select(
+        "chunk_id", "article_id", F.col("part").cast("bigint").alias("part"), F.col("pos").cast("bigint").alias("pos")
+    )
+
+
+def _stream(spark, src, dst, run_id, **options):
+    news_stream(
+        spark, src, dst, work_dir(spark, "state"), run_id, dim=DIM, max_tokens=WORDS, **options
+    ).awaitTermination()
+
+
+@query("stm1_news_stream", POINTS_SQL)
+def stream(spark, sf_dir):
+    """Landing folder to collection in micro-batches of four files."""
+    src, dst = _landed(spark, sf_dir), work_dir(spark, "collection")
+    _stream(spark, src, dst, "live", max_files=4)
+    return _points(spark, dst)
+
+
+@query("stm2_same_graph_batch", POINTS_SQL)
+def batch(spark, sf_dir):
+    """The same graph over the same frames as one table."""
+    src, dst = _landed(spark, sf_dir), work_dir(spark, "collection")
+    ensure_collection(spark, dst, DIM)
+    ingest_frames(landing_batch(spark, src), dst, "backfill", 0, dim=DIM, max_tokens=WORDS)
+    return _points(spark, dst)
+
+
+@query("stm3_replay", POINTS_SQL)
+def replay(spark, sf_dir):
+    """A second stream over the same folder under the same run replaces what the first wrote."""
+    src, dst = _landed(spark, sf_dir), work_dir(spark, "collection")
+    _stream(spark, src, dst, "live")
+    _stream(spark, src, dst, "live")
+    return _points(spark, dst)
+
+
+@query("stm4_debug_tap", f"""WITH {NEWS_SQL}
+SELECT (SELECT count(*) FROM news) + (SELECT count(*) FROM news WHERE id % 100 = 0) + (SELECT count(*) FROM news WHERE id % 97 = 0) AS messages,
+       (SELECT count(*) FROM news WHERE ({REASON_SQL}) IS NULL) AS articles""")
+def tap(spark, sf_dir):
+    """Counts reported by the batches of a stream."""
+    src, dst, seen = _landed(spark, sf_dir), work_dir(spark, "collection"), []
+    _stream(spark, src, dst, "live", tap=lambda batch_id, counts: seen.append(counts))
+    totals = [sum(c[name] for c in seen) for name in ("messages", "articles")]
+    return spark.range(1).select(F.lit(totals[0]).cast("bigint").alias("messages"), F.lit(totals[1]).cast("bigint").alias("articles"))
+
+
+@query("stm5_message_rejects", f"""WITH {NEWS_SQL}
+SELECT reason, count(*) AS n FROM (
+  SELECT {REASON_SQL} AS reason FROM news UNION ALL SELECT 'invalid json' FROM news WHERE id % 97 = 0)
+WHERE reason IS NOT NULL GROUP BY reason""")
+def rejects(spark, sf_dir):
+    """Bad messages end in a table beside the collection."""
+    src, dst = _landed(spark, sf_dir), work_dir(spark, "collection")
+    _stream(spark, src, dst, "live")
+    return spark.read.parquet(f"{dst}/message_rejects").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
