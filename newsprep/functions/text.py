@@ -83,6 +83,13 @@ def clean_fields(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.withColumns({name: clean_sample(name) for name in cols})
 
 
+def single_spaced(c: Column | str) -> Column:
+    """The words of a text with one space between them."""
+    spaced = F.translate(as_column(c), WHITE, " " * len(WHITE))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
+
+
 def words(c: Column | str) -> Column:
     """The words of a text; empty text has none."""
-    return F.array_remove(F.split(F.translate(as_column(c), WHITE, " " * len(WHITE)), " +"), "")
+    spaced = F.translate(as_column(c), WHITE, " " * len(WHITE))
+    return F.array_remove(F.split(spaced, " +"), "")

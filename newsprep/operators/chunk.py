@@ -9,21 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsprep.functions.text import as_column, bind, words
+from newsprep.functions.text import as_column, single_spaced, words
 from newsprep.functions.tokens import MakeCount
 
 
 def word_chunks(c: Column | str, max_tokens: int) -> Column:
-    """Chunks of at most ``max_tokens`` words; empty text has none."""
+    """Chunks of at most ``max_tokens`` words; empty text has none.
 
-    def cuts(parts: Column) -> Column:
-        count = F.ceil(F.size(parts) / F.lit(max_tokens)).cast("int")
-        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            starts, lambda i: F.array_join(F.slice(parts, i * max_tokens + 1, max_tokens), " ")
-        )
-
-    return bind(words(c), cuts)
+    One pass of a pattern over the text: cutting an array of words chunk by chunk would copy the
+    array each time. Possessive quantifiers keep the match free of recursion.
+    """
+    run = f"(?:[^ ]++ ){{0,{max_tokens - 1}}}+[^ ]++"
+    return F.regexp_extract_all(single_spaced(c), F.lit(run), F.lit(0))
 
 
 def _pieces(word: str, size: int, budget: int) -> list[str]:
@@ -70,7 +67,9 @@ def token_chunks(c: Column | str, max_tokens: int, make_count: MakeCount) -> Col
 def chunk(df: DataFrame, max_tokens: int, make_count: MakeCount | None = None, text: str = "text") -> DataFrame:
     """STR-13, ARR-1: the parts of ``text`` (an array) to one row per chunk, with ``part`` and ``pos``."""
     others = [c for c in df.columns if c != text]
-    parts = df.select(*others, F.posexplode(text).alias("part", "_part_text"))
+    # The outer form keeps the optimizer from testing the array's size below the explode, which
+    # would clean every text a second time.
+    parts = df.select(*others, F.posexplode_outer(text).alias("part", "_part_text")).where("part is not null")
     if make_count is None:
         return parts.select(
             *others, "part", F.posexplode(word_chunks("_part_text", max_tokens)).alias("pos", "chunk"),

@@ -15,10 +15,16 @@ REQUIRED = ("id", "headline", "summary", "author", "created_at", "updated_at", "
 
 
 def explode_messages(df: DataFrame, value: str = "value") -> DataFrame:
-    """PRJ-1, JSN-1: one row per message of a frame. An unreadable frame gives one row, an empty one none."""
+    """PRJ-1, JSN-1: one row per message of a frame. An unreadable frame gives one row, an empty one none.
+
+    The frame's text is replaced by ``raw``, which is kept for unreadable frames only, so that a
+    frame is not copied to each of its messages.
+    """
+    others = [c for c in df.columns if c != value]
     frames = df.withColumn("_messages", F.from_json(value, T.ArrayType(MESSAGE_SCHEMA)))
-    frames = frames.where(F.col("_messages").isNull() | (F.size("_messages") > 0))
-    return frames.withColumn("message", F.explode_outer("_messages")).drop("_messages")
+    frames = frames.select(*others, "_messages", F.when(F.col("_messages").isNull(), F.col(value)).alias("raw"))
+    exploded = frames.select(*others, "raw", F.explode_outer("_messages").alias("message"))
+    return exploded.where(F.col("message").isNotNull() | F.col("raw").isNotNull())
 
 
 def reject_reason(m: str = "message") -> Column:
@@ -61,7 +67,7 @@ def good_rows(validated: DataFrame) -> DataFrame:
 
 def reject_rows(validated: DataFrame) -> DataFrame:
     """What was refused, with the raw text it came from."""
-    raw = F.coalesce(F.to_json("message"), F.col("value"))
+    raw = F.coalesce(F.to_json("message"), "raw")
     return validated.where(F.col("reason").isNotNull()).select("reason", raw.alias("raw"))
 
 

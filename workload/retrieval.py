@@ -10,7 +10,7 @@ from newsprep import operators as op
 from newsprep import plans
 from newsprep.functions.prompts import ABOUT, CLOSE, HISTORY, INSTRUCTION, NEWS, OPEN, QUESTION
 from newsprep.operators.history import AI, HUMAN
-from newsprep.session import work_dir
+from newsprep.session import materialize, work_dir
 from newsprep.sources import (
     append_log, compact, ensure_collection, prompt_log, read_collection, read_rejects, upsert, write_answers,
 )
@@ -113,7 +113,8 @@ def questions(spark, sf_dir):
 
 
 def points(spark, sf_dir):
-    return plans.news_points(news(spark, sf_dir), dim=DIM, max_tokens=WORDS)
+    """Checkpointed, because a search reads its points twice: vectors to score, payloads of the matches."""
+    return materialize(plans.news_points(news(spark, sf_dir), dim=DIM, max_tokens=WORDS))
 
 
 @query("top1_sparse_top_k", f"WITH {sparse_sql(3)} SELECT query_id, chunk_id, score, rank FROM matches")

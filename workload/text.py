@@ -142,7 +142,7 @@ SELECT doc_id, {sql_bucket('w', 384)} AS bucket, count(*) AS n
 FROM (SELECT doc_id, unnest({sql_words('text')}) AS w FROM documents) GROUP BY ALL""")
 def hash_encoder(spark, sf_dir):
     vectors = op.hash_encode(table(spark, sf_dir, "documents"), 384, "text")
-    return vectors.select("doc_id", F.posexplode("vector").alias("bucket", "n")).where("n > 0").select(
+    return vectors.select("doc_id", F.posexplode_outer("vector").alias("bucket", "n")).where("n > 0").select(
         "doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.col("n").cast("bigint").alias("n")
     )
 
