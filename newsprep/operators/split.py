@@ -25,7 +25,9 @@ def split_first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataF
     if n <= TOP_N_ROWS:
         key = F.struct(*order_by)
         last = df.select(*order_by).orderBy(*order_by).limit(n).agg(F.max(key)).scalar()
-        return df.where(key <= last), df.where(key > last)
+        # No n-th key (n is 0) leaves every row in the second part.
+        first = F.coalesce(key <= last, F.lit(False))
+        return df.where(first), df.where(~first)
     placed = running_total(df, order_by, F.lit(1), "_position")
     return (
         placed.where(F.col("_position") < n).drop("_position"),
