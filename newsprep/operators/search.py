@@ -69,6 +69,22 @@ def _best(query: np.ndarray, score: np.ndarray, point: np.ndarray, k: int):
     return query[keep], score[keep], point[keep]
 
 
+def _candidates(block: np.ndarray, bar: np.ndarray, k: int) -> np.ndarray:
+    """Which scores of a block may be among the best ``k``; rows are in id order.
+
+    Many equal scores are no reason to keep more than ``k``: of those at the bar the first rows,
+    that is the smallest ids, are enough.
+    """
+    rows, columns = block.shape
+    chosen = block >= bar
+    if rows <= k or np.count_nonzero(chosen) <= 2 * k * columns:
+        return chosen
+    bar = np.maximum(bar, np.partition(block, rows - k, axis=0)[rows - k])
+    above, level = block > bar, block == bar
+    room = k - np.count_nonzero(above, axis=0)
+    return above | (level & (np.cumsum(level, axis=0, dtype=np.int32) <= room))
+
+
 def top_k(blocks: Iterable[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, k: int):
     """Best ``k`` points of each query over a stream of ``(ids, vectors)`` blocks.
 
@@ -80,13 +96,12 @@ def top_k(blocks: Iterable[tuple[np.ndarray, np.ndarray]], queries: np.ndarray,
     for ids, vectors in blocks:
         if len(ids) == 0:
             continue
+        order = np.argsort(_sortable(ids), kind="stable")
+        ids, vectors = ids[order], vectors[order]
         for start in range(0, len(queries), _SCORE_COLUMNS):
             stop = min(start + _SCORE_COLUMNS, len(queries))
             block = scores(vectors, queries[start:stop])
-            bar = floor[start:stop]
-            if len(ids) > k and np.isneginf(bar).any():
-                bar = np.maximum(bar, np.partition(block, len(ids) - k, axis=0)[len(ids) - k])
-            row, col = np.nonzero(block >= bar)
+            row, col = np.nonzero(_candidates(block, floor[start:stop], k))
             if len(row) == 0:
                 continue
             found = (col + start, block[row, col], ids[row])
