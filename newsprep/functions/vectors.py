@@ -34,8 +34,14 @@ def word_buckets(c: Column | str, dim: int) -> Column:
     return F.transform(words(c), lambda w: hash_bucket(w, dim).cast("int"))
 
 
+#: Counters held at once while a batch is encoded.
+_COUNTERS = 1 << 22
+
+
 def _counter(dim: int):
-    def count(buckets: pa.Array) -> pa.Array:
+    rows_at_once = max(1, _COUNTERS // dim)
+
+    def count_slice(buckets: pa.Array) -> pa.Array:
         rows = len(buckets)
         lengths = buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(rows, dtype=np.int64), lengths)
@@ -44,6 +50,10 @@ def _counter(dim: int):
         offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts))
 
+    def count(buckets: pa.Array) -> pa.Array:
+        starts = range(0, max(len(buckets), 1), rows_at_once)
+        return pa.concat_arrays([count_slice(buckets.slice(i, rows_at_once)) for i in starts])
+
     return F.arrow_udf(count, VECTOR)
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import importlib
+import io
 import os
 import tempfile
 import uuid
 import zipfile
+from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, set[str]] = {}
@@ -63,18 +66,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession, *packages: str) -> None:
-    """Send the packages' source to the Python workers, as ``--py-files`` would."""
+    """Send the packages' source to the Python workers, as ``--py-files`` would, by way of the shared folder."""
     shipped = _SHIPPED.setdefault(spark.sparkContext.applicationId, set())
     for name in packages:
         if name in shipped:
             continue
-        folder = os.path.dirname(os.path.abspath(importlib.import_module(name).__file__))
-        target = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}.zip")
-        with zipfile.ZipFile(target, "w") as archive:
-            for root, _, files in os.walk(folder):
-                for file in files:
-                    if file.endswith(".py"):
-                        path = os.path.join(root, file)
-                        archive.write(path, os.path.relpath(path, os.path.dirname(folder)))
+        folder = Path(importlib.import_module(name).__file__).resolve().parent
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as archive:
+            for source in sorted(folder.rglob("*.py")):
+                archive.write(source, source.relative_to(folder.parent))
+        target = f"{work_dir(spark, 'ship')}/{name}.zip"
+        system, path = fs.FileSystem.from_uri(target)
+        system.create_dir(os.path.dirname(path))
+        with system.open_output_stream(path) as out:
+            out.write(packed.getvalue())
         spark.sparkContext.addPyFile(target)
         shipped.add(name)
