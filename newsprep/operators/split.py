@@ -19,20 +19,18 @@ _SLOTS = 10_000
 def split_first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The first ``n`` rows in the order ``order_by``, which is unique and not null, and the rest.
 
-    A small ``n`` needs no shuffle of the table: the key of the n-th row is found as a top-n and
-    compared with every row. A large ``n`` uses the two-pass position.
+    Only keys are ordered: the key of the n-th row is found, by a top-n or, for a large ``n``, by
+    the two-pass position, and every row is compared with it where it is read.
     """
+    keys = df.select(*order_by)
     if n <= TOP_N_ROWS:
-        key = F.struct(*order_by)
-        last = df.select(*order_by).orderBy(*order_by).limit(n).agg(F.max(key)).scalar()
-        # No n-th key (n is 0) leaves every row in the second part.
-        first = F.coalesce(key <= last, F.lit(False))
-        return df.where(first), df.where(~first)
-    placed = running_total(df, order_by, F.lit(1), "_position")
-    return (
-        placed.where(F.col("_position") < n).drop("_position"),
-        placed.where(F.col("_position") >= n).drop("_position"),
-    )
+        head = keys.orderBy(*order_by).limit(n)
+    else:
+        head = running_total(keys, order_by, F.lit(1), "_position").where(F.col("_position") < n)
+    key = F.struct(*order_by)
+    # No n-th key (n is 0) leaves every row in the second part.
+    first = F.coalesce(key <= head.agg(F.max(key)).scalar(), F.lit(False))
+    return df.where(first), df.where(~first)
 
 
 def split_by_hash(df: DataFrame, key: str, fraction: float) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, set[str]] = {}
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -28,17 +29,18 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may run without the setting; it then gets a folder of its own,
-    recorded in the session so that later calls agree.
+    Only a local master may run without the setting; it then gets one folder of its own per
+    application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="newsprep-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="newsprep-")
+    return _LOCAL_ROOTS[application]
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

@@ -82,6 +82,14 @@ def test_equal_parts_give_equal_chunks(spark):
     assert points.count() == 3 and points.select("chunk_id").distinct().count() == 1
 
 
+def test_each_text_is_cleaned_once(spark, plan, tmp_path):
+    """No copy of the cleaning is pushed below the explode or into the scan."""
+    good, _ = op.parse_messages(frames(spark, [GOOD]))
+    good.write.parquet(f"{tmp_path}/news")
+    chunks = op.to_points(op.chunk(op.to_documents(spark.read.parquet(f"{tmp_path}/news")), 4))
+    assert plan(chunks).count("<script") == 1 and "PushedFilters: []" in plan(chunks)
+
+
 def make_letters():
     return lambda words: [len(w) for w in words]
 
