@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from newsprep.functions.tokens import MakeCount, count_tokens
+
 
 def perplexity(df: DataFrame, nll_col: str, by: Sequence[str] = ()) -> DataFrame:
     """AGG-2: ``exp`` of the mean negative log likelihood, overall or by group."""
@@ -24,18 +26,30 @@ def sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def usage_columns(prompt: str = "prompt", output: str = "answer") -> dict[str, Column]:
-    """AGG-4: lengths in characters, which is what they are named after."""
-    asked, new = F.length(prompt).cast("bigint"), F.coalesce(F.length(output), F.lit(0)).cast("bigint")
-    return {"prompt_chars": asked, "total_chars": asked + new, "actual_new_chars": new}
+def usage_columns(
+    prompt: str = "prompt", output: str = "answer", make_count: MakeCount | None = None
+) -> dict[str, Column]:
+    """AGG-4: lengths in characters, named so; with a tokenizer, counts of tokens as well."""
+
+    def sizes_of(unit: str, asked: Column, new: Column) -> dict[str, Column]:
+        return {f"prompt_{unit}": asked, f"total_{unit}": asked + new, f"actual_new_{unit}": new}
+
+    def chars(name: str) -> Column:
+        return F.coalesce(F.length(name), F.lit(0)).cast("bigint")
+
+    columns = sizes_of("chars", chars(prompt), chars(output))
+    if make_count is not None:
+        columns |= sizes_of("tokens", count_tokens(prompt, make_count), count_tokens(output, make_count))
+    return columns
 
 
 def usage(log: DataFrame, by: Sequence[str] = ("project", "model")) -> DataFrame:
-    """AGG-4: totals over a prompt log."""
-    return log.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("calls"),
-        *[F.sum(c).alias(c) for c in ("prompt_chars", "total_chars", "actual_new_chars")],
-    )
+    """AGG-4: totals over a prompt log, in every unit the log has."""
+    measured = [
+        f"{what}_{unit}" for unit in ("chars", "tokens") for what in ("prompt", "total", "actual_new")
+        if f"{what}_{unit}" in log.columns
+    ]
+    return log.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), *[F.sum(c).alias(c) for c in measured])
 
 
 def loggable(df: DataFrame, metadata: str = "metadata", log_prompt: bool = True) -> DataFrame:

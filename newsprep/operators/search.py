@@ -133,6 +133,9 @@ def _rows(query_ids: np.ndarray, found, types: list[pa.DataType]) -> list[pa.Arr
 
 def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
     known = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}
+    for name in ("query_id", "chunk_id"):
+        if schema[name].dataType not in known:
+            raise TypeError(f"{name} must be a string or an integer, not {schema[name].dataType.simpleString()}")
     return [known[schema[name].dataType] for name in ("query_id", "chunk_id")]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsprep.functions.tokens import MakeCount
 from newsprep.operators.evaluate import usage_columns
 from newsprep.operators.qa import to_samples
 from newsprep.schemas import LOG_FIELDS, QA_SCHEMA
@@ -36,15 +37,19 @@ def write_answers(df: DataFrame, path: str) -> None:
 
 def prompt_log(
     df: DataFrame, project: str, model: str | None = None, peft_model: str | None = None,
-    variables: str = "payload", output: str = "answer",
+    variables: str = "payload", output: str = "answer", make_count: MakeCount | None = None,
 ) -> DataFrame:
-    """SNK-4: log rows of generated answers; failed calls have no output and are left out."""
+    """SNK-4: log rows of generated answers; failed calls have no output and are left out.
+
+    With a tokenizer the log also counts tokens.
+    """
     columns = {
         "project": F.lit(project), "output": F.col(output), "variables": F.col(variables),
         "model": F.lit(model).cast("string"), "peft_model": F.lit(peft_model).cast("string"),
-        **usage_columns(output=output),
+        **usage_columns(output=output, make_count=make_count),
     }
-    return df.where(F.col(output).isNotNull()).withColumns(columns).select(*LOG_FIELDS)
+    fields = [*LOG_FIELDS, *(name for name in columns if name.endswith("_tokens"))]
+    return df.where(F.col(output).isNotNull()).withColumns(columns).select(*fields)
 
 
 def append_log(log: DataFrame, path: str) -> None:

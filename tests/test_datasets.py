@@ -146,6 +146,18 @@ def test_log_and_usage(spark, tmp_path):
     assert spark.read.schema("prompt string, answer string").json(f"{tmp_path}/answers").count() == 2
 
 
+def make_words():
+    return lambda texts: [len(t.split()) for t in texts]
+
+
+def test_log_counts_tokens_with_a_tokenizer(spark):
+    df = spark.createDataFrame([("a b c", "x")], "prompt string, k string").withColumn("payload", F.struct("k"))
+    log = prompt_log(op.generate(df, make_model), "demo", make_count=make_words)
+    row = log.first()
+    assert (row["prompt_tokens"], row["total_tokens"], row["actual_new_tokens"], row["prompt_chars"]) == (3, 4, 1, 5)
+    assert op.usage(log).first()["total_tokens"] == 4
+
+
 def test_loggable(spark):
     df = spark.createDataFrame([(1, "m"), (2, None)], "id int, metadata string")
     assert [r["id"] for r in op.loggable(df).collect()] == [1] and op.loggable(df, log_prompt=False).count() == 0
