@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsprep.llm import mixing, sharding
+from newsprep.llm import langid, mixing, neardup, sharding
 from newsprep.llm import decontaminate as leak
 from newsprep.llm.common import written
 from newsprep.session import configure, ship
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of no language: null text, or not one letter."""
+    ship(configure(spark), "newsprep")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, model, into="_language").where("_language.lang_pred <> 'und'").select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    ship(configure(spark), "newsprep")
+    return neardup.without_near_duplicates(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     ship(configure(spark), "newsprep")
@@ -29,7 +43,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
-STAGES = [("benchmark decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
+STAGES = [
+    ("language ID", language), ("near duplicates", near_duplicates), ("benchmark decontamination", decontaminate), ("mixing", mix), ("sharding", shard),
+]
 #: Language ID has no SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsprep.session import configure, ship
 
 from . import decontaminate as leak
-from . import mixing, sharding, topk
+from . import langid, licenses, mixing, neardup, sharding, surrogates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,54 @@ SELECT doc_id, size, shard, n - min(n) OVER (PARTITION BY shard) AS slot, 'bytes
 @query("op8_sharding")
 def op8(table) -> DataFrame:
     return sharding.shard(table("documents"))
+
+
+@query("op1_language_id")
+def op1(table) -> DataFrame:
+    docs = table("documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
+
+
+@query("op3_license_scan")
+def op3(table) -> DataFrame:
+    found = licenses.scan_licenses(table("documents").select("doc_id", "text"))
+    return found.select("doc_id", "licenses.*")
+
+
+#: The secret of the registered query; a user passes their own.
+SECRET = b"public test secret"
+
+
+@query("op10_surrogates")
+def op10(table) -> DataFrame:
+    found = surrogates.with_surrogates(table("documents").select("doc_id", "text"), SECRET)
+    return found.select(
+        "doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds"),
+        F.transform("entities", lambda e: F.struct(e.kind.alias("kind"), e.surrogate.alias("surrogate"), e.start.alias("start"))).alias("entities"),
+    )
+
+
+#: All columns but the component, which needs recursion over links; the tests close it over.
+LINKS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)"""
+_CLOSED = "WITH RECURSIVE l AS (" + LINKS_SQL + r"""),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+@query("op9_near_duplicates", _CLOSED)
+def op9(table) -> DataFrame:
+    return neardup.near_duplicates(table("documents"))
