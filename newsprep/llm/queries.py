@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsprep.session import configure, ship
 
 from . import decontaminate as leak
-from . import langid, licenses, mixing, neardup, sharding, surrogates, topk
+from . import extract, langid, licenses, mixing, neardup, sharding, surrogates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,8 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
 @query("op9_near_duplicates", _CLOSED)
 def op9(table) -> DataFrame:
     return neardup.near_duplicates(table("documents"))
+
+
+@query("op2_main_text")
+def op2(table) -> DataFrame:
+    return extract.extract(table("pages"))
