@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsprep.session import configure, ship
 
 from . import decontaminate as leak
-from . import extract, langid, licenses, mixing, neardup, sharding, surrogates, topk
+from . import extract, langid, licenses, mixing, neardup, sharding, suffixes, surrogates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,9 @@ def op9(table) -> DataFrame:
 @query("op2_main_text")
 def op2(table) -> DataFrame:
     return extract.extract(table("pages"))
+
+
+@query("op5_suffix_dedup")
+def op5(table) -> DataFrame:
+    found = suffixes.remove_repeats(table("documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
