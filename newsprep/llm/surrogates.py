@@ -79,7 +79,7 @@ def _shaped(text: str, kind: str, secret: bytes, fixed: Callable[[int, str], boo
 
 
 def _luhn(digits: str) -> int:
-    return sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10
 
 
 def surrogate(kind: str, text: str, secret: bytes) -> str:
