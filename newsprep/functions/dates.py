@@ -9,6 +9,8 @@ from .text import as_column
 
 # day/month/year, and the stamp of request parameters.
 DAY_FORMAT = "d/M/yyyy"
+# Fixed value: the shape of an RFC 3339 stamp.
+RFC_3339 = "^\\d{4}-\\d{2}-\\d{2}[Tt ]\\d{2}:\\d{2}:\\d{2}(?:\\.\\d+)?(?:[Zz]|[+-]\\d{2}:\\d{2})$"
 ISO_Z_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -18,7 +20,7 @@ def parse_day(c: Column | str, strict: bool = False) -> Column:
     day = F.try_to_date(text, DAY_FORMAT)
     if not strict:
         return day
-    message = F.concat(F.coalesce(text, F.lit("null")), F.lit(" should be in format dd/mm/yyyy"))
+    message = F.concat(F.coalesce(text, F.lit("null")), F.lit(" is not a day/month/year date"))
     return F.when(day.isNull(), F.raise_error(message).cast("date")).otherwise(day)
 
 
@@ -28,5 +30,6 @@ def iso_z(c: Column | str) -> Column:
 
 
 def parse_rfc3339(c: Column | str) -> Column:
-    """DT-3: RFC 3339 to a timestamp; null when it does not parse."""
-    return F.try_to_timestamp(as_column(c))
+    """DT-3: RFC 3339 to a timestamp; null when it is anything else, a date or a time alone included."""
+    text = as_column(c)
+    return F.when(F.rlike(text, F.lit(RFC_3339)), F.try_to_timestamp(text))

@@ -62,7 +62,7 @@ def clean_ascii(c: Column | str) -> Column:
     return strip_non_ascii(replace_quotes(clean(c)))
 
 
-def clean_question(c: Column | str, max_chars: int | None = 384) -> Column:
+def clean_question(c: Column | str, max_chars: int | None = None) -> Column:
     """STR-7, then STR-8 when ``max_chars`` is given."""
     cleaned = clean_ascii(c)
     return cleaned if max_chars is None else cut(cleaned, max_chars)

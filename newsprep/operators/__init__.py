@@ -2,7 +2,7 @@
 
 from .chunk import chunk, token_chunks, word_chunks
 from .context import context
-from .documents import payload, to_documents, to_points, zip_points
+from .documents import payload, to_documents, to_points, unequal, zip_points
 from .encode import embed, hash_encode, split_failures
 from .evaluate import count_rows, loggable, perplexity, sizes, usage, usage_columns
 from .generate import generate, label
@@ -27,5 +27,5 @@ __all__ = [
     "split_failures", "split_first_n", "split_question", "split_span", "spread_by_symbol",
     "teacher_prompt", "to_documents", "to_points", "to_samples", "token_chunks",
     "training_prompt", "usage", "usage_columns", "validate", "with_payload", "word_chunks",
-    "zip_points",
+    "unequal", "zip_points",
 ]

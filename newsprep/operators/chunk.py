@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,13 +23,20 @@ def word_chunks(c: Column | str, max_tokens: int) -> Column:
     return F.regexp_extract_all(single_spaced(c), F.lit(run), F.lit(0))
 
 
-def _pieces(word: str, size: int, budget: int) -> list[str]:
-    """A word over the budget in equal cuts of characters, as many as its size asks for."""
-    step = max(1, len(word) * budget // size)
-    return [word[i:i + step] for i in range(0, len(word), step)]
+def _pieces(word: str, size: int, budget: int, count: Callable[[list[str]], list[int]]) -> list[str]:
+    """A word over the budget in cuts of characters; a piece that is still over it is cut again.
+
+    One character alone stays whole whatever it costs.
+    """
+    step = max(1, min(len(word) - 1, len(word) * budget // size))
+    pieces = [word[i:i + step] for i in range(0, len(word), step)]
+    return [
+        part for piece, n in zip(pieces, count(pieces), strict=True)
+        for part in (_pieces(piece, n, budget, count) if n > budget and len(piece) > 1 else [piece])
+    ]
 
 
-def _fill(parts: list[str], sizes: list[int], budget: int) -> list[dict]:
+def _fill(parts: list[str], sizes: list[int], budget: int, count: Callable[[list[str]], list[int]]) -> list[dict]:
     """Greedy fill: a chunk takes words until the next one would pass the budget."""
     chunks, held, total = [], [], 0
     for word, size in zip(parts, sizes):
@@ -37,7 +44,7 @@ def _fill(parts: list[str], sizes: list[int], budget: int) -> list[dict]:
             chunks.append({"chunk": " ".join(held), "hard_split": False})
             held, total = [], 0
         if size > budget:
-            chunks += [{"chunk": p, "hard_split": True} for p in _pieces(word, size, budget)]
+            chunks += [{"chunk": p, "hard_split": True} for p in _pieces(word, size, budget, count)]
         else:
             held.append(word)
             total += size
@@ -57,7 +64,7 @@ def token_chunks(c: Column | str, max_tokens: int, make_count: MakeCount) -> Col
             rows = [parts or [] for parts in texts.to_pylist()]
             sizes = iter(count([word for parts in rows for word in parts]))
             yield pa.array(
-                [_fill(parts, [next(sizes) for _ in parts], max_tokens) for parts in rows], arrow_item
+                [_fill(parts, [next(sizes) for _ in parts], max_tokens, count) for parts in rows], arrow_item
             )
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

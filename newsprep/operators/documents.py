@@ -41,12 +41,19 @@ def to_points(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", content_id("chunk")).withColumn("payload", payload()).drop("metadata")
 
 
+def _unequal(ids: str, vectors: str, payloads: str) -> Column:
+    return ~F.coalesce((F.size(ids) == F.size(vectors)) & (F.size(ids) == F.size(payloads)), F.lit(False))
+
+
+def unequal(df: DataFrame, ids: str, vectors: str, payloads: str) -> DataFrame:
+    """PRJ-9: the rows whose arrays differ in length, or are null: rejects, nothing is cut."""
+    return df.where(_unequal(ids, vectors, payloads))
+
+
 def zip_points(df: DataFrame, ids: str, vectors: str, payloads: str) -> DataFrame:
-    """PRJ-9: parallel arrays to rows, as long as the shortest array."""
-    shortest = F.least(F.size(ids), F.size(vectors), F.size(payloads))
+    """PRJ-9: parallel arrays of one length to rows; see ``unequal`` for the others."""
     zipped = F.arrays_zip(*[
-        F.slice(name, F.lit(1), shortest).alias(alias)
-        for name, alias in ((ids, "chunk_id"), (vectors, "vector"), (payloads, "payload"))
+        F.col(name).alias(alias) for name, alias in ((ids, "chunk_id"), (vectors, "vector"), (payloads, "payload"))
     ])
     others = [c for c in df.columns if c not in (ids, vectors, payloads)]
-    return df.select(*others, F.inline(zipped).alias("chunk_id", "vector", "payload"))
+    return df.where(~_unequal(ids, vectors, payloads)).select(*others, F.inline(zipped).alias("chunk_id", "vector", "payload"))

@@ -21,25 +21,31 @@ _ARROW_RESULT = pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.stri
 
 
 def _predict_rows(predict, texts: list[str]) -> list[dict]:
-    """One call for the batch; if it fails, one per row, so that only bad rows carry an error."""
+    """One call for the batch; if it fails, one for each half, so that few calls find the bad rows."""
     try:
-        return [{"vector": np.asarray(v, dtype=np.float32), "error": None} for v in predict(np.array(texts, dtype=object))]
+        vectors = list(predict(np.array(texts, dtype=object)))
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+        return [{"vector": np.asarray(v, dtype=np.float32), "error": None} for v in vectors]
     except Exception as failure:
         if len(texts) == 1:
             return [{"vector": [], "error": f"{type(failure).__name__}: {failure}"}]
-        return [row for text in texts for row in _predict_rows(predict, [text])]
+        half = len(texts) // 2
+        return _predict_rows(predict, texts[:half]) + _predict_rows(predict, texts[half:])
 
 
 def embed(df: DataFrame, make_predict_fn: MakePredict, batch_size: int = 256, text: str = "chunk") -> DataFrame:
-    """UDF-1: adds ``vector`` and ``error``; a text the model refuses gets an empty vector."""
+    """UDF-1: adds ``vector`` and ``error``; a text the model refuses gets an empty vector, a null text none."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = make_predict_fn()
         for texts in batches:
-            values = [t or "" for t in texts.to_pylist()]
-            rows = []
+            values = [t for t in texts.to_pylist() if t is not None]
+            found: list[dict] = []
             for start in range(0, len(values), batch_size):
-                rows += _predict_rows(predict, values[start:start + batch_size])
+                found += _predict_rows(predict, values[start:start + batch_size])
+            rest = iter(found)
+            rows = [next(rest) if known else {"vector": None, "error": "no text"} for known in texts.is_valid().to_pylist()]
             yield pa.array(rows, _ARROW_RESULT)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -23,14 +23,17 @@ _ARROW_RESULT = pa.struct([("text", pa.string()), ("duration_ms", pa.float64()),
 
 
 def _run(model, prompts: list[str], only_new: bool) -> list[dict]:
-    """One timed call; a failing batch is retried row by row, and a failing row keeps its error."""
+    """One timed call; a failing batch is tried again by halves, and a failing row keeps its error."""
     began = time.perf_counter()
     try:
-        texts = model(prompts)
+        texts = list(model(prompts))
+        if len(texts) != len(prompts):
+            raise ValueError(f"{len(texts)} texts for {len(prompts)} prompts")
     except Exception as failure:
         if len(prompts) == 1:
             return [{"text": None, "duration_ms": None, "error": f"{type(failure).__name__}: {failure}"}]
-        return [row for prompt in prompts for row in _run(model, [prompt], only_new)]
+        half = len(prompts) // 2
+        return _run(model, prompts[:half], only_new) + _run(model, prompts[half:], only_new)
     each = (time.perf_counter() - began) * 1000 / len(prompts)
     if only_new:
         texts = [text.removeprefix(prompt) for text, prompt in zip(texts, prompts)]
@@ -47,16 +50,21 @@ def generate(
 ) -> DataFrame:
     """Adds the generated text, its duration and an error. Only the prompt column goes to Python.
 
-    ``only_new`` drops the prompt from a model that repeats it.
+    ``only_new`` drops the prompt from a model that repeats it. A null prompt is not sent and carries an error.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make_generate_fn()
         for prompts in batches:
-            values = [p or "" for p in prompts.to_pylist()]
-            rows = []
+            values = [p for p in prompts.to_pylist() if p is not None]
+            found: list[dict] = []
             for start in range(0, len(values), batch_size):
-                rows += _run(model, values[start:start + batch_size], only_new)
+                found += _run(model, values[start:start + batch_size], only_new)
+            rest = iter(found)
+            rows = [
+                next(rest) if known else {"text": None, "duration_ms": None, "error": "no prompt"}
+                for known in prompts.is_valid().to_pylist()
+            ]
             yield pa.array(rows, _ARROW_RESULT)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

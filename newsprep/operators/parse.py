@@ -10,7 +10,9 @@ from newsprep.functions.dates import parse_rfc3339
 from newsprep.schemas import MESSAGE_SCHEMA, NEWS_SCHEMA
 
 # Message types that carry no article.
-CONTROL = ("success", "error", "subscription")
+CONTROL = ("success", "subscription")
+#: A message of this type reports a failure of the feed; it is refused, so that it is seen.
+FAILURE = "error"
 REQUIRED = ("id", "headline", "summary", "author", "created_at", "updated_at", "content", "symbols", "source")
 
 
@@ -33,7 +35,7 @@ def reject_reason(m: str = "message") -> Column:
     def field(name: str) -> Column:
         return F.col(f"{m}.{name}")
 
-    reasons = F.when(F.col(m).isNull(), "invalid json").when(field("T").isin(*CONTROL), None)
+    reasons = F.when(F.col(m).isNull(), "invalid json").when(field("T").isin(*CONTROL), None).when(field("T") == FAILURE, "feed error")
     for name in REQUIRED:
         reasons = reasons.when(field(name).isNull(), f"missing {name}")
     reasons = reasons.when(F.exists(field("symbols"), lambda s: s.isNull()), "null symbol")

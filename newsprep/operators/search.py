@@ -193,13 +193,14 @@ def search(
     ``queries`` has ``query_id`` and ``vector``; ``points`` has ``chunk_id`` and ``vector``; both
     ids are unique and all vectors have one length. Returns ``query_id, chunk_id, score, rank``;
     ties in the rounded score go to the smaller id. ``since`` (FLT-2) is an interval such as
-    ``24 hours``: only points created within it before ``as_of`` are scored.
+    ``24 hours``: only points created within it up to ``as_of`` are scored.
 
     Counting the questions is a job of its own, run when this is called.
     """
     if since is not None:
         at = F.lit(as_of).cast("timestamp") if as_of is not None else F.current_timestamp()
-        points = points.where(F.col(created_at) >= at - F.expr(f"interval {since}"))
+        created = F.col(created_at)
+        points = points.where((created >= at - F.expr(f"interval {since}")) & (created <= at))
     queries, points = queries.select("query_id", "vector"), points.select("chunk_id", "vector")
     schema = _out_schema(queries, points)
     head = queries.limit(query_block + 1).toArrow()

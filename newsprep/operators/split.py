@@ -7,26 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsprep.functions.ids import hash_bucket
 from .ordering import running_total
 
-#: Up to this many rows the first split is a top-n, which merges per-task heaps.
-TOP_N_ROWS = 10_000
-#: Resolution of the hash split.
-_SLOTS = 10_000
-
 
 def split_first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The first ``n`` rows in the order ``order_by``, which is unique and not null, and the rest.
 
-    Only keys are ordered: the key of the n-th row is found, by a top-n or, for a large ``n``, by
-    the two-pass position, and every row is compared with it where it is read.
+    Only keys are ordered, by the two-pass position; the key of the n-th row is found, and every row
+    is compared with it where it is read.
     """
     keys = df.select(*order_by)
-    if n <= TOP_N_ROWS:
-        head = keys.orderBy(*order_by).limit(n)
-    else:
-        head = running_total(keys, order_by, F.lit(1), "_position").where(F.col("_position") < n)
+    head = running_total(keys, order_by, F.lit(1), "_position").where(F.col("_position") < n)
     key = F.struct(*order_by)
     # No n-th key (n is 0) leaves every row in the second part.
     first = F.coalesce(key <= head.agg(F.max(key)).scalar(), F.lit(False))
@@ -34,6 +25,7 @@ def split_first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataF
 
 
 def split_by_hash(df: DataFrame, key: str, fraction: float) -> tuple[DataFrame, DataFrame]:
-    """A stable split by the hash of a key; no order, no shuffle."""
-    chosen = hash_bucket(F.col(key).cast("string"), _SLOTS) < F.lit(int(round(fraction * _SLOTS)))
+    """A stable split by the whole 32-bit hash of a key; no order, no shuffle. Null keys go to the second part."""
+    place = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
+    chosen = F.coalesce(place < F.lit(round(fraction * 2**32)), F.lit(False))
     return df.where(chosen), df.where(~chosen)

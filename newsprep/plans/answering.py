@@ -18,7 +18,7 @@ from newsprep.plans.ingest import encode_text
 
 
 def question_vectors(
-    questions: DataFrame, make_predict_fn: MakePredict | None = None, dim: int = 384, max_chars: int = 384
+    questions: DataFrame, make_predict_fn: MakePredict | None = None, dim: int = 384, max_chars: int | None = None
 ) -> DataFrame:
     """STR-7, STR-8, UDF-1: ``query_id, vector`` of every question that could be embedded."""
     asked = questions.select("query_id", clean_question("question", max_chars).alias("_asked"))
@@ -31,7 +31,7 @@ def retrieve(
     k: int = 1,
     make_predict_fn: MakePredict | None = None,
     dim: int = 384,
-    max_chars: int = 384,
+    max_chars: int | None = None,
     context_field: str = "summary",
     since: str | None = None,
     as_of: datetime | None = None,

@@ -5,7 +5,6 @@ from __future__ import annotations
 import importlib
 import io
 import os
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
@@ -39,7 +38,8 @@ def shared_root(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="newsprep-")
+        warehouse = (spark.conf.get("spark.sql.warehouse.dir", None) or "spark-warehouse").removeprefix("file:").rstrip("/")
+        _LOCAL_ROOTS[application] = f"{warehouse}/_work-{application}"
     return _LOCAL_ROOTS[application]
 
 

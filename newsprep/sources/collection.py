@@ -3,18 +3,22 @@
 Layout below the collection path::
 
     meta/                                 dimension and metric, written once
-    log/run_id=R/batch_id=N/state=S/      what batch N of run R wrote; S is ``ok`` or ``reject``
-    versions/v=K/                         compacted points, one row per id
+    log/run_id=R/batch_id=N/attempt=A/state=S/   what batch N of run R wrote; S is ``ok`` or ``reject``
+    versions/v=K/points/                  compacted points, one row per id
+    versions/v=K/covered/                 run, batch and attempt of every log folder folded in
     pointer/                              one row per finished compaction
 
-A batch owns its log partition and replaces it when it is replayed. A compaction writes a new
+A batch owns its log partition and replaces it when it is replayed, under a new attempt; an attempt
+counts as folded in only if the version lists it, so late and rewritten batches are never lost. A compaction writes a new
 version and only then adds a pointer row, so a failed one changes nothing for readers.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,10 +44,11 @@ POINT_SCHEMA = T.StructType([
     T.StructField("part", T.IntegerType()),
     T.StructField("pos", T.IntegerType()),
 ])
-_PLACE = [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("state", T.StringType())]
+_PLACE = [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType()), T.StructField("state", T.StringType())]
 _LOG = T.StructType([*POINT_SCHEMA.fields, T.StructField("error", T.StringType()), *_PLACE])
 _META = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("metric", T.StringType())])
-_POINTER = T.StructType([T.StructField("v", T.LongType()), T.StructField("covered", T.MapType(T.StringType(), T.LongType()))])
+_POINTER = T.StructType([T.StructField("v", T.LongType())])
+_ATTEMPT = ["run_id", "batch_id", "attempt"]
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet") -> DataFrame:
@@ -91,8 +96,9 @@ def upsert(df: DataFrame, path: str, run_id: str, batch_id: int) -> None:
         "norm": norm("vector"),
         "state": F.when(fits, "ok").otherwise("reject"),
         "error": F.when(~fits, F.coalesce(reason, F.lit("wrong vector size"))),
+        "attempt": F.lit(uuid.uuid4().hex),
     })
-    rows.select(*POINT_SCHEMA.names, "error", "state").write.mode("overwrite").partitionBy("state").parquet(
+    rows.select(*POINT_SCHEMA.names, "error", "attempt", "state").write.mode("overwrite").partitionBy("attempt", "state").parquet(
         f"{path}/log/run_id={run_id}/batch_id={batch_id}"
     )
 
@@ -106,17 +112,26 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     return _log(spark, path).where(F.col("state") == "reject")
 
 
-def _pointer(spark: SparkSession, path: str) -> tuple[int, dict[str, int]]:
-    row = _read(spark, f"{path}/pointer", _POINTER, "json").orderBy(F.desc("v")).first()
-    return (0, {}) if row is None else (row["v"], row["covered"])
+def _version(spark: SparkSession, path: str) -> int:
+    row = _read(spark, f"{path}/pointer", _POINTER, "json").agg(F.max("v").alias("v")).first()
+    return row["v"] or 0
+
+
+def _points(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """A version that the pointer names; that it is missing is an error."""
+    return spark.read.schema(POINT_SCHEMA).parquet(f"{path}/versions/v={version}/points")
+
+
+def _covered(spark: SparkSession, version: str) -> DataFrame:
+    return spark.read.schema(T.StructType(_PLACE[:3])).parquet(f"{version}/covered")
 
 
-def _is_covered(covered: dict[str, int]) -> Column:
-    """A test on partition columns only, so that covered log folders are never listed as input."""
-    test = F.lit(False)
-    for run_id, batch_id in sorted(covered.items()):
-        test = test | ((F.col("run_id") == run_id) & (F.col("batch_id") <= batch_id))
-    return test
+def _fresh(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """Log rows that the version does not hold, by an anti join on the partition columns of the log."""
+    log = _log(spark, path).where(F.col("state") == "ok")
+    if version == 0:
+        return log
+    return log.join(_covered(spark, f"{path}/versions/v={version}"), _ATTEMPT, "left_anti")
 
 
 def _merged(base: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -133,23 +148,28 @@ def _merged(base: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """The latest view: the current version and every log batch it does not hold yet."""
-    version, covered = _pointer(spark, path)
-    fresh = _log(spark, path).where((F.col("state") == "ok") & ~_is_covered(covered)).select(*POINT_SCHEMA.names)
+    version = _version(spark, path)
+    fresh = _fresh(spark, path, version).select(*POINT_SCHEMA.names)
     if version == 0:
         return latest_points(fresh)
-    return _merged(_read(spark, f"{path}/versions/v={version}", POINT_SCHEMA), fresh)
+    return _merged(_points(spark, path, version), fresh)
 
 
 def compact(spark: SparkSession, path: str) -> int:
-    """Fold the log into a new version and return its number."""
-    version, covered = _pointer(spark, path)
-    log = _log(spark, path).where(F.col("state") == "ok")
-    # One row per run: the highest batch to be folded in, fixed before the rows are read.
-    ends = log.groupBy("run_id").agg(F.max("batch_id").alias("end"))
-    through = covered | {row["run_id"]: row["end"] for row in ends.toLocalIterator()}
-    fresh = log.where(_is_covered(through) & ~_is_covered(covered)).select(*POINT_SCHEMA.names)
-    base = _read(spark, f"{path}/versions/v={version}", POINT_SCHEMA)
-    points = latest_points(fresh) if version == 0 else _merged(base, fresh)
-    points.write.mode("overwrite").parquet(f"{path}/versions/v={version + 1}")
-    spark.createDataFrame([(version + 1, through)], _POINTER).coalesce(1).write.mode("append").json(f"{path}/pointer")
+    """Fold the log into a new version and return its number.
+
+    What is folded in is written first and read back, so that the points hold exactly what the
+    version lists, whatever arrives meanwhile.
+    """
+    version = _version(spark, path)
+    target = f"{path}/versions/v={version + 1}"
+    covered = _fresh(spark, path, version).select(*_ATTEMPT).distinct()
+    if version:
+        covered = covered.unionByName(_covered(spark, f"{path}/versions/v={version}"))
+    covered.write.mode("overwrite").parquet(f"{target}/covered")
+    listed = _covered(spark, target)
+    fresh = _fresh(spark, path, version).join(listed, _ATTEMPT, "left_semi").select(*POINT_SCHEMA.names)
+    points = latest_points(fresh) if version == 0 else _merged(_points(spark, path, version), fresh)
+    points.write.mode("overwrite").parquet(f"{target}/points")
+    spark.createDataFrame([(version + 1,)], _POINTER).coalesce(1).write.mode("append").json(f"{path}/pointer")
     return version + 1

@@ -26,8 +26,8 @@ def ingest_frames(
 ) -> dict:
     """STM-2: one table of raw frames into the collection; returns its counts.
 
-    Writing the same batch again replaces what it wrote before. Rejects are written in a second
-    pass over the frames, and only if the first pass saw any.
+    Writing the same batch again replaces what it wrote before, rejects included: they are written
+    in a second pass over the frames, even if there are none.
     """
     validated = validate(explode_messages(frames))
     seen = Observation(f"batch-{run_id}-{batch_id}")
@@ -39,16 +39,13 @@ def ingest_frames(
     )
     upsert(news_points(good_rows(counted), make_predict_fn, dim, max_tokens, make_count), dst, run_id, batch_id)
     counts = seen.get
-    if counts.get("rejects", 0):
-        reject_rows(validated).write.mode("overwrite").parquet(
-            f"{dst}/message_rejects/run_id={run_id}/batch_id={batch_id}"
-        )
+    reject_rows(validated).write.mode("overwrite").parquet(f"{dst}/message_rejects/run_id={run_id}/batch_id={batch_id}")
     return counts
 
 
 def news_stream(
     spark: SparkSession,
-    src: str,
+    src: str | DataFrame,
     dst: str,
     checkpoint: str,
     run_id: str,
@@ -60,7 +57,9 @@ def news_stream(
     trigger: dict | None = None,
     tap: Tap | None = None,
 ) -> StreamingQuery:
-    """STM-1: frames landing in ``src`` into the collection ``dst``.
+    """STM-1: frames landing in the folder ``src``, or a stream with ``value``, into the collection ``dst``.
+
+    It runs until stopped; ``trigger={"availableNow": True}`` ends it after what has landed.
 
     Delivery is at least once; a replayed batch replaces its own partition, and ids are content
     hashes, so the latest view does not change (STM-3). The stream holds no state. ``tap`` is the
@@ -74,10 +73,10 @@ def news_stream(
             tap(batch_id, counts)
 
     return (
-        landing_stream(spark, src, max_files)
+        (src if isinstance(src, DataFrame) else landing_stream(spark, src, max_files))
         .writeStream.queryName(f"news-{run_id}")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
+        .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
     )

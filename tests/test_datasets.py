@@ -64,13 +64,11 @@ def test_build_examples_prompts_before_the_split(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 82, 99, 100, 500])
-def test_split_first_n(spark, n, monkeypatch):
+def test_split_first_n(spark, n):
     df = spark.createDataFrame([(i, (i * 37) % 100) for i in range(100)], "id int, place int").repartition(7)
-    for limit in (10_000, -1):
-        monkeypatch.setattr("newsprep.operators.split.TOP_N_ROWS", limit)
-        train, test = op.split_first_n(df, n, ["place"])
-        assert sorted(r["place"] for r in train.collect()) == list(range(min(n, 100)))
-        assert sorted(r["place"] for r in test.collect()) == list(range(min(n, 100), 100))
+    train, test = op.split_first_n(df, n, ["place"])
+    assert sorted(r["place"] for r in train.collect()) == list(range(min(n, 100)))
+    assert sorted(r["place"] for r in test.collect()) == list(range(min(n, 100), 100))
 
 
 def test_small_split_moves_no_rows(spark, plan):
@@ -87,6 +85,14 @@ def test_hash_split(spark):
     assert train.intersect(test).count() == 0
 
 
+def test_hash_split_of_small_fractions(spark):
+    df = spark.range(200_000).selectExpr("cast(id as string) as key")
+    for fraction in (0.00005, 0.99995):
+        train, test = op.split_by_hash(df, "key", fraction)
+        n = train.count()
+        assert abs(n - fraction * 200_000) < 25 and n + test.count() == 200_000 and 0 < n < 200_000
+
+
 def test_running_total(spark):
     values = np.random.default_rng(0).integers(0, 9, 500).tolist()
     df = spark.createDataFrame(list(enumerate(values)), "id long, v long").repartition(6)
@@ -127,7 +133,7 @@ def make_model():
 def test_generate_isolates_failures(spark):
     df = spark.createDataFrame([("a",), ("bad",), (None,)], "prompt string").coalesce(1)
     rows = {r["prompt"]: r for r in op.generate(df, make_model).collect()}
-    assert rows["a"]["answer"] == "!" and rows[None]["answer"] == "!" and rows["a"]["duration_ms"] >= 0
+    assert rows["a"]["answer"] == "!" and (rows[None]["answer"], rows[None]["error"]) == (None, "no prompt") and rows["a"]["duration_ms"] >= 0
     assert rows["bad"]["answer"] is None and rows["bad"]["error"] == "RuntimeError: refused"
     whole = op.generate(df, make_model, only_new=False).where("prompt = 'a'").first()
     assert whole["answer"] == "a!"

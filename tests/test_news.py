@@ -155,6 +155,7 @@ def test_more_workers_than_symbols_lose_nothing(spark):
     assert len(sizes) > 4 and max(r["count"] for r in sizes) < 3000 / 3
 
 
-def test_zip_cuts_to_the_shortest(spark):
-    df = spark.createDataFrame([(["a", "b", "c"], [[1.0], [2.0]], ["x", "y", "z"])], "i array<string>, v array<array<float>>, p array<string>")
+def test_zip_refuses_unequal_arrays(spark):
+    df = spark.createDataFrame([(["a", "b"], [[1.0], [2.0]], ["x", "y"]), (["c"], [], ["z"]), (["c"], None, ["z"])], "i array<string>, v array<array<float>>, p array<string>")
     assert [tuple(r) for r in op.zip_points(df, "i", "v", "p").collect()] == [("a", [1.0], "x"), ("b", [2.0], "y")]
+    assert op.unequal(df, "i", "v", "p").count() == 2

@@ -105,9 +105,25 @@ def make_lengths():
 def test_embed_isolates_failures(spark):
     df = spark.createDataFrame([("abc",), ("bad",), ("",), (None,)], "chunk string").coalesce(1)
     good, failed = op.split_failures(op.embed(df, make_lengths, batch_size=3), 2)
-    assert sorted(r["vector"] for r in good.collect()) == [[0.0, 1.0], [0.0, 1.0], [3.0, 1.0]]
-    row = failed.first()
-    assert (row["chunk"], row["vector"], row["error"]) == ("bad", [], "ValueError: no bad texts")
+    assert sorted(r["vector"] for r in good.collect()) == [[0.0, 1.0], [3.0, 1.0]]
+    rows = {r["chunk"]: (r["vector"], r["error"]) for r in failed.collect()}
+    assert rows == {"bad": ([], "ValueError: no bad texts"), None: (None, "no text")}
+
+
+def test_one_bad_text_costs_few_calls():
+    from newsprep.operators.encode import _predict_rows
+
+    calls = []
+
+    def predict(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[1.0]] * len(texts)
+
+    rows = _predict_rows(predict, ["x"] * 100 + ["bad"] + ["x"] * 155)
+    assert sum(r["error"] is not None for r in rows) == 1 and len(rows) == 256 and len(calls) == 17
+    assert all(r["error"] for r in _predict_rows(lambda texts: [], ["a", "b"]))
 
 
 def plain_history(turns, k):

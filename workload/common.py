@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsprep.functions import html as markup
 from newsprep.functions.text import DOUBLE_QUOTES, SINGLE_QUOTES, WHITE
 from newsprep.operators import pairs
 from newsprep.session import configure, ship, spread
@@ -135,9 +134,13 @@ def sql_sample(x: str) -> str:
 
 
 def sql_html(x: str) -> str:
-    for pattern, by in ((markup.HIDDEN, " "), (markup.HEAD, " "), (markup.INLINE, ""), (markup.TAG, " ")):
+    # Written out here, not taken from the library, so that a wrong pattern there shows.
+    quoted = """(?:[^<>"']|"[^"]*"|'[^']*')*>"""
+    inline = "(?i)</?(?:a|abbr|b|cite|code|em|font|i|mark|q|s|small|span|strong|sub|sup|u)\\b" + quoted
+    hidden = "(?is)<!--.*?(?:-->|\\z)|<script\\b[^>]*>.*?(?:</script\\s*>|\\z)|<style\\b[^>]*>.*?(?:</style\\s*>|\\z)"
+    for pattern, by in ((hidden, " "), ("(?is)<title\\b[^>]*>.*?</title\\s*>", " "), (inline, ""), ("<[a-zA-Z/!?]" + quoted, " ")):
         x = f"regexp_replace({x}, {lit(pattern)}, '{by}', 'g')"
-    for name, char in (*markup.ENTITIES, ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         x = f"replace({x}, {lit(name)}, {lit(char)})"
     return sql_clean(f"regexp_replace({x}, '[\\s' || chr(160) || ']+', ' ', 'g')")
 

@@ -164,7 +164,7 @@ def _labelled_split(train, test):
 
 
 @query("win3_hash_split", f"""
-SELECT doc_id, CASE WHEN {sql_bucket('CAST(doc_id AS VARCHAR)', 10000)} < 8000 THEN 'train' ELSE 'test' END AS split FROM documents""")
+SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) < 3435973837 THEN 'train' ELSE 'test' END AS split FROM documents""")
 def hash_split(spark, sf_dir):
     return _labelled_split(*op.split_by_hash(table(spark, sf_dir, "documents"), "doc_id", 0.8))
 

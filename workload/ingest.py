@@ -98,18 +98,27 @@ def merge_text(spark, sf_dir):
 @query("prj9_zip_points", """
 SELECT doc_id, id AS chunk_id, length(payload) AS payload_chars
 FROM (SELECT doc_id, unnest(list_transform(lines, lambda l: md5(l))) AS id, unnest(lines) AS payload
-      FROM (SELECT doc_id, CASE WHEN len(list) > 1 THEN list[1:len(list) - 1] ELSE [] END AS lines
-            FROM (SELECT doc_id, string_split(text, chr(10)) AS list FROM documents)))""")
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id % 5 <> 0))""")
 def zip_points(spark, sf_dir):
-    """Ids and payloads of every line; the vectors lack the last one, which cuts the result."""
+    """Ids, vectors and payloads of every line; documents that lack a vector are refused."""
+    return op.zip_points(_arrays(spark, sf_dir), "ids", "vectors", "payloads").select(
+        "doc_id", "chunk_id", F.length("payload").cast("bigint").alias("payload_chars")
+    )
+
+
+@query("prj9_unequal", "SELECT doc_id FROM documents WHERE doc_id % 5 = 0")
+def unequal(spark, sf_dir):
+    return op.unequal(_arrays(spark, sf_dir), "ids", "vectors", "payloads").select("doc_id")
+
+
+def _arrays(spark, sf_dir):
+    """Parallel arrays per document; every fifth lacks its last vector."""
     from .common import table
 
     lines = F.split("text", "\n")
-    arrays = table(spark, sf_dir, "documents").select(
+    known = F.size(lines) - F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    return table(spark, sf_dir, "documents").select(
         "doc_id", F.transform(lines, F.md5).alias("ids"),
-        F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), lambda x: F.array(F.length(x))).alias("vectors"),
+        F.transform(F.slice(lines, F.lit(1), known), lambda x: F.array(F.length(x))).alias("vectors"),
         lines.alias("payloads"),
     )
-    return op.zip_points(arrays, "ids", "vectors", "payloads").select(
-        "doc_id", "chunk_id", F.length("payload").cast("bigint").alias("payload_chars")
-    )

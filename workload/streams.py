@@ -30,7 +30,8 @@ def _points(spark, dst):
 
 def _stream(spark, src, dst, run_id, **options):
     news_stream(
-        spark, src, dst, work_dir(spark, "state"), run_id, dim=DIM, max_tokens=WORDS, **options
+        spark, src, dst, work_dir(spark, "state"), run_id, dim=DIM, max_tokens=WORDS,
+        **{"trigger": {"availableNow": True}, **options}
     ).awaitTermination()
 
 

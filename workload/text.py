@@ -48,7 +48,7 @@ _hashed("str4_quotes", lambda: fn.replace_quotes(_curly()), sql_quotes(_CURLY))
 _hashed("str5_group_paragraphs", lambda: fn.group_paragraphs("text"), sql_paragraphs("text"))
 _hashed("str6_html_to_text", lambda: fn.html_to_text("html"), sql_html("html"), "pages", "page_id")
 _hashed("str7_clean_question", lambda: fn.clean_question(_curly(), None), sql_clean_ascii(_CURLY))
-_hashed("str8_cut_question", lambda: fn.clean_question("text"), f"substr({sql_clean_ascii('text')}, 1, 384)")
+_hashed("str8_cut_question", lambda: fn.clean_question("text", 384), f"substr({sql_clean_ascii('text')}, 1, 384)")
 
 
 @query("str9_clean_fields", f"""
