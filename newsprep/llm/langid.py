@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 #: Size of the vectors, letters of an n-gram, letter classes (0 is the gap between words), and the seed.
 DIMENSIONS, N, CLASSES, SEED = 2048, 3, 128, 20240101
@@ -88,26 +88,26 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for x in batches:
+        for x in (part for whole in batches for part in slices(whole, "text")):
             codes, owner, _ = grams(x.column("text"))
             names = np.array(x.column("lang").to_pylist(), object)
             for lang in set(names):
-                own = codes[(names == lang)[owner]]
-                sums.setdefault(lang, np.zeros(GRAMS, np.int64))
-                sums[lang] += np.bincount(own, minlength=GRAMS)
+                np.add.at(sums.setdefault(lang, np.zeros(GRAMS, np.int64)), codes[(names == lang)[owner]], 1)
         for lang, counts in sums.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "gram", "n"])
+            grams_ = np.flatnonzero(counts)
+            for start in range(0, len(grams_), 1 << 16):
+                at = grams_[start : start + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "gram", "n"])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for x in batches:
             names, codes, counts = np.array(x.column("lang").to_pylist(), object), x.column("gram").to_numpy(), x.column("n").to_numpy()
-            for i in range(0, len(codes), 4096):
-                vectors = bind(codes[i : i + 4096]).astype(np.float64)
-                for lang in set(names[i : i + 4096]):
-                    own = names[i : i + 4096] == lang
-                    sums[lang] = sums.get(lang, 0) + counts[i : i + 4096][own] @ vectors[own]
+            for i in range(0, len(codes), 1024):
+                vectors = bind(codes[i : i + 1024]).astype(np.float64)
+                for lang in set(names[i : i + 1024]):
+                    own = names[i : i + 1024] == lang
+                    sums[lang] = sums.get(lang, 0) + counts[i : i + 1024][own] @ vectors[own]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([list(v) for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     counted = labelled.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -138,11 +138,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = np.zeros((GRAMS, len(names)), np.float32)
         known = np.zeros(GRAMS, bool)
-        for x in batches:
+        for x in (part for whole in batches for part in slices(whole, text_col)):
             codes, owner, n = grams(x.column(text_col))
             new = np.unique(codes[~known[codes]])
-            for i in range(0, len(new), 4096):
-                scores[new[i : i + 4096]] = bind(new[i : i + 4096]).astype(np.float32) @ shared.value.T.astype(np.float32)
+            for i in range(0, len(new), 1024):
+                scores[new[i : i + 1024]] = bind(new[i : i + 1024]).astype(np.float32) @ shared.value.T.astype(np.float32)
             known[new] = True
             dots = np.stack([np.bincount(owner, scores[codes, k], len(n)) for k in range(len(names))], axis=1) if names else np.zeros((len(n), 0))
             pairs, repeats = np.unique(owner * GRAMS + codes, return_counts=True)
