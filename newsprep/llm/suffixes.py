@@ -1,6 +1,6 @@
 """Removal of repeated byte strings with suffix arrays.
 
-Every string of ``length`` bytes holds an anchor: the smallest hash among its runs of ``length / 2``
+Every string of ``LENGTH`` bytes holds an anchor: the smallest hash among its runs of ``RUN``
 bytes, so that equal strings have equal anchors at equal places. Only anchors whose run stands in
 several places matter; an anchor brings along the bytes around it that a string through it can
 reach, its context. Equal contexts are counted, not gathered. The different contexts of one run meet
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts, written
+from .common import batch, slices, texts, written
 from .neardup import mix
 
-LENGTH = 200
+LENGTH, RUN = 200, 50
 #: Bytes hashed at once, contexts of one run that a task compares, and context bytes sorted at once.
 PIECE, CONTEXTS, SORTED = 1 << 18, 4096, 2_000_000
 
@@ -40,9 +40,8 @@ def _hashes(b: np.ndarray, run: int) -> np.ndarray:
     return mix((sums[run:] - sums[:-run]) * _POWERS[1][: n - run + 1])
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: bytes, length: int = LENGTH, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors: the first smallest hash in each string of ``length`` bytes."""
-    run = length // 2
     width = length - run + 1
     if len(text) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -63,6 +62,11 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     return place, np.concatenate(values)[first]
 
 
+def _words(text: np.ndarray, kind: str) -> np.ndarray:
+    """Eight bytes from every place on, as numbers."""
+    return np.ndarray(len(text) - 7, kind, np.ascontiguousarray(text).data, strides=(1,))
+
+
 def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array of ``text`` to ``depth`` bytes.
 
@@ -80,26 +84,28 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
         small[inner] = text[ends[inner]] < text[ends[inner] + 1]  # the last run is followed by the end, the smallest
     padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
     order = np.flatnonzero(small)
-    word = lambda at: padded[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+    word = lambda at, every=_words(padded, ">u8"): every[at].astype(np.uint64)
     order = order[np.argsort(word(order), kind="stable")]
-    tied = np.zeros(len(order), np.int64)  # number of the group of equal prefixes
+    open_ = np.arange(len(order))  # places in the order that are not settled, and the groups of equal prefixes there
+    head = np.ones(len(order), bool)
     if len(order):
         first = word(order)
-        tied = np.cumsum(np.concatenate(([0], (first[1:] != first[:-1]).astype(np.int64))))
-    open_ = np.arange(len(order))
+        head[1:] = first[1:] != first[:-1]
     for deep in range(8, depth, 8):
-        group = tied[open_]
-        alone = np.concatenate(([True], group[1:] != group[:-1])) & np.concatenate((group[1:] != group[:-1], [True])) if len(group) else np.empty(0, bool)
-        open_ = open_[~alone]
+        alone = head & np.concatenate((head[1:], [True])) if len(head) else head
+        open_, head = open_[~alone], head[~alone]
         if not len(open_):
             break
-        keys = word(np.minimum(order[open_] + deep, n + depth))
-        new = np.lexsort((keys, tied[open_]))
-        order[open_] = order[open_][new]
-        keys, group = keys[new], tied[open_]
-        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (group[1:] != group[:-1])))
-        tied[open_] = open_[0] + np.cumsum(fresh) + len(order) * (deep // 8)  # groups stay apart; only equality counts
-        tied[open_] = np.maximum.accumulate(tied[open_])
+        keys, group = word(np.minimum(order[open_] + deep, n + depth)), np.cumsum(head) - 1
+        other = keys != keys[head][group]
+        if other.any():  # only groups with different words are sorted
+            mixed = np.zeros(group[-1] + 1, bool)
+            mixed[group[other]] = True
+            some = np.flatnonzero(mixed[group])
+            new = np.lexsort((keys[some], group[some]))
+            order[open_[some]] = order[open_[some]][new]
+            keys[some] = keys[some][new]
+            head[1:] |= keys[1:] != keys[:-1]
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
     firsts = np.searchsorted(text[order], np.arange(257))
     out = []
@@ -142,13 +148,12 @@ def repeated(contexts: list[bytes], at: np.ndarray, groups: np.ndarray, counts:
     order = two_stage(text, length)
     order = order[room[order] >= length]  # a string stays within its context
     same = np.ones(max(0, len(order) - 1), bool)
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    every = _words(np.concatenate((text, np.zeros(8, np.uint8))), "<u8")
     for deep in [*range(0, length - 8, 8), length - 8]:  # common prefixes of neighbours, as far as they matter
         near = np.flatnonzero(same)
         if not len(near):
             break
-        word = lambda p: padded[p[:, None] + deep + np.arange(8)].view(np.uint64).ravel()  # noqa: B023, E731
-        same[near] = word(order[near]) == word(order[near + 1])
+        same[near] = every[order[near] + deep] == every[order[near + 1] + deep]
     found = np.zeros(len(text), bool)
     if len(order):
         string = np.cumsum(np.concatenate(([0], ~same)))
@@ -173,27 +178,26 @@ def _number(data: bytes) -> int:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every anchor with a hash of its run and one of its context."""
-    run = LENGTH // 2
-    for x in batches:
+    for x in (part for whole in batches for part in slices(whole, "text")):
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         for number, text in zip(x.column("row").to_pylist(), texts(x.column("text")), strict=True):
             place, value = anchors(text)
-            if len(place):
-                lo, hi = np.maximum(place + run - LENGTH, 0), np.minimum(place + LENGTH, len(text))
-                context = [_number(text[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                yield batch(ROWS, [np.full(len(place), number), place, value.view(np.int64), context, place - lo])
+            lo, hi = np.maximum(place + RUN - LENGTH, 0), np.minimum(place + LENGTH, len(text))
+            context = np.fromiter((_number(text[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.int64, len(place))
+            for column, value_ in zip(out, (np.full(len(place), number), place, value.view(np.int64), context, place - lo), strict=True):
+                column.append(value_)
+        yield batch(ROWS, [np.concatenate(c) for c in out])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted contexts of each text."""
-    run = LENGTH // 2
-    for x in batches:
-        for text, wanted in zip(texts(x.column("text")), x.column("wanted"), strict=True):
-            rows = wanted.as_py()
-            data = [text[max(r["place"] + run - LENGTH, 0) : r["place"] + LENGTH] for r in rows]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r["run"] for r in rows], pa.int64()), pa.array([r["context"] for r in rows], pa.int64()),
-                pa.array([r["whole"] for r in rows], pa.int64()), pa.array([r["n"] for r in rows], pa.int64()), pa.array(data, pa.binary()),
-            ], names=["run", "context", "at", "n", "bytes"])
+    for x in (part for whole in batches for part in slices(whole, "text")):
+        rows, data = [], []
+        for text, wanted in zip(texts(x.column("text")), x.column("wanted").to_pylist(), strict=True):
+            rows += wanted
+            data += [text[max(r["place"] + RUN - LENGTH, 0) : r["place"] + LENGTH] for r in wanted]
+        numbers = [pa.array([r[name] for r in rows], pa.int64()) for name in ("run", "context", "whole", "n")]
+        yield pa.RecordBatch.from_arrays([*numbers, pa.array(data, pa.binary())], names=["run", "context", "at", "n", "bytes"])
 
 
 def _spans(starts: np.ndarray) -> list[list[int]]:
@@ -283,10 +287,10 @@ def repeats(docs: DataFrame, text_col: str = "text", row_col: str = "row") -> Da
     whole = several.where("contexts = 1").select("run", "context")
     # Different contexts: their bytes come from one place each.
     wanted = several.where("contexts > 1").select("one.row", F.col("one.place").alias("place"), "run", "context", "n")
-    wanted = wanted.withColumn("whole", F.least(F.col("place"), F.lit(LENGTH - LENGTH // 2)))
+    wanted = wanted.withColumn("whole", F.least(F.col("place"), F.lit(LENGTH - RUN)))
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "run", "context", "n", "whole")).alias("wanted"))  # of one text
     data = plain.join(asked, "row").mapInArrow(_contexts, "run bigint, context bigint, at bigint, n bigint, bytes binary")
-    groups = data.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LENGTH // 2)).withColumn("group", F.col("run").cast("string"))
+    groups = data.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LENGTH - RUN)).withColumn("group", F.col("run").cast("string"))
     parts = []
     while True:
         groups = written(groups, "contexts")
