@@ -23,8 +23,8 @@ from .common import batch, slices, texts, written
 from .neardup import mix
 
 LENGTH, RUN = 200, 50
-#: Bytes hashed at once, contexts of one run that a task compares, and context bytes sorted at once.
-PIECE, CONTEXTS, SORTED = 1 << 18, 4096, 2_000_000
+#: Bytes hashed at once, contexts of one run that a task compares, context bytes sorted and neighbours compared at once.
+PIECE, CONTEXTS, SORTED, COMPARED = 1 << 18, 4096, 2_000_000, 1 << 14
 
 _BASE = 0xC2B2AE3D27D4EB4F
 _POWERS: list[np.ndarray] = []
@@ -75,37 +75,48 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     if that is no smaller, at the next place of its bucket.
     """
     n = len(text)
-    step = np.flatnonzero(np.diff(text.astype(np.int16)) != 0)  # last place of each run of one byte
-    ahead = np.searchsorted(step, np.arange(n))
-    ends = step[np.minimum(ahead, max(len(step) - 1, 0))] if len(step) else np.zeros(n, np.int64)
+    change = np.diff(text) != 0
+    step = np.flatnonzero(change)  # last place of each run of one byte
+    ahead = np.concatenate(([0], np.cumsum(change)))[:n]
     small = np.zeros(n, bool)
     if len(step):
         inner = ahead < len(step)
-        small[inner] = text[ends[inner]] < text[ends[inner] + 1]  # the last run is followed by the end, the smallest
+        small = inner & np.append(text[step] < text[step + 1], False)[ahead]  # the last run is followed by the end, the smallest
     padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
-    order = np.flatnonzero(small)
+    direct_ = np.flatnonzero(small)
+    # Suffixes that agree to ``depth`` have one hash and stand together: one of each is sorted.
+    hashes = _hashes(padded[: n + depth - 1], depth)[direct_]
+    alike = np.argsort(hashes)
+    new = np.ones(len(direct_), bool)
+    new[1:] = hashes[alike[1:]] != hashes[alike[:-1]]
+    heads_ = np.flatnonzero(new)
+    copies = np.diff(np.append(heads_, len(direct_)))
+    few = direct_[alike[heads_]]
     word = lambda at, every=_words(padded, ">u8"): every[at].astype(np.uint64)
-    order = order[np.argsort(word(order), kind="stable")]
-    open_ = np.arange(len(order))  # places in the order that are not settled, and the groups of equal prefixes there
-    head = np.ones(len(order), bool)
-    if len(order):
-        first = word(order)
+    sorted_ = np.argsort(word(few), kind="stable")
+    open_ = np.arange(len(few))  # places in the order that are not settled, and the groups of equal prefixes there
+    head = np.ones(len(few), bool)
+    if len(few):
+        first = word(few[sorted_])
         head[1:] = first[1:] != first[:-1]
     for deep in range(8, depth, 8):
         alone = head & np.concatenate((head[1:], [True])) if len(head) else head
         open_, head = open_[~alone], head[~alone]
         if not len(open_):
             break
-        keys, group = word(np.minimum(order[open_] + deep, n + depth)), np.cumsum(head) - 1
+        keys, group = word(np.minimum(few[sorted_[open_]] + deep, n + depth)), np.cumsum(head) - 1
         other = keys != keys[head][group]
         if other.any():  # only groups with different words are sorted
             mixed = np.zeros(group[-1] + 1, bool)
             mixed[group[other]] = True
             some = np.flatnonzero(mixed[group])
-            new = np.lexsort((keys[some], group[some]))
-            order[open_[some]] = order[open_[some]][new]
-            keys[some] = keys[some][new]
+            by = np.lexsort((keys[some], group[some]))
+            sorted_[open_[some]] = sorted_[open_[some]][by]
+            keys[some] = keys[some][by]
             head[1:] |= keys[1:] != keys[:-1]
+    lengths = copies[sorted_]
+    ends = np.cumsum(lengths)
+    order = direct_[alike[np.arange(len(direct_)) + np.repeat(heads_[sorted_] - (ends - lengths), lengths)]]
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
     firsts = np.searchsorted(text[order], np.arange(257))
     out = []
@@ -147,13 +158,13 @@ def repeated(contexts: list[bytes], at: np.ndarray, groups: np.ndarray, counts:
     room = (starts + sizes)[owner] - np.arange(len(text))
     order = two_stage(text, length)
     order = order[room[order] >= length]  # a string stays within its context
-    same = np.ones(max(0, len(order) - 1), bool)
-    every = _words(np.concatenate((text, np.zeros(8, np.uint8))), "<u8")
-    for deep in [*range(0, length - 8, 8), length - 8]:  # common prefixes of neighbours, as far as they matter
-        near = np.flatnonzero(same)
-        if not len(near):
-            break
-        same[near] = every[order[near] + deep] == every[order[near + 1] + deep]
+    same = np.zeros(max(0, len(order) - 1), bool)
+    if len(order):  # neighbours with a common prefix of ``length`` bytes, compared as rows of words
+        strings = np.lib.stride_tricks.as_strided(text, (len(text) - length + 1, length), (1, 1))
+        for start in range(0, len(same), COMPARED):
+            part = order[start : start + COMPARED + 1]
+            rows = strings[part].view("<u8")
+            same[start : start + len(part) - 1] = (rows[1:] == rows[:-1]).all(axis=1)
     found = np.zeros(len(text), bool)
     if len(order):
         string = np.cumsum(np.concatenate(([0], ~same)))
@@ -161,8 +172,9 @@ def repeated(contexts: list[bytes], at: np.ndarray, groups: np.ndarray, counts:
         order, string = order[shared], string[shared]
         place = order - (starts + at)[owner[order]]
         group = groups[owner[order]]
-        by = np.lexsort((place, group, string))
-        equal = (string[by][1:] == string[by][:-1]) & (group[by][1:] == group[by][:-1]) & (place[by][1:] == place[by][:-1])
+        key = (string * (int(groups.max()) + 1) + group) * (2 * length) + place + length
+        by = np.argsort(key)
+        equal = key[by][1:] == key[by][:-1]
         found[order[by][:-1][equal]] = True
         found[order[by][1:][equal]] = True
     often = (counts > 1)[owner] & (room >= length)
