@@ -27,6 +27,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and safe when executors are lost."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
+    # Spark removes shuffle files once the driver has collected the plan that made them: do it now, not when its heap is full.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

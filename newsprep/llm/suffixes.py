@@ -163,7 +163,8 @@ def repeated(contexts: list[bytes], at: np.ndarray, groups: np.ndarray, counts:
         strings = np.lib.stride_tricks.as_strided(text, (len(text) - length + 1, length), (1, 1))
         for start in range(0, len(same), COMPARED):
             part = order[start : start + COMPARED + 1]
-            rows = strings[part].view("<u8")
+            rows = strings[part]
+            rows = rows.view("<u8") if length % 8 == 0 else rows
             same[start : start + len(part) - 1] = (rows[1:] == rows[:-1]).all(axis=1)
     found = np.zeros(len(text), bool)
     if len(order):
@@ -209,7 +210,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows += wanted
             data += [text[max(r["place"] + RUN - LENGTH, 0) : r["place"] + LENGTH] for r in wanted]
         numbers = [pa.array([r[name] for r in rows], pa.int64()) for name in ("run", "context", "whole", "n")]
-        yield pa.RecordBatch.from_arrays([*numbers, pa.array(data, pa.binary())], names=["run", "context", "at", "n", "bytes"])
+        large = pa.array([r["large"] for r in rows], pa.bool_())
+        yield pa.RecordBatch.from_arrays([*numbers, large, pa.array(data, pa.binary())], names=["run", "context", "at", "n", "large", "bytes"])
 
 
 def _spans(starts: np.ndarray) -> list[list[int]]:
@@ -254,7 +256,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranges = sorted((a, b) for a, b in (tuple(s) for s in spans.as_py() or ()))
             kept, at, removed, runs = hashlib.sha256(), 0, 0, 0
             end = -1
-            for a, b in ranges:
+            for a, b in ((a, min(b, len(text))) for a, b in ranges):
                 if a > end:  # touching ranges are one run
                     if end >= 0:
                         at = end
@@ -289,41 +291,44 @@ def _split(groups: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, text_col: str = "text", row_col: str = "row") -> DataFrame:
-    """``row, spans``: the byte ranges of each row covered by strings of ``LENGTH`` bytes that also start elsewhere."""
+    """``row, spans``: byte ranges of the rows covered by strings of ``LENGTH`` bytes that also start elsewhere.
+
+    A row may come several times; a range may reach beyond the end of its text.
+    """
     plain = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     found = written(plain.mapInArrow(_anchors, "row bigint, place bigint, run bigint, context bigint, whole bigint"), "anchors")
-    each = written(found.groupBy("run", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")), "runs")
-    runs = each.groupBy("run").agg(F.sum("n").alias("places"), F.count("*").alias("contexts")).where("places > 1")
-    several = written(each.join(runs, "run"), "several")
-    # One context only, several times: all of it repeats, if it holds a string at all.
-    whole = several.where("contexts = 1").select("run", "context")
+    # Written tables on both sides of the joins: a run or context with many places is then dealt out as a skewed key.
+    runs = found.groupBy("run").agg(F.count("*").alias("places"), (F.min("context") != F.max("context")).alias("differ")).where("places > 1")
+    several = written(found.join(written(runs.select("run", "differ"), "runs"), "run"), "several")
     # Different contexts: their bytes come from one place each.
-    wanted = several.where("contexts > 1").select("one.row", F.col("one.place").alias("place"), "run", "context", "n")
-    wanted = wanted.withColumn("whole", F.least(F.col("place"), F.lit(LENGTH - RUN)))
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "run", "context", "n", "whole")).alias("wanted"))  # of one text
-    data = plain.join(asked, "row").mapInArrow(_contexts, "run bigint, context bigint, at bigint, n bigint, bytes binary")
-    groups = data.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LENGTH - RUN)).withColumn("group", F.col("run").cast("string"))
-    parts = []
-    while True:
-        groups = written(groups, "contexts")
+    each = written(several.where("differ").groupBy("run", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")), "different")
+    crowded = each.groupBy("run").agg(F.count("*").alias("members")).where(F.col("members") > CONTEXTS)
+    wanted = each.join(written(crowded.select("run", F.lit(True).alias("large")), "crowded"), "run", "left").select(
+        "one.row", F.col("one.place").alias("place"), "run", "context", "n", F.coalesce("large", F.lit(False)).alias("large"),
+        F.least(F.col("one.place"), F.lit(LENGTH - RUN)).alias("whole"),
+    )
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "run", "context", "n", "whole", "large")).alias("wanted"))  # of one text
+    data = plain.join(asked, "row").mapInArrow(_contexts, "run bigint, context bigint, at bigint, n bigint, large boolean, bytes binary")
+    groups = written(data, "contexts")
+    spans = "run bigint, context bigint, spans array<array<bigint>>"
+    compare = lambda df: df.repartition("group").sortWithinPartitions("group").mapInArrow(_compare, spans)
+    some = compare(groups.where("NOT large").select(F.col("run").alias("group"), "run", "context", "at", "n", "bytes"))
+    left = groups.where("large").drop("large").withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LENGTH - RUN))
+    while not left.isEmpty():
+        groups = written(_split(left), "contexts")
         size = groups.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("places")).where("places > 1")
-        sized = groups.join(size, "group")
+        sized = groups.join(written(size, "sizes"), "group")
         ready = sized.where((F.col("members") <= CONTEXTS) & (F.col("lo") < F.col("hi")))
-        sorted_ = ready.select("group", "run", "context", "at", "n", "bytes").repartition("group").sortWithinPartitions("group")
-        parts.append(sorted_.mapInArrow(_compare, "run bigint, context bigint, spans array<array<bigint>>"))
         # One start left: all members hold the same string, and there are several.
-        single = sized.where("lo = hi")
-        parts.append(single.select("run", "context", F.array(F.array(-F.col("lo").cast("bigint"), -F.col("lo").cast("bigint"))).alias("spans")))
-        large = sized.where((F.col("members") > CONTEXTS) & (F.col("lo") < F.col("hi"))).drop("group", "members", "places")
-        if large.isEmpty():
-            break
-        groups = _split(large)
-    some = parts[0]
-    for part in parts[1:]:
-        some = some.unionAll(part)
+        single = sized.where("lo = hi").select("run", "context", F.array(F.array(-F.col("lo").cast("bigint"), -F.col("lo").cast("bigint"))).alias("spans"))
+        some = some.unionAll(compare(ready.select("group", "run", "context", "at", "n", "bytes"))).unionAll(single)
+        left = sized.where((F.col("members") > CONTEXTS) & (F.col("lo") < F.col("hi"))).drop("group", "members", "places")
     some = written(some.where(F.size("spans") > 0), "repeats")
-    starts = found.join(some.unionAll(whole.withColumn("spans", F.lit(None).cast("array<array<bigint>>"))), ["run", "context"])
-    return starts.select("row", "place", "whole", "spans")
+    # One context only, several times: all of it repeats, from its first byte to its last.
+    whole = F.array(F.array(F.col("place") - F.col("whole"), F.col("place") + LENGTH))
+    parts = F.transform("spans", lambda s: F.array(F.col("place") + s[0], F.col("place") + s[1] + LENGTH))
+    equal = several.where("NOT differ").select("row", whole.alias("spans"))
+    return equal.unionAll(several.where("differ").join(some, ["run", "context"]).select("row", parts.alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,13 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result; other columns are ignored. ``spans`` are the removed byte ranges, before merging.
     """
     numbered = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "texts")
-    hits = repeats(numbered)
-    size = numbered.select("row", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"))
-    # A context that repeats as a whole reaches from its first byte to its last.
-    whole = F.array(F.array(F.col("place") - F.col("whole"), F.least(F.col("place") + LENGTH, F.col("bytes"))))
-    parts = F.transform("spans", lambda s: F.array(F.col("place") + s[0], F.col("place") + s[1] + LENGTH))
-    ranges = hits.join(size, "row").select("row", F.coalesce(parts, whole).alias("spans"))
-    gathered = ranges.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
+    gathered = repeats(numbered).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
     kind = numbered.schema["doc_id"].dataType.simpleString()
     joined = numbered.join(gathered, "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_digest, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")
