@@ -24,7 +24,7 @@ from .neardup import mix
 
 LENGTH, RUN = 200, 50
 #: Bytes hashed at once, contexts of one run that a task compares, context bytes sorted and neighbours compared at once.
-PIECE, CONTEXTS, SORTED, COMPARED = 1 << 18, 4096, 2_000_000, 1 << 14
+PIECE, CONTEXTS, SORTED, COMPARED = 1 << 18, 2048, 800_000, 1 << 14
 
 _BASE = 0xC2B2AE3D27D4EB4F
 _POWERS: list[np.ndarray] = []
