@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 
 import ahocorasick
@@ -15,7 +17,8 @@ from .common import PLAIN, batch, texts
 #: Characters of patterns in one automaton; more items make further automata, each scanned in turn.
 BLOCK = 4_000_000
 
-_BUILT: dict[int, ahocorasick.Automaton] = {}
+#: Automata of the worker's last call, by the hash of their block.
+_BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
 def windows(text: bytes, words: int) -> set[str]:
@@ -59,15 +62,19 @@ def scan(text: bytes, automata: list) -> tuple[int, np.ndarray, set[str], np.nda
     return len(starts), np.cumsum(hit[:-1]) > 0, items, starts, ends
 
 
-def _automaton(shared) -> ahocorasick.Automaton:
-    """The automaton of a broadcast block, built once per worker."""
-    if shared.value and id(shared.value) not in _BUILT:
-        automaton = ahocorasick.Automaton()
-        for pattern, owners in shared.value.items():
-            automaton.add_word(pattern, (len(pattern), pattern.count(" ") - 1, sorted(set(owners))))
-        automaton.make_automaton()
-        _BUILT[id(shared.value)] = automaton
-    return _BUILT.get(id(shared.value))
+def _automata(shared: list[tuple[str, object]]) -> list[ahocorasick.Automaton]:
+    """The automata of broadcast blocks, given with the hash of their content; each is built once per worker, those of other calls are let go."""
+    wanted = {name for name, _ in shared}
+    for name in _BUILT.keys() - wanted:
+        del _BUILT[name]
+    for name, block in shared:
+        if name not in _BUILT and block.value:
+            automaton = ahocorasick.Automaton()
+            for pattern, owners in block.value.items():
+                automaton.add_word(pattern, (len(pattern), pattern.count(" ") - 1, sorted(set(owners))))
+            automaton.make_automaton()
+            _BUILT[name] = automaton
+    return [_BUILT[name] for name, _ in shared if name in _BUILT]
 
 
 RESULT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int32())))])
@@ -87,10 +94,10 @@ def decontaminate(
     text is scanned by several automata in turn, still in one pass over the table.
     """
     context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(block) for block in blocks(items, item_id, item_text, words)]
+    shared = [(hashlib.blake2b(pickle.dumps(block)).hexdigest(), context.broadcast(block)) for block in blocks(items, item_id, item_text, words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [x for x in map(_automaton, shared) if x]
+        automata = _automata(shared)
         for x in batches:
             rows = []
             for text in texts(x.column(text_col)):

@@ -157,6 +157,20 @@ def test_decontaminate_several_automata(spark, docs, monkeypatch):
     assert sorted(map(str, many.collect())) == wanted
 
 
+def test_automata_follow_the_content():
+    """A later block is scanned with its own automaton, also where it stands at the address of an earlier one."""
+    class Block:
+        value: dict = {}
+
+    block = Block()
+    for pattern, owner in ((" a b ", "1"), (" c d ", "2")):
+        block.value.clear()  # the same dict, so the same id
+        block.value[pattern] = [owner]
+        (automaton,) = decontaminate._automata([(pattern, block)])
+        assert decontaminate.scan(b"a b x c d", [automaton])[2] == {owner}
+        assert list(decontaminate._BUILT) == [pattern]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.normal(size=8).round(2)]) for i in range(300)]
