@@ -82,6 +82,32 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10
 
 
+def _address(text: str, secret: bytes) -> str:
+    """The surrogate of four octets, public or not as before; an octet with a leading zero is one of 00 to 09 and stays so."""
+    octets = text.split(".")
+    if not text.isascii():  # other digits: each among those of its script
+        return _shaped(text, "ip", secret, good=lambda s: all(int(x) < 256 for x in s.split(".")))
+    padded = [len(x) > 1 and x[0] == "0" for x in octets]
+    number, size = 0, 1
+    for x, short in zip(octets, padded, strict=True):
+        base = 10 if short else 256
+        number, size = number * base + int(x), size * base
+
+    def split(n: int) -> list[int]:
+        out = []
+        for short in reversed(padded):
+            n, x = divmod(n, 10 if short else 256)
+            out.append(x)
+        return out[::-1]
+
+    public = lambda n: ipaddress.IPv4Address(bytes(split(n))).is_global
+    was = public(number)
+    shape = "".join(".0" if short else "." for short in padded) if any(padded) else ""
+    key = hashlib.blake2b(f"ip{shape}".encode(), key=secret[:64], digest_size=32).digest()
+    new = split(_permute(number, size, key, lambda n: public(n) == was))
+    return ".".join(f"{x:02d}" if short else str(x) for x, short in zip(new, padded, strict=True))
+
+
 def surrogate(kind: str, text: str, secret: bytes) -> str:
     """The surrogate of one entity."""
     if kind == "email":
@@ -90,9 +116,7 @@ def surrogate(kind: str, text: str, secret: bytes) -> str:
         # The domain by itself, so that addresses of one domain stay in one domain.
         return f"{_shaped(local, f'local {domain.lower()}', secret)}@{_shaped(name, 'domain', secret)}.{top}"
     if kind == "ip":
-        size, public = 1 << 32, ipaddress.IPv4Address(text).is_global
-        key = hashlib.blake2b(b"ip", key=secret[:64], digest_size=32).digest()
-        return str(ipaddress.IPv4Address(_permute(int(ipaddress.IPv4Address(text)), size, key, lambda n: ipaddress.IPv4Address(n).is_global == public)))
+        return _address(text, secret)
     if kind == "card":
         rest = _luhn(re.sub(r"\D", "", text))  # 0 for a valid number; kept
         last = len(text) - 1

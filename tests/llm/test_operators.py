@@ -350,6 +350,17 @@ def test_surrogates(spark, docs, rows, empty):
     assert surrogates.collisions(surrogates.with_surrogates(data, b"k")).count() == 0
 
 
+def test_surrogates_of_padded_addresses():
+    new, found = surrogates.replace("hosts 10.05.20.01 and 10.5.20.1, v00.09.08.07 on 01.02.03.04 or ٣.٤.٥.٦", b"k")
+    assert [e[1] for e in found if e[0] == "ip"] == ["10.05.20.01", "10.5.20.1", "01.02.03.04", "٣.٤.٥.٦"]
+    for _, old, surrogate, _ in found[:3]:
+        assert surrogate != old
+        for a, b in zip(old.split("."), surrogate.split("."), strict=True):
+            assert int(b) < 256 and (len(b) > 1 and b[0] == "0") == (len(a) > 1 and a[0] == "0")
+    every = [f"1.0{a}.0{b}.{c}" for a in range(10) for b in range(10) for c in range(0, 256, 25)] + [f"1.{a}.{b}.5" for a in range(10) for b in range(10)]
+    assert len({surrogates.surrogate("ip", x, b"k") for x in every}) == len(every)
+
+
 def page(i, body, extra=""):
     return (i, f"https://h.example/{i}", f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li>Home</li></ul></nav><div class='cookie-notice'>We use &amp; like</div>{body}<div class=\"comments\"><p>nice {i}</p></div><footer>&copy; x</footer>{extra}</body></html>")
 
