@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 KINDS: tuple[tuple[str, re.Pattern, str], ...] = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}+@(?:[\w-]{1,63}+\.)++[A-Za-z]{2,24}(?![\w-])"), "@"),
     ("secret", re.compile(r"(?<!\w)(?:AKIA|ASIA)(?P<x>[0-9A-Z]{16})(?!\w)"), "IA"),
-    ("secret", re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<x>[\w+/.~-]{6,200})"), "=:"),
+    ("secret", re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<x>[\w+/.~-]{6,}+)"), "=:"),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}(?P<x>\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), ""),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"), "."),
     ("card", re.compile(r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"), ""),
@@ -35,6 +35,8 @@ ALPHABETS = (
     ("aeiou", "bcdfghjklmnpqrstvwxyz"), ("áàâäãåéèêëíìîïóòôöõúùûü", "çñß"),
     ("αεηιουω", "βγδζθκλμνξπρστφχψ"), ("аеиоуыэюя", "бвгдзклмнпрстфхцчшщж"),
 )
+#: Characters of a secret that are permuted as one number.
+PIECE = 200
 _CLASS = {c: group for pair in ALPHABETS for group in pair for c in group}
 _CLASS |= {c.upper(): group.upper() for c, group in _CLASS.items() if len(c.upper()) == 1}
 _CLASS |= dict.fromkeys("0123456789", "0123456789")
@@ -108,6 +110,12 @@ def _address(text: str, secret: bytes) -> str:
     return ".".join(f"{x:02d}" if short else str(x) for x, short in zip(new, padded, strict=True))
 
 
+def _secret(piece: str, after: str, secret: bytes) -> str:
+    if re.fullmatch(r"[0-9a-f]+", piece):
+        return _shaped(piece, f"hex{after}", secret, classes=dict.fromkeys("0123456789abcdef", "0123456789abcdef"))
+    return _shaped(piece, f"secret{after}", secret)
+
+
 def surrogate(kind: str, text: str, secret: bytes) -> str:
     """The surrogate of one entity."""
     if kind == "email":
@@ -128,8 +136,14 @@ def surrogate(kind: str, text: str, secret: bytes) -> str:
         return _shaped(text, kind, secret, lambda i, c: i < start, lambda s: re.sub(r"\D", "", s[start:])[:1] not in ("0", "1"))
     if kind == "person":  # each name by itself: a family keeps one name; the last letter stays, as it often shows the gender
         return re.sub(r"[^\W\d_]+", lambda m: _shaped(m[0], "name", secret, lambda i, c: i == len(m[0]) - 1), text)
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]+", text):
-        return _shaped(text, "hex", secret, classes=dict.fromkeys("0123456789abcdef", "0123456789abcdef"))
+    if kind == "secret":
+        # Long values in pieces, so that the cost is linear; what was before a piece is part of its key.
+        out, before = [], hashlib.blake2b(digest_size=16)
+        for i in range(0, len(text), PIECE):
+            piece = text[i : i + PIECE]
+            out.append(_secret(piece, f" {before.hexdigest()}" if i else "", secret))
+            before.update(piece.encode())
+        return "".join(out)
     return _shaped(text, kind, secret)
 
 

@@ -361,6 +361,20 @@ def test_surrogates_of_padded_addresses():
     assert len({surrogates.surrogate("ip", x, b"k") for x in every}) == len(every)
 
 
+def test_surrogates_of_long_secrets():
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-."
+    for n in (6, 200, 201, 300, 5000):
+        value = "".join(rng.choice(letters) for _ in range(n - 1)) + "Q"
+        new, found = surrogates.replace(f"token = {value} end", b"k")
+        assert [(e[0], e[1], e[3]) for e in found] == [("secret", value, 8)]
+        assert new == f"token = {found[0][2]} end" and len(found[0][2]) == n
+        assert all(value[i : i + 100] not in new for i in range(0, n - 5, 50))
+    other = f"{value[:-1]}R"  # differs in the last character only
+    assert surrogates.surrogate("secret", other, b"k") != surrogates.surrogate("secret", value, b"k")
+    assert surrogates.surrogate("secret", "g" + "0" * 999, b"k") != surrogates.surrogate("secret", "g" + "0" * 998 + "1", b"k")
+
+
 def page(i, body, extra=""):
     return (i, f"https://h.example/{i}", f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li>Home</li></ul></nav><div class='cookie-notice'>We use &amp; like</div>{body}<div class=\"comments\"><p>nice {i}</p></div><footer>&copy; x</footer>{extra}</body></html>")
 
