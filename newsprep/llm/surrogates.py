@@ -2,16 +2,18 @@
 
 A surrogate keeps what the kind and the format need and permutes the rest: digits among digits,
 vowels among vowels, consonants among consonants, each within script and case. The permutation is a
-Feistel network over all values of the same shape, keyed by the secret and the shape, so that equal
-entities get equal surrogates in every document and task, and different ones different surrogates,
-without any table of what was seen. ``collisions`` checks that over a whole result.
+Feistel network over all values of the same shape, keyed by the secret and the shape, made one cycle so
+that no value stays as it is: equal entities get equal surrogates in every document and task, and
+different ones different surrogates, without any table of what was seen. ``collisions`` checks that over a whole result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,35 +32,79 @@ KINDS: tuple[tuple[str, re.Pattern, str], ...] = (
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])"), "-. "),
     ("person", re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra)\.? (?P<x>[^\W\d_]{2,30}(?:[ -][^\W\d_]{2,30}){0,2})"), " "),
 )
-#: Letters of a script, vowels first; a letter that stands in none of them stays.
+#: Letters of a script, vowels first; a letter or digit that stands in none of them has those of its kind nearby, see ``_group``.
 ALPHABETS = (
     ("aeiou", "bcdfghjklmnpqrstvwxyz"), ("áàâäãåéèêëíìîïóòôöõúùûü", "çñß"),
     ("αεηιουω", "βγδζθκλμνξπρστφχψ"), ("аеиоуыэюя", "бвгдзклмнпрстфхцчшщж"),
+    ("اأإآويى", "بتثجحخدذرزسشصضطظعغفقكلمنه"), ("אהוי", "בגדזחטכלמנסעפצקרשת"),
 )
 #: Characters of a secret that are permuted as one number.
 PIECE = 200
 _CLASS = {c: group for pair in ALPHABETS for group in pair for c in group}
-_CLASS |= {c.upper(): group.upper() for c, group in _CLASS.items() if len(c.upper()) == 1}
+_CLASS |= {c.upper(): "".join(x.upper() for x in group if len(x.upper()) == 1) for c, group in _CLASS.items() if len(c.upper()) == 1}
 _CLASS |= dict.fromkeys("0123456789", "0123456789")
+_HEX = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
+
+
+@functools.cache
+def _near(block: int, category: str) -> str:
+    """Letters or digits of one category in a block of 128 code points, without those of ``ALPHABETS``."""
+    every = map(chr, range(block << 7, (block + 1) << 7))
+    return "".join(c for c in every if c.isalnum() and c not in _CLASS and unicodedata.category(c) == category)
+
+
+@functools.cache
+def _alone() -> str:
+    """All that are the only ones of their block and category."""
+    every = {(i >> 7, unicodedata.category(chr(i))) for i in range(0x110000) if chr(i).isalnum() and chr(i) not in _CLASS}
+    return "".join(sorted(near for near in (_near(*x) for x in every) if len(near) == 1))
+
+
+def _group(c: str) -> str | None:
+    """The characters among which ``c`` is permuted; the groups do not overlap, and only what is no letter or digit has none."""
+    if c in _CLASS or not c.isalnum():
+        return _CLASS.get(c)
+    near = _near(ord(c) >> 7, unicodedata.category(c))
+    return near if len(near) > 1 else _alone()
+
+
+def _feistel(number: int, half: int, key: bytes, back: bool) -> int:
+    """Four keyed rounds over ``2 * half`` bits, or their inverse."""
+    mask = (1 << half) - 1
+    left, right = number >> half, number & mask
+    for step in range(4):
+        seen = left if back else right
+        digest = hashlib.blake2b(bytes([3 - step if back else step]) + seen.to_bytes(half // 8 + 1, "big"), key=key, digest_size=64).digest()
+        bits = int.from_bytes(digest * (half // 512 + 1), "big") & mask
+        left, right = (right ^ bits, left) if back else (right, left ^ bits)
+    return left << half | right
 
 
 def _permute(number: int, size: int, key: bytes, good: Callable[[int], bool]) -> int:
-    """A keyed bijection of the good numbers below ``size``: four-round Feistel, walked until the value is good."""
+    """A keyed bijection of the good numbers below ``size``: the next one in a keyed order of all of them.
+
+    The order is a Feistel network walked until the value is below ``size``, and the last number is
+    followed by the first. That is one cycle, so no number stays unless no other is good.
+    """
     half = max(1, (size - 1).bit_length() + 1 >> 1)
-    mask = (1 << half) - 1
+
+    def walk(n: int, back: bool) -> int:
+        n = _feistel(n, half, key, back)
+        while n >= size:
+            n = _feistel(n, half, key, back)
+        return n
+
+    place = walk(number, False)
     while True:
-        left, right = number >> half, number & mask
-        for step in range(4):
-            digest = hashlib.blake2b(bytes([step]) + right.to_bytes(half // 8 + 1, "big"), key=key, digest_size=64).digest()
-            left, right = right, left ^ (int.from_bytes(digest * (half // 512 + 1), "big") & mask)
-        number = left << half | right
-        if number < size and good(number):
+        place = (place + 1) % size
+        number = walk(place, True)
+        if good(number):
             return number
 
 
-def _shaped(text: str, kind: str, secret: bytes, fixed: Callable[[int, str], bool] = lambda i, c: False, good: Callable[[str], bool] = lambda s: True, classes: dict[str, str] = _CLASS) -> str:
+def _shaped(text: str, kind: str, secret: bytes, fixed: Callable[[int, str], bool] = lambda i, c: False, good: Callable[[str], bool] = lambda s: True, classes: Callable[[str], str | None] = _group) -> str:
     """``text`` with its free letters and digits permuted within their classes."""
-    free = [(i, classes[c]) for i, c in enumerate(text) if c in classes and not fixed(i, c)]
+    free = [(i, group) for i, c in enumerate(text) if not fixed(i, c) and (group := classes(c))]
     if not free:
         return text
     shape = list(text)
@@ -112,8 +158,8 @@ def _address(text: str, secret: bytes) -> str:
 
 def _secret(piece: str, after: str, secret: bytes) -> str:
     if re.fullmatch(r"[0-9a-f]+", piece):
-        return _shaped(piece, f"hex{after}", secret, classes=dict.fromkeys("0123456789abcdef", "0123456789abcdef"))
-    return _shaped(piece, f"secret{after}", secret)
+        return _shaped(piece, f"hex{after}", secret, classes=_HEX.get)
+    return _shaped(piece, f"secret{after}", secret, good=lambda s: not re.fullmatch(r"[0-9a-f]+", s))  # hex values are met by hex values only
 
 
 def surrogate(kind: str, text: str, secret: bytes) -> str:
@@ -127,9 +173,9 @@ def surrogate(kind: str, text: str, secret: bytes) -> str:
         return _address(text, secret)
     if kind == "card":
         rest = _luhn(re.sub(r"\D", "", text))  # 0 for a valid number; kept
-        last = len(text) - 1
-        body = _shaped(text, f"card {rest}", secret, lambda i, c: i in (0, last))
-        return next(s for s in (body[:-1] + d for d in "0123456789") if _luhn(re.sub(r"\D", "", s)) == rest)
+        # The last digit follows from the others and the rest, so it is no part of the key.
+        body, zero = _shaped(text[:-1], f"card {rest}", secret, lambda i, c: i == 0), ord(text[-1]) - int(text[-1])
+        return next(s for s in (body + chr(zero + d) for d in range(10)) if _luhn(re.sub(r"\D", "", s)) == rest)
     if kind == "phone":
         code = re.match(r"\+\d{1,3}", text)
         start = code.end() if code else 0
@@ -159,6 +205,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             a, b = m.span("x") if "x" in pattern.groupindex else m.span()
             if kind == "phone" and not 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                 continue
+            if kind == "secret" and not any(map(str.isalnum, m["x"])):  # dots or dashes in place of a value
+                continue
             taken = taken or bytearray(len(text))
             if not any(taken[a:b]):
                 taken[a:b] = b"\1" * (b - a)

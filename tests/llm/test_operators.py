@@ -375,6 +375,26 @@ def test_surrogates_of_long_secrets():
     assert surrogates.surrogate("secret", "g" + "0" * 999, b"k") != surrogates.surrogate("secret", "g" + "0" * 998 + "1", b"k")
 
 
+def test_no_surrogate_equals_its_entity():
+    names = [f"{a}{b}{c}" for a in "LBSÑÇŁ" for b in ("", "a", "e", "é", "š") for c in "ian"] + ["محمد", "أحمد", "דוד", "שרה", "김철수", "王小明", "Ωμέγα", "Юрий", "ひろし", "Øyvind"]
+    for key in (b"k", b"l", b"m"):
+        new = [surrogates.surrogate("person", x, key) for x in names]
+        assert all(a != b and len(a) == len(b) for a, b in zip(names, new, strict=True)) and len(set(new)) == len(set(names))
+    title, found = surrogates.replace("Mr. محمد علي, Dr. 김철수, Frau שרה", b"k")
+    assert len(found) == 3 and all(e[1] not in title for e in found)
+    for size in (2, 3, 5, 21, 105, 1000):  # one bijection without a fixed point, also of a part
+        for good in (lambda n: True, lambda n: n % 3 != 2 or size < 5):
+            some = [n for n in range(size) if good(n)]
+            image = [surrogates._permute(n, size, b"k", good) for n in some]
+            assert sorted(image) == some and all(a != b for a, b in zip(some, image, strict=True))
+    cards = {f"4{i:04d}00000000000"[:-1] + str(i % 10) for i in range(3000)} | {f"40000000000{i:05d}" for i in range(3000)}
+    for kind, values in (("card", cards), ("secret", {f"{a}{b}0000" for a in "abcdefghij" for b in "abcdefghij"}), ("ssn", {"123-45-6789", "٣٢١-٤٥-٦٧٨٩"})):
+        new = {x: surrogates.surrogate(kind, x, b"k") for x in values}
+        assert all(a != b for a, b in new.items()) and len(set(new.values())) == len(values)
+        assert kind != "secret" or all(bool(re.fullmatch("[0-9a-f]+", a)) == bool(re.fullmatch("[0-9a-f]+", b)) for a, b in new.items())
+    assert surrogates.replace("password = ........", b"k")[1] == []
+
+
 def page(i, body, extra=""):
     return (i, f"https://h.example/{i}", f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li>Home</li></ul></nav><div class='cookie-notice'>We use &amp; like</div>{body}<div class=\"comments\"><p>nice {i}</p></div><footer>&copy; x</footer>{extra}</body></html>")
 
