@@ -417,3 +417,20 @@ def test_template_is_deduced(spark):
     data = [page(i, f"<div class='x'><p>story {i} {'w ' * i}</p></div><div><p>Same on every page</p></div>") for i in range(8)]
     df = spark.createDataFrame(data, "page_id bigint, url string, html string")
     assert [r["text"] for r in sorted(extract.extract(df).collect())] == [f"story {i} {'w ' * i}".strip() for i in range(8)]
+
+
+def test_articles_on_small_and_large_hosts():
+    """An article with an id of its own is one whether the host has a template or not."""
+    wanted = "T7\nstory 7"
+    body = "<div class='date'>May {i}</div><article id='post-{i}' class='post-{i} post'><header><h1>T{i}</h1></header><p>story {i}</p></article><div>tags {i}</div>"
+    for n in (3, 4, 12):
+        pages = [page(i, body.replace("{i}", str(i)))[2] for i in range(n)] + [page(i, f"<p>other {i}</p>")[2] for i in range(n)]
+        seen = [{k for k, *_ in extract.walk(x)} for x in pages]
+        template = frozenset(k for k in set().union(*seen) if sum(k in x for x in seen) >= 1.2 * n) if n >= 4 else frozenset()
+        assert extract.main_text(page(7, body.replace("{i}", "7"))[2], template) == wanted
+
+
+def test_text_within_numbered_boxes_is_constant(spark):
+    data = [page(i, f"<div id='page-{i}' class='c{i} x'><p>story {i} {'w ' * i}</p><p>Same on every page</p></div>") for i in range(8)]
+    df = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    assert [r["text"] for r in sorted(extract.extract(df).collect())] == [f"story {i} {'w ' * i}".strip() for i in range(8)]
