@@ -434,3 +434,20 @@ def test_text_within_numbered_boxes_is_constant(spark):
     data = [page(i, f"<div id='page-{i}' class='c{i} x'><p>story {i} {'w ' * i}</p><p>Same on every page</p></div>") for i in range(8)]
     df = spark.createDataFrame(data, "page_id bigint, url string, html string")
     assert [r["text"] for r in sorted(extract.extract(df).collect())] == [f"story {i} {'w ' * i}".strip() for i in range(8)]
+
+
+def test_wrappers_with_names_of_boxes():
+    """A name of a box, or a form, around the article or most of the page does not discard it; the boxes themselves still go."""
+    text = lambda body: extract.main_text(f"<html><body>{body}</body></html>", frozenset())
+    story, aside = "<p>story one two three</p>", "<div class='sidebar'><p>links</p></div><div class='comments'><p>nice</p></div>"
+    for wrapper in ("div class='layout has-sidebar'", "div class='page comments-open'", "form id='f'", "form class='search-form'"):
+        end = f"</{wrapper.split()[0]}>"
+        assert text(f"<{wrapper}><article>{story}</article>{aside}{end}") == "story one two three"
+        assert text(f"<{wrapper}>{story}{aside}{end}") == "story one two three"
+    widget = lambda kind, x: f"<div class='elementor-widget elementor-widget-{kind}'>{x}</div>"
+    built = widget("heading", "<h1>T</h1>") + widget("text-editor", story) + widget("text-editor", "<p>four five six</p>") + widget("share", "<p>tweet</p>")
+    assert text(built) == text(f"<article>{built}</article>") == "T\nstory one two three\nfour five six"
+    assert text(f"<div>{story}</div><div class='comments'><p>{'nice words ' * 30}</p></div>") == "story one two three"
+    cards = "<div class='related'>" + "<article><p>another story with a teaser</p></article>" * 5 + "</div>"
+    assert text(f"<article>{story}</article>{cards}") == "story one two three"
+    assert text(f"<article>{story}<div class='newsletter'><p>join</p></div></article><form><p>name</p></form>") == "story one two three"
