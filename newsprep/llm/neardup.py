@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, MASK, texts, written
 
+#: Words of a shingle and percent of the union, unless the caller says otherwise.
 WORDS, THRESHOLD = 3, 85
-REGISTERS, MANTISSA, ROUNDS, BANDS, ROWS = 128, 10, 24, 25, 5
-#: Below the threshold by more than four standard deviations of the estimate a pair is not compared.
-MARGIN = 0.17
+REGISTERS, MANTISSA, ROUNDS = 128, 10, 24
+#: Two texts at the threshold share no band with this chance at most.
+MISS = 4.5e-7
+#: Below the threshold by more standard deviations of the estimate than this a pair is not compared.
+DEVIATIONS = 5.4
 #: Classes and shingles of a block in which all classes are compared.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Bytes of text hashed at once.
@@ -116,12 +119,23 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bands(sketch: np.ndarray) -> np.ndarray:
-    keys = np.empty((len(sketch), BANDS), np.uint64)
-    for band in range(BANDS):
+def rows_of(threshold: int) -> int:
+    """Registers in a band: as many as ``MISS`` allows, 5 at 85 percent and 4 at 80."""
+    misses = lambda r: (1 - (threshold / 100) ** r) ** (REGISTERS // r)
+    return max((r for r in range(1, REGISTERS + 1) if misses(r) <= MISS), default=1)
+
+
+def margin(threshold: int) -> float:
+    return DEVIATIONS * (threshold / 100 * (1 - threshold / 100) / REGISTERS) ** 0.5 + 1e-9
+
+
+def bands(sketch: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    rows = rows_of(threshold)
+    keys = np.empty((len(sketch), REGISTERS // rows), np.uint64)
+    for band in range(keys.shape[1]):
         key = np.full(len(sketch), band + 1, np.uint64)
-        for r in range(ROWS):
-            key = mix(key * np.uint64(_BASE) + sketch[:, band * ROWS + r])
+        for r in range(rows):
+            key = mix(key * np.uint64(_BASE) + sketch[:, band * rows + r])
         keys[:, band] = key
     return keys.view(np.int64)
 
@@ -132,30 +146,30 @@ def estimate(same: Column) -> Column:
     return (same / F.lit(float(REGISTERS)) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], words: int, threshold: int) -> Iterator[pa.RecordBatch]:
     for x in batches:
         for at in range(0, len(x), 128):
             part = x.slice(at, 128)
-            sets = [shingles(t) for t in texts(part.column("text"))]
+            sets = [shingles(t, words) for t in texts(part.column("text"))]
             sketch = registers(sets)
             ints = lambda m, kind: pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(m.ravel(), kind))
             signed = lambda f: pa.array(np.array([f(s) for s in sets], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 signed(lambda s: s.sum(dtype=np.uint64)), signed(lambda s: np.bitwise_xor.reduce(mix(s), initial=np.uint64(0))),
-                ints(bands(sketch), pa.int64()), ints(sketch.astype(np.int32), pa.int32()),
+                ints(bands(sketch, threshold), pa.int64()), ints(sketch.astype(np.int32), pa.int32()),
             ], names=["doc_id", "n", "sum", "xor", "bands", "registers"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for x in batches:
         for at in range(0, len(x), 256):
             part = x.slice(at, 256)
-            sets = [shingles(t).view(np.int64) for t in texts(part.column("text"))]
+            sets = [shingles(t, words).view(np.int64) for t in texts(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
 
-def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets of one block, found on the full sets."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     every, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -173,7 +187,7 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         present[owner[a:b], column[a:b] - start] = 1
         common += present @ present.T
     union = sizes[:, None] + sizes[None, :] - common
-    link = (100 * common.astype(np.float64) >= THRESHOLD * union) & (union > 0)
+    link = (100 * common.astype(np.float64) >= threshold * union) & (union > 0)
     seen, forest = np.zeros(len(sets), bool), []
     for root in range(len(sets)):
         if seen[root]:
@@ -188,9 +202,9 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return forest
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
+def _block(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
     ids = rows["doc_id"].to_numpy()
-    pairs = linked([np.asarray(s, np.int64) for s in rows["shingles"]])
+    pairs = linked([np.asarray(s, np.int64) for s in rows["shingles"]], threshold)
     return pd.DataFrame({"a": [ids[x] for x, _ in pairs], "b": [ids[y] for _, y in pairs]}, dtype="int64")
 
 
@@ -214,17 +228,18 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
-    Two documents are linked if their sets share ``THRESHOLD`` percent of the union; a component is
+    Two documents are linked if their sets share ``threshold`` percent of the union of their
+    shingles of ``words`` words; a component is
     named by its smallest id. Null texts and texts without words have no shingles, are linked with
     nothing and are kept. A row without id is linked with nothing, has no component and is kept.
     Rows that share an id are one document with several texts. Ids are whole numbers. An empty
     table gives an empty result; other columns are ignored.
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    features = written(plain.mapInArrow(_features, "doc_id bigint, n bigint, sum bigint, xor bigint, bands array<bigint>, registers array<int>"), "features")
+    features = written(plain.mapInArrow(lambda x: _features(x, words, threshold), "doc_id bigint, n bigint, sum bigint, xor bigint, bands array<bigint>, registers array<int>"), "features")
     narrow = features.select("doc_id", "n", "sum", "xor")
     some = narrow.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(some.groupBy("sum", "xor", "n").agg(F.min("doc_id").alias("rep")), "classes")
@@ -239,16 +254,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = written(
         pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("registers").alias("ra")), "a")
         .join(sketch.select(F.col("doc_id").alias("b"), F.col("registers").alias("rb")), "b")
-        .where(estimate(same) >= THRESHOLD / 100 - MARGIN).select("a", "b").distinct(), "likely"
+        .where(estimate(same) >= threshold / 100 - margin(threshold)).select("a", "b").distinct(), "likely"
     )
     # Bands in which a class may have no link with the pivot are compared in full; pairs that the estimate drops count too.
     wanted = grouped.where("members > 2").select("doc_id").unionAll(likely.select("a")).unionAll(likely.select("b")).distinct()
-    sets = written(plain.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"), "sets")
+    sets = written(plain.join(wanted, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, words), "doc_id bigint, shingles array<bigint>"), "sets")
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s{name}"))
     shared = F.size(F.array_intersect("sa", "sb"))
     links = written(
         likely.join(side("a"), "a").join(side("b"), "b")
-        .where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * THRESHOLD).select("a", "b").distinct(), "links"
+        .where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * threshold).select("a", "b").distinct(), "links"
     )
     large = grouped.where("members > 2")
     failed = large.where("doc_id <> pivot").join(
@@ -261,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("doc_id", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     )
-    more = blocks.join(sets, "doc_id").groupBy("band", "x", "y").applyInPandas(_block, "a bigint, b bigint")
+    more = blocks.join(sets, "doc_id").groupBy("band", "x", "y").applyInPandas(lambda x: _block(x, threshold), "a bigint, b bigint")
     found = components(links.unionAll(more))
     named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "sum", "xor", "n", F.coalesce("component", "rep").alias("component_id")
@@ -273,9 +288,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with all its columns, one row of each component; rows without id stay, repeated rows of one id and text stay once."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, words, threshold).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
     named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
     return named.unionByName(left.where(F.col(id_col).isNull()))

@@ -1,6 +1,7 @@
 """The registered queries of the subpackage: names, SQL, and the pipeline stage by stage."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -67,3 +68,25 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in result) == sorted(i for i, n in times.items() for _ in range(n))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
+
+
+def test_near_duplicates_by_five_words(spark):
+    """One document of each group of texts with four fifths of their shingles of five words in common, by brute force."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(base), " ".join(base + [f"x{i}" for i in range(40)])]  # 196 of 236 in common
+    for i in range(40):  # copies of several bases, from near to far
+        words = [f"b{i % 4}x{j}" for j in range(150)] + [f"end{i}x{j}" for j in range(5 * (i // 4))]
+        texts.append(" ".join(words))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    name = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                if name[b] < name[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    name[a], changed = name[b], True
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    left = neardup.without_near_duplicates(docs, words=5, threshold=80)
+    assert name[1] == 0 and sorted(r["doc_id"] for r in left.collect()) == sorted(set(name))
