@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language: null text, or not one letter."""
     ship(configure(spark), "newsprep")
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    if not model[0]:  # nothing to learn from: every text with a letter is of the one language there is
+        model = ["any"], np.zeros((1, langid.DIMENSIONS))
     return langid.predict(docs, model, into="_language").where("_language.lang_pred <> 'und'").select(*[f"`{c}`" for c in docs.columns])
 
 

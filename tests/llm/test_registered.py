@@ -90,3 +90,10 @@ def test_near_duplicates_by_five_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     left = neardup.without_near_duplicates(docs, words=5, threshold=80)
     assert name[1] == 0 and sorted(r["doc_id"] for r in left.collect()) == sorted(set(name))
+
+
+def test_language_stage_without_labels(spark):
+    """Where no row has a language, only texts without a letter are dropped."""
+    rows = [(1, "the house", None), (2, "12 !?", None), (3, None, None), (4, "日本", None), (5, "", None), (6, "x", None)]
+    left = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), DATA)
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 4, 6]
