@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsprep.session import configure, ship
 
 from . import decontaminate as leak
-from . import extract, langid, licenses, mixing, neardup, sharding, suffixes, surrogates, topk
+from . import extract, langid, licenses, mixing, neardup, quality, resample, sharding, spelling, suffixes, surrogates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,15 +88,21 @@ def op7(table) -> DataFrame:
     )
 
 
-#: All columns but the checksum, for which this SQL has no function; the tests compare with it.
-SHARDS_SQL = r"""
-WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, text FROM documents),
-p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id) AS n FROM d),
-s AS (SELECT *, CAST(least(((2 * before + size) * 16) // (2 * total), 15) AS INT) AS shard FROM p)
-SELECT doc_id, size, shard, n - min(n) OVER (PARTITION BY shard) AS slot, 'bytes' AS law, CAST(NULL AS INT) AS grown_shard FROM s"""
+#: The 256 remainders of the checksum, and the checksum of a text's UTF-8 bytes, which this SQL has no function for.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY k) AS remainders FROM (
+  SELECT k, list_reduce([k] || range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(k)))"""
+
+
+def _crc(text: str) -> str:
+    step = "lambda a, b: xor(a >> 8, remainders[CAST(xor(a & 255, b) AS INT) + 1])"
+    return f"xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT)), {step}), 4294967295)"
 
 
-@query("op8_sharding")
+@query("op8_sharding", f"""
+WITH {_CRC_TABLE}, d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc("coalesce(text, '')")} AS text_crc32 FROM documents, crc),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id) AS n FROM d),
+s AS (SELECT *, CAST(least(((2 * before + size) * 16) // (2 * total), 15) AS INT) AS shard FROM p)
+SELECT doc_id, size, text_crc32, shard, n - min(n) OVER (PARTITION BY shard) AS slot, 'bytes' AS law, CAST(NULL AS INT) AS grown_shard FROM s""")
 def op8(table) -> DataFrame:
     return sharding.shard(table("documents"))
 
@@ -161,3 +167,54 @@ def op2(table) -> DataFrame:
 def op5(table) -> DataFrame:
     found = suffixes.remove_repeats(table("documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_spelling_variants", rf"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT doc_id, run, count(*) AS n, len(run) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, n, k, {_crc("doc_id || ':' || run")} AS h FROM o, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % k) || substr(run, h % k + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE len(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+d AS (SELECT DISTINCT word, substr(word, 1, i) || substr(word, i + 2) AS x FROM (SELECT word, unnest(range(len(word))) AS i FROM v)),
+g AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS x FROM (SELECT word, unnest(range(len(word))) AS i FROM v)),
+p AS (SELECT d.word AS a, v.word AS b FROM d JOIN v ON d.x = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.x = v.word
+      UNION SELECT s.word, t.word FROM g s JOIN g t ON s.x = t.x AND s.i = t.i AND s.word <> t.word),
+m AS (SELECT p.a AS word, p.b, y.n AS b_n, z.n, count(*) OVER (PARTITION BY p.a) AS n_near,
+             row_number() OVER (PARTITION BY p.a ORDER BY y.n DESC, p.b) AS place FROM p JOIN v y ON y.word = p.b JOIN v z ON z.word = p.a),
+f AS (SELECT word, n_near, CASE WHEN b_n >= 5 * n THEN b END AS form, CASE WHEN b_n >= 5 * n THEN b_n END AS form_n FROM m WHERE place = 1),
+c(word, reached) AS (SELECT word, word FROM v UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.reached WHERE f.form IS NOT NULL),
+r AS (SELECT c.word, c.reached AS root FROM c LEFT JOIN f ON f.word = c.reached WHERE f.form IS NULL)
+SELECT v.word, f.form, r.root, v.n, coalesce(f.n_near, 0) AS n_near, f.form_n FROM v LEFT JOIN f USING (word) JOIN r USING (word)""")
+def op11(table) -> DataFrame:
+    return spelling.spelling_variants(table("documents"), noise=199)
+
+
+@query("op12_quality")
+def op12(table) -> DataFrame:
+    docs, labels = table("documents").select("doc_id", "text"), table("labels")
+    model = quality.train(docs, labels.where(~langid.held_out(F.col("doc_id"))), "quality", at=0.3)
+    return quality.score(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "quality.score", "quality.predicted")
+
+
+@query("op13_importance_resampling", rf"""
+WITH {_CRC_TABLE},
+w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+d AS (SELECT doc_id, len(w) AS n_words, w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS f FROM w),
+b AS (SELECT w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS f FROM (SELECT {_WORDS} AS w FROM benchmark)),
+e AS (SELECT doc_id, unnest(f) AS x FROM d), g AS (SELECT unnest(f) AS x FROM b),
+k AS (SELECT x, {_crc("x")} % 10000 AS bucket FROM (SELECT x FROM e UNION SELECT x FROM g), crc),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN k USING (x) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM g JOIN k USING (x) GROUP BY 1),
+u AS (SELECT i AS bucket, CAST(coalesce(s, 0) AS DOUBLE) AS s, CAST(coalesce(t, 0) AS DOUBLE) AS t, sum(coalesce(s, 0)) OVER () AS s_all, sum(coalesce(t, 0)) OVER () AS t_all
+      FROM range(10000) r(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+q AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (CAST(s_all AS DOUBLE) + 10000) / ((s + 1) * (CAST(t_all AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM u),
+m AS (SELECT doc_id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM e JOIN k USING (x) JOIN q USING (bucket) GROUP BY 1),
+z AS (SELECT doc_id, n_words, CAST(len(f) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (doc_id)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM z),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM y WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM y LEFT JOIN o USING (doc_id)""")
+def op13(table) -> DataFrame:
+    return resample.resample(table("documents"), table("benchmark"))

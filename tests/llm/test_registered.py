@@ -8,10 +8,10 @@ import pytest
 
 import corpus_pipeline
 from newsprep.llm import decontaminate, mixing, neardup
-from newsprep.llm.queries import ORACLES, QUERIES, SHARDS_SQL
+from newsprep.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark".split()
+TABLES = "documents embeddings pages benchmark labels".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -28,14 +28,14 @@ def normal(value):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", [*sorted(ORACLES), "op8_sharding"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
-    wanted = duck.sql(ORACLES.get(name, SHARDS_SQL))
+    wanted = duck.sql(ORACLES[name])
     columns = sorted(wanted.columns)
     got = sorted(tuple(normal(r[c]) for c in columns) for r in df.collect())
     places = [wanted.columns.index(c) for c in columns]
@@ -44,7 +44,7 @@ def test_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_whole_table(spark, name):
-    table = "pages" if name.startswith("op2") else "documents"
+    table = "pages" if name.startswith("op2_") else "documents"
     assert QUERIES[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
 
 
@@ -55,6 +55,13 @@ def test_language_is_learned(spark):
     assert sum(found[i]["lang_pred"] == truth[i] for i in held) >= 0.95 * len(held)
 
 
+def test_quality_is_learned(spark):
+    found = {r["doc_id"]: r for r in QUERIES["op12_quality"](spark, "/root/testdata/sf0.01").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
+    held = [r for r in labels if found[r["doc_id"]]["held_out"]]
+    assert len(held) > 50 and sum(found[r["doc_id"]]["predicted"] == r["quality"] for r in held) >= 0.95 * len(held)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "near duplicates", "benchmark decontamination", "mixing", "sharding"]
