@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(path: str, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The rows of a folder of Parquet files below the shared folder, read by a task; none where there is no folder."""
+    system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as file:
+                yield from pq.ParquetFile(file).iter_batches(rows)
+
+
 def utf8_size(text: Column) -> Column:
     """UTF-8 bytes; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")

@@ -451,3 +451,18 @@ def test_wrappers_with_names_of_boxes():
     cards = "<div class='related'>" + "<article><p>another story with a teaser</p></article>" * 5 + "</div>"
     assert text(f"<article>{story}</article>{cards}") == "story one two three"
     assert text(f"<article>{story}<div class='newsletter'><p>join</p></div></article><form><p>name</p></form>") == "story one two three"
+
+
+def test_decontaminate_long_texts_in_linear_time():
+    """A text with hits throughout: offsets of megabytes of it in seconds."""
+    import time
+
+    text = ("été aa bb " * 400_000).encode()
+    automaton = decontaminate.ahocorasick.Automaton()
+    automaton.add_word(" aa bb ", (7, 2, ["1"]))
+    automaton.make_automaton()
+    n, hit, found, starts, ends = decontaminate.scan(text, [automaton])
+    began = time.perf_counter()
+    spans = decontaminate.stretches(text, hit, starts, ends)
+    assert time.perf_counter() - began < 5
+    assert n == 1_200_000 and len(spans) == 400_000 and spans[:2] == [[4, 9], [14, 19]] and spans[-1] == [3_999_994, 3_999_999]
