@@ -1,30 +1,40 @@
-"""The vector collection: a parquet folder in which the last write per id wins (SNK-2, SNK-3).
+"""The vector collection: a folder in which the last write per id wins (SNK-2, SNK-3, STM-3).
 
 Layout below the collection path::
 
-    meta/                                 dimension and metric, written once
-    log/run_id=R/batch_id=N/attempt=A/state=S/   what batch N of run R wrote; S is ``ok`` or ``reject``
-    versions/v=K/points/                  compacted points, one row per id
-    versions/v=K/covered/                 run, batch and attempt of every log folder folded in
-    pointer/                              one row per finished compaction
-
-A batch owns its log partition and replaces it when it is replayed, under a new attempt; an attempt
-counts as folded in only if the version lists it, so late and rewritten batches are never lost. A compaction writes a new
-version and only then adds a pointer row, so a failed one changes nothing for readers.
+    meta/                                        dimension, metric and number of buckets, written once
+    manifest/SEQ-ATTEMPT.json                    one entry per committed batch; what has none does not exist
+    log/run_id=R/batch_id=N/attempt=A/state=S/   what an attempt wrote; S is ``ok`` or ``reject``
+    versions/v=K/points/bucket=B/live=L/         compacted rows by hash of the id; L tells the last write of an id from earlier ones
+    versions/v=K/files/                          every file of the version, older folders included, with its least and greatest creation time
+    versions/v=K/covered/                        the attempts folded in
+    pointer/                                     one row per finished compaction
+
+A batch is what its last committed attempt wrote. The view is the last write per id over all
+batches, whether they are folded in or not: a version keeps the earlier writes of an id beside the
+last one, so that a batch that is written again gives back what its first attempt had hidden. A
+compaction rewrites only the buckets that new or replaced batches touch, and counts once its
+pointer row is written.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
+from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsprep.functions.vectors import VECTOR, norm
 from newsprep.operators.latest import latest
 
+from .sink import CollectionSink, located
+
 PAYLOAD = T.StructType([
     T.StructField("headline", T.StringType()),
     T.StructField("summary", T.StringType()),
@@ -44,11 +54,21 @@ POINT_SCHEMA = T.StructType([
     T.StructField("part", T.IntegerType()),
     T.StructField("pos", T.IntegerType()),
 ])
-_PLACE = [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType()), T.StructField("state", T.StringType())]
-_LOG = T.StructType([*POINT_SCHEMA.fields, T.StructField("error", T.StringType()), *_PLACE])
-_META = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("metric", T.StringType())])
+_PLACE = [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType())]
+_LOG = T.StructType([*POINT_SCHEMA.fields, T.StructField("error", T.StringType()), *_PLACE, T.StructField("state", T.StringType())])
+_STORED = T.StructType([*POINT_SCHEMA.fields, *_PLACE])
+_META = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("metric", T.StringType()), T.StructField("buckets", T.IntegerType())])
 _POINTER = T.StructType([T.StructField("v", T.LongType())])
-_ATTEMPT = ["run_id", "batch_id", "attempt"]
+_BUCKETS = T.StructField("buckets", T.ArrayType(T.IntegerType()))
+_ENTRY = T.StructType([*_PLACE, T.StructField("seq", T.LongType()), T.StructField("folder", T.StringType()), T.StructField("rows", T.LongType()), _BUCKETS])
+_COVERED = T.StructType([*_PLACE, T.StructField("seq", T.LongType()), _BUCKETS])
+_FILE = T.StructType([
+    T.StructField("bucket", T.IntegerType()), T.StructField("live", T.BooleanType()), T.StructField("folder", T.StringType()), T.StructField("file", T.StringType()),
+    T.StructField("rows", T.LongType()), T.StructField("low", T.TimestampType()), T.StructField("high", T.TimestampType()),
+])
+_BATCH = ["run_id", "batch_id"]
+#: Buckets of a new collection, and rows of a file of a version.
+BUCKETS, FILE_ROWS = 16, 1 << 20
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet") -> DataFrame:
@@ -63,31 +83,50 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, form: str = "par
 
 def latest_points(points: DataFrame) -> DataFrame:
     """WIN-2 on points."""
-    return latest(points, recency=("updated_at", F.col("payload.created_at"), "article_id", "part", "pos"))
+    return latest(points, recency=_recency())
+
+
+def _recency() -> tuple[str | Column, ...]:
+    return "updated_at", F.col("payload.created_at"), "article_id", "part", "pos"
 
 
-def ensure_collection(spark: SparkSession, path: str, dim: int, metric: str = "cosine") -> None:
-    """SNK-2: record dimension and metric once; a second call must agree with them."""
+def ensure_collection(spark: SparkSession, path: str, dim: int, metric: str = "cosine", buckets: int | None = None) -> None:
+    """SNK-2: record dimension, metric and number of buckets once; a second call must agree with them.
+
+    A bucket is what a compaction reads and rewrites at least; take more for larger collections.
+    """
     if metric != "cosine":
         raise ValueError(f"unknown metric {metric!r}")
-    known = collection_meta(spark, path)
+    known = _meta(spark, path)
     if known is None:
-        spark.createDataFrame([(dim, metric)], _META).coalesce(1).write.mode("ignore").json(f"{path}/meta")
-    elif known != (dim, metric):
-        raise ValueError(f"collection {path} has (dim, metric) {known}, not {(dim, metric)}")
+        spark.createDataFrame([(dim, metric, buckets or BUCKETS)], _META).coalesce(1).write.mode("ignore").json(f"{path}/meta")
+    elif known[:2] != (dim, metric) or buckets not in (None, known[2]):
+        raise ValueError(f"collection {path} has (dim, metric, buckets) {known}, not {(dim, metric, buckets)}")
 
 
-def collection_meta(spark: SparkSession, path: str) -> tuple[int, str] | None:
+def _meta(spark: SparkSession, path: str) -> tuple[int, str, int] | None:
     row = _read(spark, f"{path}/meta", _META, "json").first()
-    return None if row is None else (row["dim"], row["metric"])
+    return None if row is None else (row["dim"], row["metric"], row["buckets"] or BUCKETS)
+
+
+def collection_meta(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    known = _meta(spark, path)
+    return known and known[:2]
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int")
 
 
 def upsert(df: DataFrame, path: str, run_id: str, batch_id: int) -> None:
     """SNK-3: write one batch of points. Vectors of the wrong size go to the reject state.
 
-    ``run_id`` names a stream checkpoint or a backfill: batch numbers start again with each.
+    ``run_id`` names a stream checkpoint or a backfill: batch numbers start again with each. A batch
+    that is written again is replaced as a whole when the new attempt is committed; until then, and
+    if it fails, readers see the old one. Batches of one run are written one after the other.
     """
-    meta = collection_meta(df.sparkSession, path)
+    spark = df.sparkSession
+    meta = _meta(spark, path)
     if meta is None:
         raise ValueError(f"no collection at {path}")
     fits = F.coalesce(F.size("vector") == meta[0], F.lit(False))
@@ -96,20 +135,24 @@ def upsert(df: DataFrame, path: str, run_id: str, batch_id: int) -> None:
         "norm": norm("vector"),
         "state": F.when(fits, "ok").otherwise("reject"),
         "error": F.when(~fits, F.coalesce(reason, F.lit("wrong vector size"))),
-        "attempt": F.lit(uuid.uuid4().hex),
+        "bucket": _bucket(meta[2]),
     })
-    rows.select(*POINT_SCHEMA.names, "error", "attempt", "state").write.mode("overwrite").partitionBy("attempt", "state").parquet(
-        f"{path}/log/run_id={run_id}/batch_id={batch_id}"
-    )
+    spark.dataSource.register(CollectionSink)
+    columns = [*(F.col(f.name).cast(f.dataType) for f in POINT_SCHEMA.fields), "error", "state", "bucket"]
+    rows.select(*columns).write.format("newsprep_collection").mode("append").options(
+        path=path, run_id=run_id, batch_id=str(batch_id), attempt=uuid.uuid4().hex
+    ).save()
 
 
-def _log(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, f"{path}/log", _LOG)
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """The last committed attempt of each batch that the manifest still lists."""
+    return latest(_read(spark, f"{path}/manifest", _ENTRY, "json").withColumn("_batch", F.struct(*_BATCH)), "_batch", ("seq", "attempt")).drop("_batch")
 
 
-def read_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """Points refused by ``upsert`` with the reason."""
-    return _log(spark, path).where(F.col("state") == "reject")
+def _covered(spark: SparkSession, path: str, version: int) -> DataFrame:
+    if version == 0:
+        return spark.createDataFrame([], _COVERED)
+    return spark.read.schema(_COVERED).parquet(f"{path}/versions/v={version}/covered")
 
 
 def _version(spark: SparkSession, path: str) -> int:
@@ -117,59 +160,225 @@ def _version(spark: SparkSession, path: str) -> int:
     return row["v"] or 0
 
 
-def _points(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """A version that the pointer names; that it is missing is an error."""
-    return spark.read.schema(POINT_SCHEMA).parquet(f"{path}/versions/v={version}/points")
+@dataclass
+class Snapshot:
+    """A version, its files, the batches that it does not hold, and its attempts that were written again since.
+
+    All are lists of names: files, and batches since the last compaction.
+    """
 
+    version: int
+    files: list[Row]
+    fresh: list[Row]
+    dead: list[Row]
 
-def _covered(spark: SparkSession, version: str) -> DataFrame:
-    return spark.read.schema(T.StructType(_PLACE[:3])).parquet(f"{version}/covered")
+    def touched(self) -> list[int]:
+        return sorted({b for e in (*self.fresh, *self.dead) for b in e["buckets"]})
 
 
-def _fresh(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """Log rows that the version does not hold, by an anti join on the partition columns of the log."""
-    log = _log(spark, path).where(F.col("state") == "ok")
-    if version == 0:
-        return log
-    return log.join(_covered(spark, f"{path}/versions/v={version}"), _ATTEMPT, "left_anti")
+def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snapshot:
+    """What a reader sees now, or the points of an earlier version."""
+    at = _version(spark, path) if version is None else version
+    files = spark.read.schema(_FILE).parquet(f"{path}/versions/v={at}/files").collect() if at else []
+    if version is not None:
+        return Snapshot(at, files, [], [])
+    folded = _covered(spark, path, at).select(*_BATCH, F.struct("attempt", "buckets", "seq").alias("_old"))
+    newer = _entries(spark, path).join(folded, _BATCH, "left").where(F.col("_old").isNull() | (F.col("seq") > F.col("_old.seq")))
+    fresh = newer.collect()
+    return Snapshot(at, files, fresh, [e["_old"] for e in fresh if e["_old"] is not None])
 
 
-def _merged(base: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The base with fresh rows on top.
+def _fresh(spark: SparkSession, path: str, state: Snapshot) -> DataFrame:
+    folders = [f"{path}/{e['folder']}/state=ok" for e in state.fresh if e["rows"]]
+    if not folders:
+        return spark.createDataFrame([], _STORED)
+    return spark.read.schema(_LOG).option("basePath", f"{path}/log").parquet(*folders).select(*_STORED.names)
 
-    Base rows without a fresh rival skip the ranking. With a small log the two joins are broadcast
-    at run time, and the base is not shuffled.
+
+def _stored(spark: SparkSession, path: str, files: list[Row]) -> DataFrame:
+    """Rows of the named files of a version."""
+    if not files:
+        return spark.createDataFrame([], _STORED)
+    return spark.read.schema(_STORED).parquet(*[f"{path}/{f['folder']}/{f['file']}" for f in files])
+
+
+def _alive(rows: DataFrame, state: Snapshot) -> DataFrame:
+    attempts = [e["attempt"] for e in state.dead]
+    return rows.where(~F.col("attempt").isin(attempts)) if attempts else rows
+
+
+def _contested(spark: SparkSession, path: str, state: Snapshot) -> DataFrame:
+    """The ids whose last write may have changed: those written since, and those whose last write belongs to a replaced attempt."""
+    ids = _fresh(spark, path, state).select("chunk_id")
+    if state.dead:
+        attempts, hit = [e["attempt"] for e in state.dead], {b for e in state.dead for b in e["buckets"]}
+        lost = _stored(spark, path, [f for f in state.files if f["live"] and f["bucket"] in hit])
+        ids = ids.unionAll(lost.where(F.col("attempt").isin(attempts)).select("chunk_id"))
+    return ids.distinct()
+
+
+def _rivals(spark: SparkSession, path: str, state: Snapshot, ids: DataFrame) -> DataFrame:
+    """Every write of the contested ids. Earlier writes are only needed where a replaced attempt may have hidden them."""
+    touched, hit = set(state.touched()), {b for e in state.dead for b in e["buckets"]}
+    files = [f for f in state.files if f["bucket"] in touched and (f["live"] or f["bucket"] in hit)]
+    return _alive(_stored(spark, path, files), state).join(ids, "chunk_id", "left_semi").unionByName(_fresh(spark, path, state))
+
+
+def _within(created: Column, start: datetime | None, end: datetime | None) -> Column:
+    inside = F.lit(True)
+    if start is not None:
+        inside = inside & (created >= F.lit(start))
+    if end is not None:
+        inside = inside & (created < F.lit(end))
+    return inside
+
+
+def _overlaps(file: Row, start: datetime | None, end: datetime | None) -> bool:
+    if start is None and end is None:
+        return True
+    plain = lambda x: x.astimezone(timezone.utc).replace(tzinfo=None) if x.tzinfo else x
+    return file["low"] is not None and (start is None or file["high"] >= plain(start)) and (end is None or file["low"] < plain(end))
+
+
+def read_collection(
+    spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None, version: int | None = None
+) -> DataFrame:
+    """The latest view: the current version and every batch it does not hold yet; or an earlier version as it was.
+
+    With ``start`` or ``end`` (FLT-1) only points created in ``[start, end)``, stamps of a session in UTC: files of the version that
+    hold none are not opened. Buckets that no new batch touches are read as they are, and in the others only ids written again are
+    ranked; with few new rows their ids are broadcast and the version is not shuffled.
     """
-    ids = fresh.select("chunk_id").distinct()
-    rivals = base.join(ids, "chunk_id", "left_semi").select(*POINT_SCHEMA.names)
-    untouched = base.join(ids, "chunk_id", "left_anti").select(*POINT_SCHEMA.names)
-    return untouched.unionByName(latest_points(rivals.unionByName(fresh)))
+    state = snapshot(spark, path, version)
+    touched = set(state.touched())
+    live = [f for f in state.files if f["live"]]
+    inside = _within(F.col("payload.created_at"), start, end)
+    wanted = [f for f in live if _overlaps(f, start, end)]
+    calm = _stored(spark, path, [f for f in wanted if f["bucket"] not in touched]).select(*POINT_SCHEMA.names)
+    if not touched:
+        return calm.where(inside)
+    if not state.version:
+        return latest_points(_fresh(spark, path, state).select(*POINT_SCHEMA.names)).where(inside)
+    ids = _contested(spark, path, state)
+    rest = _stored(spark, path, [f for f in wanted if f["bucket"] in touched]).join(ids, "chunk_id", "left_anti").select(*POINT_SCHEMA.names)
+    # Of contested ids every write counts, in the range or not.
+    newest = latest_points(_rivals(spark, path, state, ids).select(*POINT_SCHEMA.names))
+    return calm.unionByName(rest).unionByName(newest).where(inside)
 
 
-def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """The latest view: the current version and every log batch it does not hold yet."""
-    version = _version(spark, path)
-    fresh = _fresh(spark, path, version).select(*POINT_SCHEMA.names)
-    if version == 0:
-        return latest_points(fresh)
-    return _merged(_points(spark, path, version), fresh)
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Points refused by ``upsert`` with the reason."""
+    valid = _entries(spark, path).select("attempt").unionAll(_covered(spark, path, _version(spark, path)).select("attempt")).distinct()
+    return _read(spark, f"{path}/log", _LOG).where(F.col("state") == "reject").join(valid, "attempt", "left_semi").select(*_LOG.names)
 
 
-def compact(spark: SparkSession, path: str) -> int:
-    """Fold the log into a new version and return its number.
+def compact(spark: SparkSession, path: str, keep_earlier: bool = True) -> int:
+    """Fold the batches since the last version into a new one and return its number; without any, the current one.
 
-    What is folded in is written first and read back, so that the points hold exactly what the
-    version lists, whatever arrives meanwhile.
+    Only buckets that they touch are read and written again; the others stay where they are. Rows
+    are clustered by creation time within a bucket. Without ``keep_earlier`` only the last write of
+    each id is kept: a batch written again after that no longer gives back what it had hidden.
+    """
+    state = snapshot(spark, path)
+    if not state.fresh and state.version:
+        return state.version
+    number, touched = state.version + 1, set(state.touched())
+    target, buckets = f"versions/v={number}", _meta(spark, path)[2]
+    ids = _contested(spark, path, state)
+    mine = [f for f in state.files if f["bucket"] in touched]
+    kept = [
+        _alive(_stored(spark, path, [f for f in mine if f["live"] is live]), state).join(ids, "chunk_id", "left_anti").withColumn("live", F.lit(live))
+        for live in ((True, False) if keep_earlier else (True,))
+    ]
+    every = _alive(_stored(spark, path, mine), state).join(ids, "chunk_id", "left_semi").unionByName(_fresh(spark, path, state))
+    order = [F.desc_nulls_last(c) if isinstance(c, str) else c.desc_nulls_last() for c in (*_recency(), "batch_id", "attempt")]
+    if keep_earlier:
+        ranked = every.withColumn("live", F.row_number().over(W.partitionBy("chunk_id").orderBy(*order)) == 1)
+    else:
+        ranked = latest(every, recency=(*_recency(), "batch_id", "attempt")).withColumn("live", F.lit(True))
+    rows = kept[0].unionByName(kept[1]).unionByName(ranked) if keep_earlier else kept[0].unionByName(ranked)
+    placed = rows.withColumn("bucket", _bucket(buckets)).withColumn("_created", F.col("payload.created_at"))
+    clustered = placed.repartitionByRange("bucket", "live", "_created").sortWithinPartitions("bucket", "live", "_created", "chunk_id").drop("_created")
+    clustered.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket", "live").parquet(f"{path}/{target}/points")
+    _list_files(spark, path, target, [f for f in state.files if f["bucket"] not in touched])
+    covered = _covered(spark, path, state.version)
+    if state.dead:
+        covered = covered.where(~F.col("attempt").isin([e["attempt"] for e in state.dead]))
+    folded = spark.createDataFrame([tuple(e[c] for c in _COVERED.names) for e in state.fresh], _COVERED)
+    covered.unionByName(folded).write.mode("overwrite").parquet(f"{path}/{target}/covered")
+    spark.createDataFrame([(number,)], _POINTER).coalesce(1).write.mode("append").json(f"{path}/pointer")
+    return number
+
+
+def _list_files(spark: SparkSession, path: str, target: str, others: list[Row]) -> None:
+    """The files of a version: those just written, of which only the creation times are read, and those of untouched buckets."""
+    schema = T.StructType([
+        T.StructField("payload", T.StructType([PAYLOAD["created_at"]])), T.StructField("bucket", T.IntegerType()), T.StructField("live", T.BooleanType()),
+    ])
+    created = F.col("payload.created_at")
+    found = _read(spark, f"{path}/{target}/points", schema)
+    if found.inputFiles():
+        found = found.groupBy("bucket", "live", F.col("_metadata.file_name").alias("file")).agg(
+            F.count(F.lit(1)).alias("rows"), F.min(created).alias("low"), F.max(created).alias("high")
+        ).withColumn("folder", F.concat(F.lit(f"{target}/points/bucket="), F.col("bucket"), F.lit("/live="), F.col("live").cast("string"))).select(*_FILE.names)
+    else:
+        found = spark.createDataFrame([], _FILE)
+    found.unionByName(spark.createDataFrame([tuple(f) for f in others], _FILE)).coalesce(1).write.mode("overwrite").parquet(f"{path}/{target}/files")
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1, grace: timedelta = timedelta(days=1)) -> list[str]:
+    """Delete what no reader can reach, and return the folders and files deleted, relative to the collection.
+
+    The last ``keep`` versions stay readable, whatever folders of older versions they use, and so do
+    batches that the current version does not hold. What is younger than ``grace`` stays too: it may belong
+    to a write or compaction that is not finished. Rejects are kept.
     """
-    version = _version(spark, path)
-    target = f"{path}/versions/v={version + 1}"
-    covered = _fresh(spark, path, version).select(*_ATTEMPT).distinct()
-    if version:
-        covered = covered.unionByName(_covered(spark, f"{path}/versions/v={version}"))
-    covered.write.mode("overwrite").parquet(f"{target}/covered")
-    listed = _covered(spark, target)
-    fresh = _fresh(spark, path, version).join(listed, _ATTEMPT, "left_semi").select(*POINT_SCHEMA.names)
-    points = latest_points(fresh) if version == 0 else _merged(_points(spark, path, version), fresh)
-    points.write.mode("overwrite").parquet(f"{target}/points")
-    spark.createDataFrame([(version + 1,)], _POINTER).coalesce(1).write.mode("append").json(f"{path}/pointer")
-    return version + 1
+    finished = sorted({r["v"] for r in _read(spark, f"{path}/pointer", _POINTER, "json").collect()})
+    kept = finished[-max(1, keep):]
+    folders = {f["folder"] for v in kept for f in snapshot(spark, path, v).files}
+    state = snapshot(spark, path)
+    current = {r["attempt"] for r in _entries(spark, path).select("attempt").collect()} | {
+        r["attempt"] for r in _covered(spark, path, state.version).select("attempt").collect()
+    }
+    pending = {e["attempt"] for e in state.fresh}
+    system, root = located(path)
+    young = datetime.now(timezone.utc) - grace
+    gone: list[str] = []
+
+    def names(folder: str, kind=fs.FileType.Directory) -> list[str]:
+        return [i.base_name for i in system.get_file_info(fs.FileSelector(f"{root}/{folder}", allow_not_found=True)) if i.type == kind]
+
+    def drop(name: str, whole: bool = True) -> None:
+        infos = system.get_file_info(fs.FileSelector(f"{root}/{name}", recursive=True)) if whole else [system.get_file_info(f"{root}/{name}")]
+        if any(i.mtime is not None and i.type == fs.FileType.File and i.mtime > young for i in infos):
+            return
+        (system.delete_dir if whole else system.delete_file)(f"{root}/{name}")
+        gone.append(name)
+
+    for v in names("versions"):
+        number = int(v.removeprefix("v="))
+        if number in kept:
+            continue
+        used = False
+        for bucket in names(f"versions/{v}/points"):
+            for live in names(f"versions/{v}/points/{bucket}"):
+                folder = f"versions/{v}/points/{bucket}/{live}"
+                if folder in folders:
+                    used = True
+                else:
+                    drop(folder)
+        if not used:
+            drop(f"versions/{v}")
+    for run in names("log"):
+        for batch in names(f"log/{run}"):
+            for attempt in names(f"log/{run}/{batch}"):
+                name, folder = attempt.removeprefix("attempt="), f"log/{run}/{batch}/{attempt}"
+                if name not in current:
+                    drop(folder)
+                elif name not in pending and "state=ok" in names(folder):
+                    drop(f"{folder}/state=ok")
+    for entry in sorted(names("manifest", fs.FileType.File)):  # the oldest first, so that no replaced attempt comes back
+        attempt = entry.removesuffix(".json").rsplit("-", 1)[-1].removeprefix("_")
+        if attempt not in pending:  # folded in, replaced, or never finished
+            drop(f"manifest/{entry}", whole=False)
+    return gone

@@ -285,6 +285,54 @@ def compacted(spark, sf_dir):
     return read_collection(spark, path).select("chunk_id", "article_id")
 
 
+def _every_chunk(spark, sf_dir):
+    """All chunks, equal ones too, so that batches hide each other's rows."""
+    return materialize(plans.news_points(news(spark, sf_dir), dim=DIM, max_tokens=WORDS, dedup=False))
+
+
+def _placed(df):
+    return df.select("chunk_id", "article_id", F.col("part").cast("bigint").alias("part"), F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("snk3_rewrite_after_compact", f"""WITH {NEWS_SQL}, {chunks_sql(WORDS)}, kept AS (SELECT * FROM chunks WHERE id % 4 <> 2), {latest_sql('kept')}
+SELECT chunk_id, id AS article_id, part, pos FROM points""")
+def rewrite_after_compact(spark, sf_dir):
+    """A batch that was folded in is written again with half of its rows; what they hid comes back."""
+    path = work_dir(spark, "collection")
+    ensure_collection(spark, path, DIM)
+    made = _every_chunk(spark, sf_dir)
+    upsert(made.where(F.col("article_id") % 2 == 0), path, "a", 0)
+    upsert(made.where(F.col("article_id") % 2 == 1), path, "a", 1)
+    compact(spark, path)
+    upsert(made.where(F.col("article_id") % 4 == 0), path, "a", 0)
+    return _placed(read_collection(spark, path))
+
+
+@query("snk3_late_batch", f"{POINTS_SQL} SELECT chunk_id, id AS article_id, part, pos FROM points")
+def late_batch(spark, sf_dir):
+    """Batches arrive in the wrong order, with compactions between them."""
+    path = work_dir(spark, "collection")
+    ensure_collection(spark, path, DIM)
+    made = _every_chunk(spark, sf_dir)
+    for batch in (2, 0, 1):
+        upsert(made.where(F.col("article_id") % 3 == batch), path, "a", batch)
+        compact(spark, path)
+    return _placed(read_collection(spark, path))
+
+
+@query("flt1_collection_range", f"""{POINTS_SQL}
+SELECT chunk_id, id AS article_id, part, pos FROM points WHERE created_at >= TIMESTAMP '2024-01-01 01:00:00' AND created_at < TIMESTAMP '2024-01-01 02:00:00'""")
+def collection_range(spark, sf_dir):
+    """One hour of the collection, by the time bounds of its files; a second batch is not folded in."""
+    path = work_dir(spark, "collection")
+    ensure_collection(spark, path, DIM)
+    made = _every_chunk(spark, sf_dir)
+    upsert(made.where(F.col("article_id") % 5 > 0), path, "a", 0)
+    compact(spark, path)
+    upsert(made.where(F.col("article_id") % 5 == 0), path, "a", 1)
+    return _placed(read_collection(spark, path, datetime(2024, 1, 1, 1), datetime(2024, 1, 1, 2)))
+
+
 @query("snk2_reject_wrong_size", """
 SELECT vec_id AS article_id, 'wrong vector size' AS error FROM embeddings WHERE label % 2 = 0""")
 def reject_wrong_size(spark, sf_dir):
