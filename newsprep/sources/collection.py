@@ -23,12 +23,13 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsprep.functions.vectors import VECTOR, norm
 from newsprep.operators.latest import latest
@@ -64,11 +65,13 @@ _ENTRY = T.StructType([*_PLACE, T.StructField("seq", T.LongType()), T.StructFiel
 _COVERED = T.StructType([*_PLACE, T.StructField("seq", T.LongType()), _BUCKETS])
 _FILE = T.StructType([
     T.StructField("bucket", T.IntegerType()), T.StructField("live", T.BooleanType()), T.StructField("folder", T.StringType()), T.StructField("file", T.StringType()),
-    T.StructField("rows", T.LongType()), T.StructField("low", T.TimestampType()), T.StructField("high", T.TimestampType()),
+    T.StructField("rows", T.LongType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()),  # microseconds
 ])
 _BATCH = ["run_id", "batch_id"]
-#: Buckets of a new collection, and rows of a file of a version.
-BUCKETS, FILE_ROWS = 16, 1 << 20
+#: Stored rows with the place where they stand, which tells them from rows that equal them.
+_PLACED = T.StructType([*_STORED.fields, T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())])
+#: Buckets of a new collection, rows of a file of a version, and places of rows that are sent to every task at most.
+BUCKETS, FILE_ROWS, PLACES = 16, 1 << 20, 200_000
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet") -> DataFrame:
@@ -78,7 +81,13 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, form: str = "par
     except AnalysisException as failure:
         if failure.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return _table(spark, [], schema)
+
+
+def _table(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
+    """Rows that the driver holds."""
+    names = schema.names
+    return spark.createDataFrame(pa.Table.from_pylist([{n: r[i] for i, n in enumerate(names)} for r in rows], to_arrow_schema(schema)), schema)
 
 
 def latest_points(points: DataFrame) -> DataFrame:
@@ -99,7 +108,7 @@ def ensure_collection(spark: SparkSession, path: str, dim: int, metric: str = "c
         raise ValueError(f"unknown metric {metric!r}")
     known = _meta(spark, path)
     if known is None:
-        spark.createDataFrame([(dim, metric, buckets or BUCKETS)], _META).coalesce(1).write.mode("ignore").json(f"{path}/meta")
+        _table(spark, [(dim, metric, buckets or BUCKETS)], _META).coalesce(1).write.mode("ignore").json(f"{path}/meta")
     elif known[:2] != (dim, metric) or buckets not in (None, known[2]):
         raise ValueError(f"collection {path} has (dim, metric, buckets) {known}, not {(dim, metric, buckets)}")
 
@@ -151,7 +160,7 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
 
 def _covered(spark: SparkSession, path: str, version: int) -> DataFrame:
     if version == 0:
-        return spark.createDataFrame([], _COVERED)
+        return _table(spark, [], _COVERED)
     return spark.read.schema(_COVERED).parquet(f"{path}/versions/v={version}/covered")
 
 
@@ -188,18 +197,22 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
     return Snapshot(at, files, fresh, [e["_old"] for e in fresh if e["_old"] is not None])
 
 
+def _where() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
+
 def _fresh(spark: SparkSession, path: str, state: Snapshot) -> DataFrame:
     folders = [f"{path}/{e['folder']}/state=ok" for e in state.fresh if e["rows"]]
     if not folders:
-        return spark.createDataFrame([], _STORED)
-    return spark.read.schema(_LOG).option("basePath", f"{path}/log").parquet(*folders).select(*_STORED.names)
+        return _table(spark, [], _PLACED)
+    return spark.read.schema(_LOG).option("basePath", f"{path}/log").parquet(*folders).select(*_STORED.names, *_where())
 
 
 def _stored(spark: SparkSession, path: str, files: list[Row]) -> DataFrame:
     """Rows of the named files of a version."""
     if not files:
-        return spark.createDataFrame([], _STORED)
-    return spark.read.schema(_STORED).parquet(*[f"{path}/{f['folder']}/{f['file']}" for f in files])
+        return _table(spark, [], _PLACED)
+    return spark.read.schema(_STORED).parquet(*[f"{path}/{f['folder']}/{f['file']}" for f in files]).select(*_STORED.names, *_where())
 
 
 def _alive(rows: DataFrame, state: Snapshot) -> DataFrame:
@@ -217,11 +230,37 @@ def _contested(spark: SparkSession, path: str, state: Snapshot) -> DataFrame:
     return ids.distinct()
 
 
-def _rivals(spark: SparkSession, path: str, state: Snapshot, ids: DataFrame) -> DataFrame:
-    """Every write of the contested ids. Earlier writes are only needed where a replaced attempt may have hidden them."""
+def _writes(spark: SparkSession, path: str, state: Snapshot, earlier: bool) -> DataFrame:
+    """Every write in the touched buckets and since, with ``_live`` as the version has it, null for new ones.
+
+    Without ``earlier`` the version's earlier writes are left out where no replaced attempt can have hidden them.
+    """
     touched, hit = set(state.touched()), {b for e in state.dead for b in e["buckets"]}
-    files = [f for f in state.files if f["bucket"] in touched and (f["live"] or f["bucket"] in hit)]
-    return _alive(_stored(spark, path, files), state).join(ids, "chunk_id", "left_semi").unionByName(_fresh(spark, path, state))
+    rows = _fresh(spark, path, state).withColumn("_live", F.lit(None).cast("boolean"))
+    for live in (True, False):
+        files = [f for f in state.files if f["live"] is live and f["bucket"] in (touched if live or earlier else hit)]
+        if files:
+            rows = rows.unionByName(_alive(_stored(spark, path, files), state).withColumn("_live", F.lit(live)))
+    return rows
+
+
+def _with_standing(spark: SparkSession, path: str, state: Snapshot, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_live``: whether a write is now the last of its id.
+
+    Only ids and stamps of the contested ids are compared, by a maximum that each task takes first, however often an id
+    was written; the whole rows then meet one narrow row per place, which is broadcast if there are few.
+    """
+    narrow = rows.select("chunk_id", F.struct(*[F.col(c) if isinstance(c, str) else c for c in _recency()], "batch_id", "attempt").alias("_at"), "_file", "_row")
+    based = bool(state.files)
+    if based:
+        narrow = narrow.join(_contested(spark, path, state), "chunk_id", "left_semi")
+    # Nulls are the least in a struct, as they are last in the order of writes.
+    last = narrow.groupBy("chunk_id").agg(F.max(F.struct("_at", "_file", "_row")).alias("_last")).select("_last._file", "_last._row", F.lit(True).alias("_wins"))
+    if based:  # rows of other ids stand as they did
+        last = narrow.select("_file", "_row").join(last, ["_file", "_row"], "left").select("_file", "_row", F.coalesce("_wins", F.lit(False)).alias("_wins"))
+    # The rows compared are at most those of the new batches and as many of the version as there are in their buckets, both counted.
+    few = sum(e["rows"] for e in state.fresh) + sum(f["rows"] for f in state.files if f["bucket"] in state.touched()) <= PLACES
+    return rows.join(F.broadcast(last) if few else last, ["_file", "_row"], "left").withColumn("_live", F.coalesce("_wins", "_live", F.lit(False))).drop("_wins")
 
 
 def _within(created: Column, start: datetime | None, end: datetime | None) -> Column:
@@ -236,8 +275,8 @@ def _within(created: Column, start: datetime | None, end: datetime | None) -> Co
 def _overlaps(file: Row, start: datetime | None, end: datetime | None) -> bool:
     if start is None and end is None:
         return True
-    plain = lambda x: x.astimezone(timezone.utc).replace(tzinfo=None) if x.tzinfo else x
-    return file["low"] is not None and (start is None or file["high"] >= plain(start)) and (end is None or file["low"] < plain(end))
+    at = lambda x: round(x.timestamp() * 1e6)
+    return file["low"] is not None and (start is None or file["high"] >= at(start)) and (end is None or file["low"] < at(end))
 
 
 def read_collection(
@@ -245,25 +284,20 @@ def read_collection(
 ) -> DataFrame:
     """The latest view: the current version and every batch it does not hold yet; or an earlier version as it was.
 
-    With ``start`` or ``end`` (FLT-1) only points created in ``[start, end)``, stamps of a session in UTC: files of the version that
-    hold none are not opened. Buckets that no new batch touches are read as they are, and in the others only ids written again are
-    ranked; with few new rows their ids are broadcast and the version is not shuffled.
+    With ``start`` or ``end`` (FLT-1) only points created in ``[start, end)``: files of the version that
+    hold none are not opened. Buckets that no new batch touches are read as they are; in the others only ids written again are
+    compared, and with few of them the version is not shuffled.
     """
     state = snapshot(spark, path, version)
     touched = set(state.touched())
-    live = [f for f in state.files if f["live"]]
     inside = _within(F.col("payload.created_at"), start, end)
-    wanted = [f for f in live if _overlaps(f, start, end)]
-    calm = _stored(spark, path, [f for f in wanted if f["bucket"] not in touched]).select(*POINT_SCHEMA.names)
-    if not touched:
-        return calm.where(inside)
-    if not state.version:
-        return latest_points(_fresh(spark, path, state).select(*POINT_SCHEMA.names)).where(inside)
-    ids = _contested(spark, path, state)
-    rest = _stored(spark, path, [f for f in wanted if f["bucket"] in touched]).join(ids, "chunk_id", "left_anti").select(*POINT_SCHEMA.names)
-    # Of contested ids every write counts, in the range or not.
-    newest = latest_points(_rivals(spark, path, state, ids).select(*POINT_SCHEMA.names))
-    return calm.unionByName(rest).unionByName(newest).where(inside)
+    # Of a touched bucket every file counts: a write outside of the range can be the last one of an id.
+    calm = [f for f in state.files if f["live"] and f["bucket"] not in touched and _overlaps(f, start, end)]
+    found = _stored(spark, path, calm).select(*POINT_SCHEMA.names)
+    if touched:
+        rows = _with_standing(spark, path, state, _writes(spark, path, state, earlier=False)).where("_live").select(*POINT_SCHEMA.names)
+        found = found.unionByName(rows) if calm else rows
+    return found.where(inside)
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -284,29 +318,22 @@ def compact(spark: SparkSession, path: str, keep_earlier: bool = True) -> int:
         return state.version
     number, touched = state.version + 1, set(state.touched())
     target, buckets = f"versions/v={number}", _meta(spark, path)[2]
-    ids = _contested(spark, path, state)
     mine = [f for f in state.files if f["bucket"] in touched]
-    kept = [
-        _alive(_stored(spark, path, [f for f in mine if f["live"] is live]), state).join(ids, "chunk_id", "left_anti").withColumn("live", F.lit(live))
-        for live in ((True, False) if keep_earlier else (True,))
-    ]
-    every = _alive(_stored(spark, path, mine), state).join(ids, "chunk_id", "left_semi").unionByName(_fresh(spark, path, state))
-    order = [F.desc_nulls_last(c) if isinstance(c, str) else c.desc_nulls_last() for c in (*_recency(), "batch_id", "attempt")]
-    if keep_earlier:
-        ranked = every.withColumn("live", F.row_number().over(W.partitionBy("chunk_id").orderBy(*order)) == 1)
-    else:
-        ranked = latest(every, recency=(*_recency(), "batch_id", "attempt")).withColumn("live", F.lit(True))
-    rows = kept[0].unionByName(kept[1]).unionByName(ranked) if keep_earlier else kept[0].unionByName(ranked)
-    placed = rows.withColumn("bucket", _bucket(buckets)).withColumn("_created", F.col("payload.created_at"))
-    clustered = placed.repartitionByRange("bucket", "live", "_created").sortWithinPartitions("bucket", "live", "_created", "chunk_id").drop("_created")
+    marked = _with_standing(spark, path, state, _writes(spark, path, state, earlier=keep_earlier)).withColumnRenamed("_live", "live")
+    marked = (marked if keep_earlier else marked.where("live")).withColumn("_created", F.col("payload.created_at"))
+    placed = marked.withColumn("bucket", _bucket(buckets))
+    # Ranges of time make the files of a bucket; where a bucket is one file, its place is enough.
+    n = sum(x["rows"] for x in (*mine, *state.fresh))
+    placed = placed.repartitionByRange("bucket", "live", "_created") if n > buckets * FILE_ROWS else placed.repartition("bucket", "live")
+    clustered = placed.sortWithinPartitions("bucket", "live", "_created", "chunk_id").select(*_STORED.names, "bucket", "live")
     clustered.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket", "live").parquet(f"{path}/{target}/points")
     _list_files(spark, path, target, [f for f in state.files if f["bucket"] not in touched])
     covered = _covered(spark, path, state.version)
     if state.dead:
         covered = covered.where(~F.col("attempt").isin([e["attempt"] for e in state.dead]))
-    folded = spark.createDataFrame([tuple(e[c] for c in _COVERED.names) for e in state.fresh], _COVERED)
-    covered.unionByName(folded).write.mode("overwrite").parquet(f"{path}/{target}/covered")
-    spark.createDataFrame([(number,)], _POINTER).coalesce(1).write.mode("append").json(f"{path}/pointer")
+    folded = _table(spark, [[e[c] for c in _COVERED.names] for e in state.fresh], _COVERED)
+    covered.unionByName(folded).coalesce(1).write.mode("overwrite").parquet(f"{path}/{target}/covered")
+    _table(spark, [(number,)], _POINTER).coalesce(1).write.mode("append").json(f"{path}/pointer")
     return number
 
 
@@ -315,15 +342,15 @@ def _list_files(spark: SparkSession, path: str, target: str, others: list[Row])
     schema = T.StructType([
         T.StructField("payload", T.StructType([PAYLOAD["created_at"]])), T.StructField("bucket", T.IntegerType()), T.StructField("live", T.BooleanType()),
     ])
-    created = F.col("payload.created_at")
+    created = F.unix_micros("payload.created_at")
     found = _read(spark, f"{path}/{target}/points", schema)
     if found.inputFiles():
         found = found.groupBy("bucket", "live", F.col("_metadata.file_name").alias("file")).agg(
             F.count(F.lit(1)).alias("rows"), F.min(created).alias("low"), F.max(created).alias("high")
         ).withColumn("folder", F.concat(F.lit(f"{target}/points/bucket="), F.col("bucket"), F.lit("/live="), F.col("live").cast("string"))).select(*_FILE.names)
     else:
-        found = spark.createDataFrame([], _FILE)
-    found.unionByName(spark.createDataFrame([tuple(f) for f in others], _FILE)).coalesce(1).write.mode("overwrite").parquet(f"{path}/{target}/files")
+        found = _table(spark, [], _FILE)
+    found.unionByName(_table(spark, others, _FILE)).coalesce(1).write.mode("overwrite").parquet(f"{path}/{target}/files")
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1, grace: timedelta = timedelta(days=1)) -> list[str]:

@@ -91,7 +91,7 @@ def test_one_bucket_is_read_and_rewritten(spark, path):
     mine = bucket_of(spark, "i7")
     state = snapshot(spark, path)
     assert state.touched() == [mine]
-    read = collection._rivals(spark, path, state, collection._contested(spark, path, state)).inputFiles()
+    read = collection._writes(spark, path, state, earlier=True).inputFiles()
     assert read and all(f"bucket={mine}/" in f or "/log/" in f for f in read)
     assert compact(spark, path) == 2 and view(spark, path) == {**{f"i{n}": 1 for n in range(200)}, "i7": 2}
     after = {f["folder"] for f in snapshot(spark, path).files}
