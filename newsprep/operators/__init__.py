@@ -3,7 +3,7 @@
 from .chunk import chunk, token_chunks, word_chunks
 from .context import context
 from .documents import payload, to_documents, to_points, unequal, zip_points
-from .encode import embed, hash_encode, split_failures
+from .encode import embed, hash_encode, split_failures, with_state
 from .evaluate import count_rows, loggable, perplexity, sizes, usage, usage_columns
 from .generate import generate, label
 from .history import history, pairs
@@ -15,7 +15,7 @@ from .parse import explode_messages, parse_messages, validate
 from .qa import (
     clean_samples, inference_prompt, split_question, teacher_prompt, to_samples, training_prompt,
 )
-from .search import search, with_payload
+from .search import search, search_report, with_payload
 from .split import split_by_hash, split_first_n
 from .symbols import by_symbols, spread_by_symbol
 
@@ -23,9 +23,9 @@ __all__ = [
     "backfill", "by_symbols", "chunk", "clean_samples", "context", "count_rows", "embed",
     "explode_messages", "generate", "hash_encode", "history", "in_range", "inference_prompt",
     "interval_id", "intervals", "label", "latest", "loggable", "pack", "pairs", "parse_messages",
-    "payload", "perplexity", "running_total", "search", "sizes", "split_by_hash",
+    "payload", "perplexity", "running_total", "search", "search_report", "sizes", "split_by_hash",
     "split_failures", "split_first_n", "split_question", "split_span", "spread_by_symbol",
     "teacher_prompt", "to_documents", "to_points", "to_samples", "token_chunks",
-    "training_prompt", "usage", "usage_columns", "validate", "with_payload", "word_chunks",
+    "training_prompt", "usage", "usage_columns", "validate", "with_payload", "with_state", "word_chunks",
     "unequal", "zip_points",
 ]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsprep.functions.vectors import VECTOR, hash_vector
+from newsprep.session import work_dir
 
 #: Built once per Python worker; returns a function from an array of texts to one vector per
 #: text. Pooling (the first token of the encoder output, say) is part of that function.
@@ -64,3 +65,14 @@ def split_failures(df: DataFrame, dim: int, vector: str = "vector") -> tuple[Dat
     """FLT-3: rows whose vector has the right size, and the rest."""
     fits = F.coalesce(F.size(vector) == dim, F.lit(False))
     return df.where(fits), df.where(~fits)
+
+
+def with_state(df: DataFrame, dim: int, vector: str = "vector") -> DataFrame:
+    """FLT-3: ``state``, ``ok`` where the vector has the right size and else ``failed``, on rows that are kept as a table.
+
+    The model has run once when this returns, however often the good and the failed rows are read.
+    """
+    fits = F.coalesce(F.size(vector) == dim, F.lit(False))
+    path = work_dir(df.sparkSession, "embedded")
+    df.withColumn("state", F.when(fits, "ok").otherwise("failed")).write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -1,32 +1,32 @@
 """Bulk top-k search by cosine (JOIN-1, TOP-1, FLT-2).
 
-Every question is compared with every point, but the pairs never become rows: a task scores a
-block of points against a block of questions as one matrix product and emits at most ``k`` rows
-per question. A window then keeps the best ``k`` of those. Nothing is sampled or capped, so the
-result is exact whatever the distribution of the data.
-
-The questions reach the tasks in one of two ways, chosen by their number:
-
-- up to ``query_block`` questions: they are broadcast, and the points are scored where they
-  are read, without a shuffle;
-- more: points and questions are cut into blocks of bounded size, each block of points meets
-  each block of questions in one cell of a grid, and a cell is one task. Blocks are cut by a hash
-  of the unique id, so no key of the data can make one cell larger than the others.
+Every question is compared with every point, but the pairs never become rows. The questions are
+written once, in blocks, to the shared folder. The points are read where they stand, without a
+shuffle: a task holds a chunk of them, takes block after block of questions, scores the two as one
+matrix product and emits at most ``k`` rows per question. A window then keeps the best ``k`` of
+those. It is the same plan for one question and for any number; the driver sees neither side.
+
+With ``prune`` a chunk is cut into blocks of points with an upper bound on their scores, and a
+block is left out for every question whose ``k``-th score so far is above the bound. Nothing is
+sampled or capped: all ways give the same exact result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsprep.session import stored, work_dir
+
+from .pruning import METHODS, pruned_top_k
+
 #: Columns of a score block; bounds the size of one matrix product.
 _SCORE_COLUMNS = 256
 
@@ -142,40 +142,60 @@ def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
 _NAMES = ["query_id", "chunk_id", "score"]
 
 
-def _score_broadcast(head: pa.Table, points: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    types = _arrow_types(schema)
-    shared = points.sparkSession.sparkContext.broadcast((ids_of(head["query_id"]), matrix(head["vector"])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, vectors = shared.value
-        found = top_k(((ids_of(b.column(0)), matrix(b.column(1))) for b in batches), vectors, k)
-        yield pa.RecordBatch.from_arrays(_rows(query_ids, found, types), names=_NAMES)
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors in chunks of about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    for x in batches:
+        held.append(x)
+        if sum(map(len, held)) >= rows:
+            whole = pa.Table.from_batches(held)
+            yield ids_of(whole.column(0)), matrix(whole.column(1))
+            held = []
+    if held:
+        whole = pa.Table.from_batches(held)
+        if len(whole):
+            yield ids_of(whole.column(0)), matrix(whole.column(1))
 
-    return points.mapInArrow(run, schema)
 
-
-def _score_grid(
-    queries: DataFrame, points: DataFrame, k: int, schema: T.StructType, query_blocks: int, point_blocks: int
+def _found(
+    queries: DataFrame, points: DataFrame, k: int, query_block: int, point_block: int, prune: str | None
 ) -> DataFrame:
+    """``query_id, chunk_id, score`` of the best of every chunk; and with pruning a row without ids for every pair of a
+    chunk and a block of questions, whose ``pairs`` and ``skipped`` count blocks of points times questions."""
+    schema = _out_schema(queries, points)
     types = _arrow_types(schema)
+    path = work_dir(points.sparkSession, "questions")
+    queries.write.option("maxRecordsPerFile", 1 << 20).parquet(path)
 
-    def cell(block_of_queries: pa.Table, block_of_points: pa.Table) -> pa.Table:
-        query_ids, vectors = ids_of(block_of_queries["query_id"]), matrix(block_of_queries["vector"])
-        found = top_k(
-            ((ids_of(b.column("chunk_id")), matrix(b.column("vector"))) for b in block_of_points.to_batches(8192)),
-            vectors, k,
-        )
-        return pa.Table.from_arrays(_rows(query_ids, found, types), names=_NAMES)
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def block(name: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-
-    left = queries.select("query_id", "vector", block("query_id", query_blocks).alias("qb"), every(point_blocks).alias("pb"))
-    right = points.select("chunk_id", "vector", every(query_blocks).alias("qb"), block("chunk_id", point_blocks).alias("pb"))
-    return left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(cell, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, vectors in _chunks(batches, point_block):
+            order = np.argsort(_sortable(ids), kind="stable")
+            ids, vectors = ids[order], vectors[order]
+            method = METHODS[prune](vectors) if prune else None
+            for block in stored(path, query_block):
+                query_ids, asked = ids_of(block.column(0)), matrix(block.column(1))
+                if not len(query_ids):
+                    continue
+                pairs = skipped = None
+                if method is None:
+                    found = top_k([(ids, vectors)], asked, k)
+                else:
+                    query, score, at, pairs, skipped = pruned_top_k(method, asked, k, scores, _best)
+                    found = query, score, ids[at]
+                arrays = _rows(query_ids, found, types)
+                none = pa.nulls(len(arrays[2]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*arrays, none, none], names=[*_NAMES, "pairs", "skipped"])
+                if pairs is not None:
+                    report = [pa.nulls(1, types[0]), pa.nulls(1, types[1]), pa.nulls(1, pa.float64()), pa.array([pairs]), pa.array([skipped])]
+                    yield pa.RecordBatch.from_arrays(report, names=[*_NAMES, "pairs", "skipped"])
+
+    counted = T.StructType([*schema.fields, T.StructField("pairs", T.LongType()), T.StructField("skipped", T.LongType())])
+    return points.mapInArrow(run, counted)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return found.select(*_NAMES).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def search(
@@ -187,32 +207,40 @@ def search(
     query_block: int = 4096,
     point_block: int = 65536,
     created_at: str = "payload.created_at",
+    prune: str | None = None,
 ) -> DataFrame:
     """JOIN-1, TOP-1: the ``k`` nearest points of every question.
 
     ``queries`` has ``query_id`` and ``vector``; ``points`` has ``chunk_id`` and ``vector``; both
     ids are unique and all vectors have one length. Returns ``query_id, chunk_id, score, rank``;
     ties in the rounded score go to the smaller id. ``since`` (FLT-2) is an interval such as
-    ``24 hours``: only points created within it up to ``as_of`` are scored.
+    ``24 hours``: only points created within it up to ``as_of`` are scored. A task holds
+    ``point_block`` points and ``query_block`` questions at a time. ``prune`` is ``clusters`` for dense
+    vectors that lie in groups, ``impacts`` for word counts, or None.
 
-    Counting the questions is a job of its own, run when this is called.
+    The questions are written, and so computed, once, when this is called.
     """
     if since is not None:
         at = F.lit(as_of).cast("timestamp") if as_of is not None else F.current_timestamp()
         created = F.col(created_at)
         points = points.where((created >= at - F.expr(f"interval {since}")) & (created <= at))
-    queries, points = queries.select("query_id", "vector"), points.select("chunk_id", "vector")
-    schema = _out_schema(queries, points)
-    head = queries.limit(query_block + 1).toArrow()
-    if head.num_rows <= query_block:
-        found = _score_broadcast(head, points, k, schema)
-    else:
-        found = _score_grid(
-            queries, points, k, schema,
-            math.ceil(queries.count() / query_block), max(1, math.ceil(points.count() / point_block)),
-        )
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = _found(queries.select("query_id", "vector"), points.select("chunk_id", "vector"), k, query_block, point_block, prune)
+    return _ranked(found.where(F.col("query_id").isNotNull()) if prune else found, k)
+
+
+def search_report(
+    queries: DataFrame, points: DataFrame, k: int, prune: str, query_block: int = 4096, point_block: int = 65536
+) -> tuple[DataFrame, DataFrame]:
+    """The matches of a pruned search, and one row that counts the pairs of a block of points and a question and those skipped.
+
+    The narrow results are written once, and both are read from them.
+    """
+    found = _found(queries.select("query_id", "vector"), points.select("chunk_id", "vector"), k, query_block, point_block, prune)
+    path = work_dir(points.sparkSession, "matches")
+    found.write.parquet(path)
+    rows = points.sparkSession.read.schema(found.schema).parquet(path)
+    report = rows.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"))
+    return _ranked(rows.where(F.col("query_id").isNotNull()), k), report
 
 
 def with_payload(matches: DataFrame, points: DataFrame, field: str | None = None) -> DataFrame:

@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 from .ordering import running_total
 
+#: Keys that one task merges at most.
+SELECTED = 10_000
+
 
 def split_first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The first ``n`` rows in the order ``order_by``, which is unique and not null, and the rest.
 
-    Only keys are ordered, by the two-pass position; the key of the n-th row is found, and every row
-    is compared with it where it is read.
+    Only keys are read for it: the key of the n-th row is found, and every row is compared with it
+    where it is read. Up to ``SELECTED`` keys each task selects its first ``n`` and those are
+    merged; beyond, the keys are placed by ranges and positions.
     """
-    keys = df.select(*order_by)
-    head = running_total(keys, order_by, F.lit(1), "_position").where(F.col("_position") < n)
-    key = F.struct(*order_by)
+    keys, key = df.select(*order_by), F.struct(*order_by)
+    if n <= SELECTED:
+        head = keys.orderBy(*order_by).limit(n)
+    else:
+        head = running_total(keys, order_by, F.lit(1), "_position").where(F.col("_position") < n)
     # No n-th key (n is 0) leaves every row in the second part.
     first = F.coalesce(key <= head.agg(F.max(key)).scalar(), F.lit(False))
     return df.where(first), df.where(~first)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,8 @@ from newsprep.operators.history import history
 from newsprep.operators.qa import clean_samples, inference_prompt
 from newsprep.operators.search import search, with_payload
 from newsprep.plans.ingest import encode_text
+from newsprep.session import work_dir
+from newsprep.sources.files import append_log, prompt_log
 
 
 def question_vectors(
@@ -73,8 +76,25 @@ def answer_all(
     k: int = 1,
     include_history: bool = False,
     batch_size: int = 16,
+    instruction: str | None = None,
+    log_path: str | None = None,
+    run_id: str | None = None,
+    project: str = "answers",
+    model: str | None = None,
     **retrieval,
 ) -> DataFrame:
-    """Answers for a table of questions (``query_id, about_me, question`` and ``conv_id`` with ``turns``)."""
-    asked = prompts(retrieve(questions, points, k, **retrieval), turns, include_history=include_history)
-    return generate(asked, make_generate_fn, batch_size)
+    """Answers for a table of questions (``query_id, about_me, question`` and ``conv_id`` with ``turns``).
+
+    ``instruction`` opens every prompt. With ``log_path`` the answers are computed once, when this is
+    called, kept as a table, and logged as one batch of ``run_id``: the same run again replaces its log (SNK-4).
+    """
+    options = {} if instruction is None else {"instruction": instruction}
+    asked = prompts(retrieve(questions, points, k, **retrieval), turns, include_history=include_history, **options)
+    answers = generate(asked, make_generate_fn, batch_size)
+    if log_path is None:
+        return answers
+    path = work_dir(answers.sparkSession, "answers")
+    answers.write.parquet(path)
+    kept = answers.sparkSession.read.schema(answers.schema).parquet(path)
+    append_log(prompt_log(kept, project, model), log_path, run_id or uuid.uuid4().hex)
+    return kept

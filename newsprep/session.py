@@ -7,8 +7,11 @@ import io
 import os
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +51,22 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path within it; a path without scheme is a local one."""
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
+
+
+def stored(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a Parquet folder below the shared folder, read by a task in batches of at most ``rows``."""
+    system, folder = located(path)
+    for info in sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as file:
+                yield from pq.ParquetFile(file).iter_batches(rows)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of any executor, and are computed once."""
     spark = df.sparkSession

@@ -33,8 +33,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsprep.functions.vectors import VECTOR, norm
 from newsprep.operators.latest import latest
+from newsprep.session import located
 
-from .sink import CollectionSink, located
+from .sink import CollectionSink
 
 PAYLOAD = T.StructType([
     T.StructField("headline", T.StringType()),
@@ -55,21 +56,21 @@ POINT_SCHEMA = T.StructType([
     T.StructField("part", T.IntegerType()),
     T.StructField("pos", T.IntegerType()),
 ])
-_PLACE = [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType())]
-_LOG = T.StructType([*POINT_SCHEMA.fields, T.StructField("error", T.StringType()), *_PLACE, T.StructField("state", T.StringType())])
-_STORED = T.StructType([*POINT_SCHEMA.fields, *_PLACE])
+PLACE = [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType())]
+_LOG = T.StructType([*POINT_SCHEMA.fields, T.StructField("error", T.StringType()), *PLACE, T.StructField("state", T.StringType())])
+_STORED = T.StructType([*POINT_SCHEMA.fields, *PLACE])
 _META = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("metric", T.StringType()), T.StructField("buckets", T.IntegerType())])
 _POINTER = T.StructType([T.StructField("v", T.LongType())])
 _BUCKETS = T.StructField("buckets", T.ArrayType(T.IntegerType()))
-_ENTRY = T.StructType([*_PLACE, T.StructField("seq", T.LongType()), T.StructField("folder", T.StringType()), T.StructField("rows", T.LongType()), _BUCKETS])
-_COVERED = T.StructType([*_PLACE, T.StructField("seq", T.LongType()), _BUCKETS])
+_ENTRY = T.StructType([*PLACE, T.StructField("seq", T.LongType()), T.StructField("folder", T.StringType()), T.StructField("rows", T.LongType()), _BUCKETS])
+_COVERED = T.StructType([*PLACE, T.StructField("seq", T.LongType()), _BUCKETS])
 _FILE = T.StructType([
     T.StructField("bucket", T.IntegerType()), T.StructField("live", T.BooleanType()), T.StructField("folder", T.StringType()), T.StructField("file", T.StringType()),
     T.StructField("rows", T.LongType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()),  # microseconds
 ])
 _BATCH = ["run_id", "batch_id"]
 #: Stored rows with the place where they stand, which tells them from rows that equal them.
-_PLACED = T.StructType([*_STORED.fields, T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())])
+_STANDING = T.StructType([*_STORED.fields, T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())])
 #: Buckets of a new collection, rows of a file of a version, and places of rows that are sent to every task at most.
 BUCKETS, FILE_ROWS, PLACES = 16, 1 << 20, 200_000
 
@@ -146,14 +147,19 @@ def upsert(df: DataFrame, path: str, run_id: str, batch_id: int) -> None:
         "error": F.when(~fits, F.coalesce(reason, F.lit("wrong vector size"))),
         "bucket": _bucket(meta[2]),
     })
-    spark.dataSource.register(CollectionSink)
     columns = [*(F.col(f.name).cast(f.dataType) for f in POINT_SCHEMA.fields), "error", "state", "bucket"]
-    rows.select(*columns).write.format("newsprep_collection").mode("append").options(
+    commit_batch(rows.select(*columns), path, run_id, batch_id)
+
+
+def commit_batch(rows: DataFrame, path: str, run_id: str, batch_id: int) -> None:
+    """Write rows with ``state`` and ``bucket`` as one batch: all of it or nothing, in place of an earlier attempt."""
+    rows.sparkSession.dataSource.register(CollectionSink)
+    rows.write.format("newsprep_collection").mode("append").options(
         path=path, run_id=run_id, batch_id=str(batch_id), attempt=uuid.uuid4().hex
     ).save()
 
 
-def _entries(spark: SparkSession, path: str) -> DataFrame:
+def committed(spark: SparkSession, path: str) -> DataFrame:
     """The last committed attempt of each batch that the manifest still lists."""
     return latest(_read(spark, f"{path}/manifest", _ENTRY, "json").withColumn("_batch", F.struct(*_BATCH)), "_batch", ("seq", "attempt")).drop("_batch")
 
@@ -192,7 +198,7 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
     if version is not None:
         return Snapshot(at, files, [], [])
     folded = _covered(spark, path, at).select(*_BATCH, F.struct("attempt", "buckets", "seq").alias("_old"))
-    newer = _entries(spark, path).join(folded, _BATCH, "left").where(F.col("_old").isNull() | (F.col("seq") > F.col("_old.seq")))
+    newer = committed(spark, path).join(folded, _BATCH, "left").where(F.col("_old").isNull() | (F.col("seq") > F.col("_old.seq")))
     fresh = newer.collect()
     return Snapshot(at, files, fresh, [e["_old"] for e in fresh if e["_old"] is not None])
 
@@ -204,14 +210,14 @@ def _where() -> list[Column]:
 def _fresh(spark: SparkSession, path: str, state: Snapshot) -> DataFrame:
     folders = [f"{path}/{e['folder']}/state=ok" for e in state.fresh if e["rows"]]
     if not folders:
-        return _table(spark, [], _PLACED)
+        return _table(spark, [], _STANDING)
     return spark.read.schema(_LOG).option("basePath", f"{path}/log").parquet(*folders).select(*_STORED.names, *_where())
 
 
 def _stored(spark: SparkSession, path: str, files: list[Row]) -> DataFrame:
     """Rows of the named files of a version."""
     if not files:
-        return _table(spark, [], _PLACED)
+        return _table(spark, [], _STANDING)
     return spark.read.schema(_STORED).parquet(*[f"{path}/{f['folder']}/{f['file']}" for f in files]).select(*_STORED.names, *_where())
 
 
@@ -302,7 +308,7 @@ def read_collection(
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     """Points refused by ``upsert`` with the reason."""
-    valid = _entries(spark, path).select("attempt").unionAll(_covered(spark, path, _version(spark, path)).select("attempt")).distinct()
+    valid = committed(spark, path).select("attempt").unionAll(_covered(spark, path, _version(spark, path)).select("attempt")).distinct()
     return _read(spark, f"{path}/log", _LOG).where(F.col("state") == "reject").join(valid, "attempt", "left_semi").select(*_LOG.names)
 
 
@@ -364,7 +370,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1, grace: timedelta = tim
     kept = finished[-max(1, keep):]
     folders = {f["folder"] for v in kept for f in snapshot(spark, path, v).files}
     state = snapshot(spark, path)
-    current = {r["attempt"] for r in _entries(spark, path).select("attempt").collect()} | {
+    current = {r["attempt"] for r in committed(spark, path).select("attempt").collect()} | {
         r["attempt"] for r in _covered(spark, path, state.version).select("attempt").collect()
     }
     pending = {e["attempt"] for e in state.fresh}

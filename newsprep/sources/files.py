@@ -11,6 +11,8 @@ from newsprep.operators.evaluate import usage_columns
 from newsprep.operators.qa import to_samples
 from newsprep.schemas import LOG_FIELDS, QA_SCHEMA
 
+from .collection import PLACE, commit_batch, committed
+
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType, array_file: bool = True) -> DataFrame:
     """SRC-7: JSON records. ``array_file`` reads files that hold one array; such a file is one task.
@@ -52,6 +54,23 @@ def prompt_log(
     return df.where(F.col(output).isNotNull()).withColumns(columns).select(*fields)
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    """SNK-4: append to the log table, partitioned by project and day."""
-    log.withColumn("log_date", F.current_date()).write.mode("append").partitionBy("project", "log_date").parquet(path)
+def append_log(log: DataFrame, path: str, run_id: str | None = None, batch_id: int = 0) -> None:
+    """SNK-4: add rows to the log table.
+
+    With ``run_id`` the rows are one committed batch: written again, it takes the place of its first
+    attempt, so a rerun leaves the log as it was, and a failed one shows nothing; ``read_log`` reads
+    it. Without, they are appended as files by project and day, once for every call. A path holds logs of one of the two kinds.
+    """
+    dated = log.withColumn("log_date", F.current_date())
+    if run_id is None:
+        dated.write.mode("append").partitionBy("project", "log_date").parquet(path)
+    else:
+        commit_batch(dated.withColumns({"state": F.lit("ok"), "bucket": F.lit(0)}), path, run_id, batch_id)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed runs with ``run_id`` and ``batch_id``."""
+    folders = [f"{path}/{e['folder']}/state=ok" for e in committed(spark, path).where("rows > 0").collect()]
+    if not folders:
+        return spark.createDataFrame([], T.StructType([*(T.StructField(c, T.StringType()) for c in LOG_FIELDS), *PLACE]))
+    return spark.read.option("basePath", f"{path}/log").option("mergeSchema", True).parquet(*folders).drop("state", "attempt")

@@ -102,7 +102,11 @@ def read_pages(spark: SparkSession, start: str, end: str, n: int, fetcher: str,
 
 
 def parse_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """News rows of the pages, each in the interval that asked for it, and rejects."""
+    """News rows and rejects of the pages, each in the interval that asked for it.
+
+    Two intervals that share a second are both sent its messages; those that can be dated count once.
+    """
     validated = validate(explode_messages(pages))
-    inside = in_range(parse_rfc3339("message.created_at"), F.col("interval_start"), F.col("interval_end"))
-    return good_rows(validated.where(F.col("reason").isNotNull() | inside)), reject_rows(validated)
+    created = parse_rfc3339("message.created_at")
+    mine = validated.where(created.isNull() | in_range(created, F.col("interval_start"), F.col("interval_end")))
+    return good_rows(mine), reject_rows(mine)

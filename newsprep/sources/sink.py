@@ -8,7 +8,6 @@ nothing, and a second attempt of a batch takes the place of the first at one mom
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,18 +20,13 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from newsprep.session import located
+
 #: Bytes of rows that a task holds before it writes them as one row group.
 GROUP = 32 << 20
 STATES = ("ok", "reject")
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path and the path within it; a path without scheme is a local one."""
-    if "://" in path and not path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
-
-
 def attempt_folder(run_id: str, batch_id: int, attempt: str) -> str:
     """Below the collection; the names read back as partition columns."""
     return f"log/run_id={quote(run_id, safe='')}/batch_id={batch_id}/attempt={attempt}"

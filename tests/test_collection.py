@@ -178,3 +178,14 @@ def test_late_and_rewritten_batches_survive_a_compaction(spark, tmp_path):
     assert now() == {"x": 3, "y": 1, "z": 1}
     compact(spark, path)
     assert now() == {"x": 3, "y": 1, "z": 1}
+
+
+def test_bad_rows_of_a_shared_second_count_once(spark):
+    """Two intervals meet within a second, and both are sent the bad article of that second."""
+    value = json.dumps([{"id": 1, "created_at": "2024-01-01T00:00:01.200000Z"}])
+    at = lambda micros: datetime(2024, 1, 1, 0, 0, 1, micros)
+    pages = spark.createDataFrame(
+        [(0, datetime(2024, 1, 1), at(500_000), 0, value), (1, at(500_000), datetime(2024, 1, 1, 0, 0, 2), 0, value)],
+        "interval bigint, interval_start timestamp, interval_end timestamp, page bigint, value string")
+    good, rejects = parse_pages(pages)
+    assert good.count() == 0 and [r["reason"] for r in rejects.collect()] == ["missing headline"]

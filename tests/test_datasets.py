@@ -174,3 +174,15 @@ def test_perplexity_and_counts(spark):
     assert {r["g"]: round(r["perplexity"], 6) for r in op.perplexity(df, "nll", ["g"]).collect()} == {"a": 7.389056, "b": 1.0}
     counted, seen = op.count_rows(df)
     assert counted.where("g = 'a'").count() == 2 and seen.get["n"] == 3
+
+
+def test_first_n_by_selection_and_by_ranges(spark, monkeypatch, plan):
+    from newsprep.operators import split
+
+    df = spark.createDataFrame([(i * 37 % 501, i) for i in range(501)], "k long, v long").repartition(6)
+    for n in (0, 1, 82, 501, 900):
+        first, rest = split.split_first_n(df, n, ["k"])
+        assert sorted(r["k"] for r in first.collect()) == list(range(min(n, 501))) and rest.count() == 501 - min(n, 501)
+    monkeypatch.setattr(split, "SELECTED", 10)
+    first, rest = split.split_first_n(df, 82, ["k"])
+    assert sorted(r["k"] for r in first.collect()) == list(range(82)) and rest.count() == 419

@@ -186,3 +186,145 @@ def test_answer_all(spark):
     assert "### LATEST NEWS: Oil falls\n" in answers["q2"]["prompt"]
     assert answers["q1"]["answer"] == " echoed" and answers["q1"]["duration_ms"] >= 0 and answers["q1"]["error"] is None
     assert answers["q1"]["payload"]["question"] == "bank rates? the bank lifts rates"
+
+
+def grouped_rows(seed, n, prefix, dim=24, groups=30):
+    """Unit-length directions in tight groups, as encoders make them."""
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(99).normal(size=(groups, dim))
+    return [(f"{prefix}{i:04d}", np.round(centres[rng.integers(groups)] + 0.05 * rng.normal(size=dim), 3)) for i in range(n)]
+
+
+def word_rows(seed, n, prefix, dim=64):
+    """Word counts: most buckets empty, one on every row."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        row = np.bincount(rng.choice(dim, 6, p=np.arange(1, dim + 1)[::-1] / (dim * (dim + 1) / 2)), minlength=dim)
+        row[0] += 1
+        out.append((f"{prefix}{i:04d}", row))
+    return out
+
+
+@pytest.mark.parametrize("prune, rows", [("clusters", grouped_rows), ("impacts", word_rows), ("clusters", random_rows), ("impacts", random_rows)])
+@pytest.mark.parametrize("k, blocks", [(1, {}), (3, {"query_block": 7, "point_block": 150})])
+def test_pruned_search_is_exact(spark, prune, rows, k, blocks):
+    queries, points = rows(1, 25, "q"), rows(2, 700, "p")
+    width = len(points[0][1])
+    points += [("zero", np.zeros(width)), ("again", points[5][1]), ("same", points[5][1])]
+    queries += [("nought", np.zeros(width)), ("twin", points[5][1])]
+    found = got(op.search(frame(spark, queries, "query_id"), frame(spark, points, "chunk_id"), k, prune=prune, **blocks))
+    plain = got(op.search(frame(spark, queries, "query_id"), frame(spark, points, "chunk_id"), k))
+    assert found == plain and len(found) == k * len(queries)
+
+
+def test_pruning_skips_most_blocks_of_grouped_points(spark):
+    queries, points = frame(spark, grouped_rows(1, 40, "q"), "query_id"), frame(spark, grouped_rows(2, 3000, "p"), "chunk_id")
+    matches, report = op.search_report(queries, points, 3, "clusters")
+    assert got(matches) == got(op.search(queries, points, 3))
+    row = report.first()
+    assert row["skipped"] > 0.6 * row["pairs"] > 0
+    none, report = op.search_report(queries, points.limit(0), 3, "clusters")
+    assert none.count() == 0 and report.first()["pairs"] == 0
+
+
+def test_bounds_hold():
+    from newsprep.operators.pruning import METHODS
+    from newsprep.operators.search import scores
+
+    rng = np.random.default_rng(8)
+    for name in METHODS:
+        vectors, queries = np.concatenate((rng.normal(size=(300, 6)), np.zeros((2, 6)))), np.concatenate((rng.normal(size=(20, 6)), np.zeros((1, 6))))
+        blocks = METHODS[name](vectors)
+        bounds = blocks.bounds(queries)
+        assert sorted(np.concatenate(blocks.members).tolist()) == list(range(302))
+        for b, members in enumerate(blocks.members):
+            assert (scores(vectors[members], queries).max(axis=0) <= bounds[:, b] + 1e-6).all()
+
+
+def test_questions_are_encoded_once(spark, tmp_path):
+    """However many tasks and blocks there are, each question goes to the encoder once."""
+    folder = str(tmp_path)
+
+    def make():
+        import uuid
+
+        def predict(texts):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write("\n".join(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return predict
+
+    asked = spark.createDataFrame([(f"q{i}", "x" * i) for i in range(1, 30)], "query_id string, question string").repartition(3)
+    points = frame(spark, [(f"p{i}", [i, 1]) for i in range(40)], "chunk_id")
+    found = op.search(plans.question_vectors(asked, make, 2), points, 2, query_block=4, point_block=10)
+    assert found.count() == 58
+    seen = [t for f in tmp_path.iterdir() for t in f.read_text().split("\n")]
+    assert sorted(map(len, seen)) == list(range(1, 30))
+
+
+def test_a_logged_run_is_replaced_as_a_whole(spark, tmp_path):
+    from newsprep.sources import append_log, prompt_log, read_log
+
+    def answers(*texts):
+        rows = [(f"p {t}", t, None, 1.0) for t in texts]
+        return spark.createDataFrame(rows, "prompt string, answer string, payload string, duration_ms double")
+
+    path = f"{tmp_path}/log"
+    assert read_log(spark, path).collect() == []
+    for texts in (("a", "b", None), ("a", "c")):
+        append_log(prompt_log(answers(*texts), "p", "m"), path, "one")
+    append_log(prompt_log(answers("d"), "p", "m"), path, "two")
+    append_log(prompt_log(answers("e"), "p", "m"), path, "two", 1)
+    assert sorted((r["run_id"], r["output"]) for r in read_log(spark, path).collect()) == [("one", "a"), ("one", "c"), ("two", "d"), ("two", "e")]
+    fail = F.udf(lambda x: 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivision"):
+        append_log(prompt_log(answers("x").withColumn("answer", fail("answer").cast("string")), "p", "m"), path, "one")
+    assert read_log(spark, path).count() == 4
+
+
+def test_answers_are_generated_once_and_logged(spark, tmp_path):
+    from newsprep.sources import read_log
+
+    folder = str(tmp_path / "calls")
+    (tmp_path / "calls").mkdir()
+
+    def make():
+        import uuid
+
+        def run(prompts):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write("\n".join("call" for _ in prompts))
+            return [p + " yes" for p in prompts]
+
+        return run
+
+    asked = spark.createDataFrame([(f"q{i}", "me", f"word{i}") for i in range(6)], "query_id string, about_me string, question string")
+    stored = spark.createDataFrame([("c", [1.0] * 16, ("s",))], "chunk_id string, vector array<float>, payload struct<summary: string>")
+    done = plans.answer_all(asked, stored, make, dim=16, instruction="Be brief.", log_path=f"{tmp_path}/log", run_id="r", project="p", model="m")
+    assert done.count() == 6 and all(r["prompt"].startswith("[INST] Be brief.") for r in done.collect())
+    log = read_log(spark, f"{tmp_path}/log").collect()
+    assert {r["output"] for r in log} == {" yes"} and len(log) == 6
+    assert sum(len(f.read_text().split()) for f in (tmp_path / "calls").iterdir()) == 6
+
+
+def test_with_state_runs_the_model_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        import uuid
+
+        def predict(texts):
+            if "bad" in texts:
+                raise ValueError("no")
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write("\n".join(texts))
+            return [[1.0, 2.0]] * len(texts)
+
+        return predict
+
+    df = spark.createDataFrame([("a",), ("bad",), ("b",), (None,)], "chunk string")
+    rows = op.with_state(op.embed(df, make), 2)
+    assert rows.where("state = 'ok'").count() == 2 and rows.where("state = 'failed'").count() == 2
+    assert sorted(t for f in tmp_path.iterdir() for t in f.read_text().split("\n")) == ["a", "b"]

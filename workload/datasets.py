@@ -104,9 +104,7 @@ SELECT conv_id, turn, md5(string_split(about_me, chr(10))[-1]) AS question_md5,
        {_LABELLED} AS response FROM qa""")
 def attach_response(spark, sf_dir):
     built = plans.build_examples(qa_raw(spark, sf_dir).drop("question", "response"), count_reply)
-    return _hashes(built.withColumn("_r", F.lit(0)), "question", "context").join(
-        built.select("conv_id", "turn", "response"), ["conv_id", "turn"]
-    )
+    return built.select("conv_id", "turn", F.md5("question").alias("question_md5"), F.md5("context").alias("context_md5"), "response")
 
 
 @query("src7_read_json", f"WITH {QA_SQL} SELECT md5(about_me) AS about_me_md5, md5(response) AS response_md5, chat_history FROM qa")

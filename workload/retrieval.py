@@ -12,7 +12,7 @@ from newsprep.functions.prompts import ABOUT, CLOSE, HISTORY, INSTRUCTION, NEWS,
 from newsprep.operators.history import AI, HUMAN
 from newsprep.session import materialize, work_dir
 from newsprep.sources import (
-    append_log, compact, ensure_collection, prompt_log, read_collection, read_rejects, upsert, write_answers,
+    append_log, compact, ensure_collection, prompt_log, read_collection, read_log, read_rejects, upsert, write_answers,
 )
 
 from .common import (
@@ -60,9 +60,15 @@ def dense_top_k(spark, sf_dir):
     return _ranked(op.search(dense_queries(spark, sf_dir), dense_points(spark, sf_dir), 5))
 
 
+@query("top1_clusters", f"WITH {dense_sql(5)} SELECT query_id, chunk_id, score, rank FROM matches")
+def clusters_top_k(spark, sf_dir):
+    """Blocks of points are skipped by the angles to their centres."""
+    return _ranked(op.search(dense_queries(spark, sf_dir), dense_points(spark, sf_dir), 5, prune="clusters"))
+
+
 @query("join1_block_grid", f"WITH {dense_sql(3)} SELECT query_id, chunk_id, score, rank FROM matches")
 def block_grid(spark, sf_dir):
-    """The way taken when the questions are too many to broadcast."""
+    """Chunks of points against blocks of questions, many of both."""
     return _ranked(op.search(
         dense_queries(spark, sf_dir), dense_points(spark, sf_dir), 3, query_block=256, point_block=256
     ))
@@ -122,15 +128,22 @@ def sparse_top_k(spark, sf_dir):
     return _ranked(op.search(plans.question_vectors(questions(spark, sf_dir), dim=DIM), points(spark, sf_dir), 3))
 
 
+@query("top1_impacts", f"WITH {sparse_sql(3)} SELECT query_id, chunk_id, score, rank FROM matches")
+def impacts_top_k(spark, sf_dir):
+    """Blocks of word counts are skipped by the greatest weight of every bucket."""
+    asked = plans.question_vectors(questions(spark, sf_dir), dim=DIM)
+    return _ranked(op.search(asked, points(spark, sf_dir), 3, prune="impacts"))
+
+
 CONTEXT_SQL = """contexts AS (
   SELECT query_id, string_agg(coalesce(summary, '') || chr(10), '' ORDER BY rank) AS context
   FROM matches JOIN points USING (chunk_id) GROUP BY query_id)"""
 
 
-def prompt_sql(history: str | None = None) -> str:
+def prompt_sql(history: str | None = None, instruction: str = INSTRUCTION) -> str:
     middle = f" || {lit(HISTORY)} || {history}" if history else ""
     return (
-        f"{lit(OPEN + INSTRUCTION + ABOUT)} || {sql_sample('about_me')} || {lit(NEWS)} || {sql_sample('context')}"
+        f"{lit(OPEN + instruction + ABOUT)} || {sql_sample('about_me')} || {lit(NEWS)} || {sql_sample('context')}"
         f"{middle} || {lit(QUESTION)} || {sql_sample('question')} || {lit(CLOSE)}"
     )
 
@@ -191,6 +204,26 @@ def answer_all(spark, sf_dir):
     return answers.select("query_id", F.md5("prompt").alias("prompt_md5"), "answer")
 
 
+HOUSE = "Answer in one sentence."
+
+
+@query("udf5_logged", f"""WITH {sparse_sql(1)}, {CONTEXT_SQL},
+asked_all AS (
+  SELECT item_id AS query_id, 'Reader ' || item_id AS about_me, text AS question, coalesce(context, '') AS context
+  FROM benchmark LEFT JOIN contexts ON query_id = item_id),
+prompted AS (SELECT {prompt_sql(instruction=HOUSE)} AS prompt FROM asked_all)
+SELECT 'bulk' AS project, 'stub' AS model, 'night' AS run_id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars,
+       ' -> ' || length(prompt) || ' characters' AS output FROM prompted""")
+def logged(spark, sf_dir):
+    """A bulk run under an instruction of its own, run twice: its log holds every answer once."""
+    path, stored = work_dir(spark, "run-log"), points(spark, sf_dir)
+    for _ in range(2):
+        plans.answer_all(
+            questions(spark, sf_dir), stored, count_reply, k=1, dim=DIM, instruction=HOUSE, log_path=path, run_id="night", project="bulk", model="stub"
+        )
+    return read_log(spark, path).select("project", "model", "run_id", F.md5("prompt").alias("prompt_md5"), "prompt_chars", "output")
+
+
 LOG_SQL = """logged AS (
   SELECT 'demo' AS project, text AS prompt, ' -> ' || length(text) || ' characters' AS output FROM documents)"""
 

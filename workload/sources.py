@@ -60,17 +60,12 @@ def time_range(spark, sf_dir):
 SELECT event_id, {_ID} AS "interval",
        row_number() OVER (PARTITION BY {_ID} ORDER BY ts, event_id) AS place FROM events WHERE {_IN}""")
 def time_order(spark, sf_dir):
-    """Rows in time order within their interval; the place is read off the sorted partitions."""
-    rows = op.backfill(_events(spark, sf_dir), LO, HI, 8, "ts", "event_id")
-    placed = op.running_total(rows.select("event_id", "interval", "ts"), ["interval", "ts", "event_id"], F.lit(1), "position")
-    firsts = rows.groupBy("interval").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
-
-    earlier = W.orderBy("interval").rowsBetween(W.unboundedPreceding, -1)
-    starts = firsts.select("interval", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    return placed.join(F.broadcast(starts), "interval").select(
-        "event_id", "interval", (F.col("position") - F.col("start") + 1).alias("place")
-    )
+    """The place of a row is where it comes in its partition, as it is read; without the sort the places are others."""
+    together = _events(spark, sf_dir).repartition(op.interval_id("ts", LO, HI, 8))
+    rows = op.backfill(together, LO, HI, 8, "ts", "event_id")
+    placed = rows.select("event_id", "interval").withColumn("_at", F.monotonically_increasing_id())
+    first = placed.groupBy("interval").agg(F.min("_at").alias("_first"))
+    return placed.join(F.broadcast(first), "interval").select("event_id", "interval", (F.col("_at") - F.col("_first") + 1).alias("place"))
 
 
 def _landed_pages(spark, sf_dir):

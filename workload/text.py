@@ -118,13 +118,19 @@ def parse_rfc3339(spark, sf_dir):
 
 
 @query("jsn1_json_round_trip", """
-SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-       '{"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || '}' AS encoded FROM events""")
+SELECT event_id, 'k' || CAST(json_extract(props, '$.k') AS BIGINT) AS headline,
+       '{"T":"n","id":"' || event_id || '","headline":"k' || CAST(json_extract(props, '$.k') AS BIGINT) || '"}' AS encoded
+FROM events WHERE event_id % 50 <> 0
+UNION ALL SELECT event_id, NULL, '{broken' || event_id FROM events WHERE event_id % 50 = 0""")
 def json_round_trip(spark, sf_dir):
-    decoded = F.from_json("props", "k bigint")
-    return table(spark, sf_dir, "events").select(
-        "event_id", decoded["k"].alias("k"), F.to_json(decoded).alias("encoded")
-    )
+    """Messages decoded from frames and encoded again; every fiftieth frame cannot be read and comes back as it is."""
+    number = F.get_json_object("props", "$.k").cast("bigint")
+    message = F.struct(F.lit("n").alias("T"), F.col("event_id").alias("id"), F.concat(F.lit("k"), number.cast("string")).alias("headline"))
+    frames = table(spark, sf_dir, "events").select("event_id", F.when(
+        F.col("event_id") % 50 == 0, F.concat(F.lit("{broken"), F.col("event_id").cast("string"))
+    ).otherwise(F.to_json(F.array(message))).alias("value"))
+    messages = op.explode_messages(frames)
+    return messages.select("event_id", "message.headline", F.coalesce(F.to_json("message"), "raw").alias("encoded"))
 
 
 @query("vec1_cosine", """
@@ -175,12 +181,8 @@ def embed(spark, sf_dir):
 @query("flt3_drop_failed_embeddings", """
 SELECT length(text) % 10 <> 0 AS kept, count(*) AS n FROM documents GROUP BY ALL""")
 def drop_failed(spark, sf_dir):
-    embedded = op.embed(table(spark, sf_dir, "documents"), letter_counts, 64, "text")
-    good, bad = op.split_failures(embedded, 3)
-    return (
-        good.agg(F.count(F.lit(1)).alias("n")).select(F.lit(True).alias("kept"), "n")
-        .unionByName(bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(False).alias("kept"), "n"))
-    )
+    embedded = op.with_state(op.embed(table(spark, sf_dir, "documents"), letter_counts, 64, "text"), 3)
+    return embedded.groupBy((F.col("state") == "ok").alias("kept")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_token_states():
