@@ -53,6 +53,12 @@ def pairs(turns: DataFrame, user: str = "user", assistant: str = "assistant", wi
     return found
 
 
+def chat_lines(pairs: str) -> Column:
+    """An array of pairs written out, one after the other."""
+    lines = F.transform(F.col(pairs), lambda p: F.concat(F.lit(HUMAN), p["question"], F.lit("\n" + AI), p["answer"]))
+    return F.array_join(lines, "\n")
+
+
 def history(turns: DataFrame, k: int = 3, **options) -> DataFrame:
     """The last ``k`` pairs of each conversation, oldest first: ``conv_id, pairs, chat_history``.
 
@@ -62,10 +68,4 @@ def history(turns: DataFrame, k: int = 3, **options) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))
     kept = pairs(turns, **options).withColumn("_rank", rank).where(F.col("_rank") <= k)
     ordered = F.array_sort(F.collect_list(F.struct("turn", "question", "answer")))
-    lines = F.transform(
-        F.col("pairs"), lambda p: F.concat(F.lit(HUMAN), p["question"], F.lit("\n" + AI), p["answer"])
-    )
-    return (
-        kept.groupBy("conv_id").agg(ordered.alias("pairs"))
-        .withColumn("chat_history", F.array_join(lines, "\n"))
-    )
+    return kept.groupBy("conv_id").agg(ordered.alias("pairs")).withColumn("chat_history", chat_lines("pairs"))

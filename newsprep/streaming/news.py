@@ -56,6 +56,7 @@ def news_stream(
     max_files: int | None = None,
     trigger: dict | None = None,
     tap: Tap | None = None,
+    sample: int = 0,
 ) -> StreamingQuery:
     """STM-1: frames landing in the folder ``src``, or a stream with ``value``, into the collection ``dst``.
 
@@ -63,11 +64,14 @@ def news_stream(
 
     Delivery is at least once; a replayed batch replaces its own partition, and ids are content
     hashes, so the latest view does not change (STM-3). The stream holds no state. ``tap`` is the
-    debug hook (STM-4); counts come from the job itself (STM-5).
+    debug hook (STM-4); counts come from the job itself (STM-5). ``sample`` frames of each batch are kept beside
+    the collection for a look at them.
     """
     ensure_collection(spark, dst, dim)
 
     def write(frames: DataFrame, batch_id: int) -> None:
+        if sample:
+            frames.select("value").limit(sample).write.mode("overwrite").parquet(f"{dst}/frame_sample/run_id={run_id}/batch_id={batch_id}")
         counts = ingest_frames(frames, dst, run_id, batch_id, make_predict_fn, dim, max_tokens, make_count)
         if tap is not None:
             tap(batch_id, counts)
