@@ -9,7 +9,7 @@ from .generate import generate, label
 from .history import history, pairs
 from .intervals import backfill, in_range, interval_id, intervals, split_span
 from .latest import latest
-from .ordering import running_total
+from .ordering import carried_total, running_total
 from .pack import pack
 from .parse import explode_messages, parse_messages, validate
 from .qa import (
@@ -20,7 +20,7 @@ from .split import split_by_hash, split_first_n
 from .symbols import by_symbols, spread_by_symbol
 
 __all__ = [
-    "backfill", "by_symbols", "chunk", "clean_samples", "context", "count_rows", "embed",
+    "backfill", "by_symbols", "carried_total", "chunk", "clean_samples", "context", "count_rows", "embed",
     "explode_messages", "generate", "hash_encode", "history", "in_range", "inference_prompt",
     "interval_id", "intervals", "label", "latest", "loggable", "pack", "pairs", "parse_messages",
     "payload", "perplexity", "running_total", "search", "search_report", "sizes", "split_by_hash",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,19 +38,26 @@ def _pieces(word: str, size: int, budget: int, count: Callable[[list[str]], list
 
 
 def _fill(parts: list[str], sizes: list[int], budget: int, count: Callable[[list[str]], list[int]]) -> list[dict]:
-    """Greedy fill: a chunk takes words until the next one would pass the budget."""
-    chunks, held, total = [], [], 0
-    for word, size in zip(parts, sizes):
-        if held and total + size > budget:
-            chunks.append({"chunk": " ".join(held), "hard_split": False})
-            held, total = [], 0
-        if size > budget:
-            chunks += [{"chunk": p, "hard_split": True} for p in _pieces(word, size, budget, count)]
-        else:
-            held.append(word)
-            total += size
-    if held:
-        chunks.append({"chunk": " ".join(held), "hard_split": False})
+    """Greedy fill: a chunk takes words until the next one would pass the budget.
+
+    The words between two that are over the budget are cut by their running total: a chunk ends
+    where the total passes that of its start by the budget, found by bisection. So a text costs one
+    step per chunk, not per word.
+    """
+    n = np.asarray(sizes, np.int64)
+    total = np.cumsum(n)
+    over = np.flatnonzero(n > budget)
+    chunks: list[dict] = []
+    at = 0
+    for stop in [*over.tolist(), len(parts)]:
+        while at < stop:
+            before = int(total[at - 1]) if at else 0
+            end = min(int(np.searchsorted(total, before + budget, "right")), stop)
+            chunks.append({"chunk": " ".join(parts[at:end]), "hard_split": False})
+            at = end
+        if stop < len(parts):
+            chunks += [{"chunk": p, "hard_split": True} for p in _pieces(parts[stop], sizes[stop], budget, count)]
+            at = stop + 1
     return chunks
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsprep.session import materialize
-from .ordering import running_total
+
+from .ordering import carried_total
 
 
 def pack(df: DataFrame, length: int, id_col: str = "sample_id", tokens: str = "tokens", separator: int = 0) -> DataFrame:
@@ -17,9 +18,9 @@ def pack(df: DataFrame, length: int, id_col: str = "sample_id", tokens: str = "t
     A sample without tokens touches no sequence. Joining the rows back to the texts is left to the
     caller, so that only ids and counts are ordered.
     """
-    # Checkpointed, so that a count computed from text is not computed again to sample the ranges.
+    # Kept, so that a count computed from text is not computed again to sample the ranges.
     sized = materialize(df.select(id_col, (F.col(tokens) + F.lit(separator)).cast("bigint").alias("_n")))
-    placed = running_total(sized, [id_col], F.col("_n")).where(F.col("_n") > 0)
+    placed = carried_total(sized, [id_col], F.col("_n")).where(F.col("_n") > 0)
     first = F.call_function("div", F.col("before"), F.lit(length))
     final = F.call_function("div", F.col("before") + F.col("_n") - 1, F.lit(length))
     start = F.col("seq_id") * length

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import running_total
+from .ordering import carried_total
 
 #: Keys that one task merges at most.
 SELECTED = 10_000
@@ -24,7 +24,7 @@ def split_first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataF
     if n <= SELECTED:
         head = keys.orderBy(*order_by).limit(n)
     else:
-        head = running_total(keys, order_by, F.lit(1), "_position").where(F.col("_position") < n)
+        head = carried_total(keys, order_by, F.lit(1), "_position").where(F.col("_position") < n)
     # No n-th key (n is 0) leaves every row in the second part.
     first = F.coalesce(key <= head.agg(F.max(key)).scalar(), F.lit(False))
     return df.where(first), df.where(~first)

@@ -186,3 +186,24 @@ def test_first_n_by_selection_and_by_ranges(spark, monkeypatch, plan):
     monkeypatch.setattr(split, "SELECTED", 10)
     first, rest = split.split_first_n(df, 82, ["k"])
     assert sorted(r["k"] for r in first.collect()) == list(range(82)) and rest.count() == 419
+
+
+def test_carried_total(spark, plan):
+    """Against a plain loop: negative and null values, many ranges, no row moved but by the ranges."""
+    import random
+
+    from newsprep.operators import carried_total
+
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(100), rng.choice([None, 0, 3, 7, -2])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k long, n long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r["id"]: (r["sum"], r["n"]) for r in carried_total(df, ["k", "id"], F.col("n"), "sum").collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total, wanted = 0, {}
+    for i, _, n in sorted(rows, key=lambda r: (r[1], r[0])):
+        wanted[i] = (total, n)
+        total += n or 0
+    assert got == wanted
+    assert "Exchange" not in plan(carried_total(df, ["k", "id"], F.lit(1))).replace("BroadcastExchange", "")
+    assert carried_total(df.limit(0), ["k", "id"], F.lit(1)).count() == 0

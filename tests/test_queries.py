@@ -10,8 +10,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
-#: Sequential fill by a tokenizer; compared with a plain loop in test_news.py.
-WITHOUT_SQL = {"str13_chunk_tokenizer"}
+WITHOUT_SQL: set[str] = set()
 
 spec = importlib.util.spec_from_file_location("spark_entry", f"{ROOT}/__spark_entry__.py")
 entry = importlib.util.module_from_spec(spec)

@@ -73,11 +73,20 @@ def letters_per_token():
     return lambda words: [-(-len(w) // 4) for w in words]
 
 
-@query("str13_chunk_tokenizer")
+@query("str13_chunk_tokenizer", f"""WITH RECURSIVE {NEWS_SQL}, {chunks_sql(64)},
+sized AS (SELECT id, part, words, list_transform(words, lambda w: (len(w) + 3) // 4) AS sizes FROM parts WHERE len(words) > 0),
+summed AS (SELECT id, part, words, list_transform(range(1, len(sizes) + 1), lambda i: CAST(list_sum(sizes[1:i]) AS BIGINT)) AS total FROM sized),
+cut(id, part, pos, first, after) AS (
+  SELECT id, part, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(len(list_filter(total, lambda t: t <= 64)) AS BIGINT) FROM summed
+  UNION ALL
+  SELECT cut.id, cut.part, cut.pos + 1, cut.after, CAST(len(list_filter(total, lambda t: t <= total[cut.after] + 64)) AS BIGINT)
+  FROM cut JOIN summed ON summed.id = cut.id AND summed.part = cut.part WHERE cut.after < len(words))
+SELECT cut.id AS article_id, cut.part, cut.pos, false AS hard_split, md5(array_to_string(words[first + 1:after], ' ')) AS chunk_md5
+FROM cut JOIN summed ON summed.id = cut.id AND summed.part = cut.part""")
 def chunk_tokenizer(spark, sf_dir):
-    """Greedy fill by a tokenizer; sequential per text, so checked by test rather than SQL."""
+    """Greedy fill by a tokenizer. No word of the tables is over the budget; such words are tested apart."""
     chunks = op.chunk(op.to_documents(news(spark, sf_dir)), 64, letters_per_token)
-    return chunks.select("article_id", "part", "pos", "hard_split", F.md5("chunk").alias("chunk_md5"))
+    return chunks.select("article_id", F.col("part").cast("bigint").alias("part"), F.col("pos").cast("bigint").alias("pos"), "hard_split", F.md5("chunk").alias("chunk_md5"))
 
 
 @query("str14_content_ids", "SELECT doc_id, md5(text) AS content_id FROM documents")
