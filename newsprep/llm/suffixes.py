@@ -5,8 +5,8 @@ bytes, so that equal strings have equal anchors at equal places. Only anchors wh
 several places matter; an anchor brings along the bytes around it that a string through it can
 reach, its context. Equal contexts are counted, not gathered. The different contexts of one run meet
 in a task, which sorts their suffixes in two stages and compares neighbours. A run with more
-contexts than a task should hold is split: the strings through it begin in one half of their
-places or in the other, and each half shares more bytes, down to single strings, which are counted.
+contexts than a task should hold is counted by narrow rows: ranges of its strings that agree in all bytes
+as one, and one by one only the strings of ranges that agree in the middle but not in all.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from .neardup import mix
 
 LENGTH, RUN = 200, 50
 #: Bytes hashed at once, contexts of one run that a task compares, context bytes sorted and neighbours compared at once.
-PIECE, CONTEXTS, SORTED, COMPARED = 1 << 18, 2048, 800_000, 1 << 14
+PIECE, CONTEXTS, SORTED, COMPARED = 1 << 18, 2048, 500_000, 1 << 14
+#: Ranges of the starts of strings of a run with more contexts.
+RANGES = 8
 
 _BASE = 0xC2B2AE3D27D4EB4F
 _POWERS: list[np.ndarray] = []
@@ -210,8 +212,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows += wanted
             data += [text[max(r["place"] + RUN - LENGTH, 0) : r["place"] + LENGTH] for r in wanted]
         numbers = [pa.array([r[name] for r in rows], pa.int64()) for name in ("run", "context", "whole", "n")]
-        large = pa.array([r["large"] for r in rows], pa.bool_())
-        yield pa.RecordBatch.from_arrays([*numbers, large, pa.array(data, pa.binary())], names=["run", "context", "at", "n", "large", "bytes"])
+        yield pa.RecordBatch.from_arrays([*numbers, pa.array(data, pa.binary())], names=["run", "context", "at", "n", "bytes"])
 
 
 def _spans(starts: np.ndarray) -> list[list[int]]:
@@ -276,18 +277,83 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _split(groups: DataFrame) -> DataFrame:
-    """Each context of a large group twice: for the strings that start in either half of ``lo`` to ``hi`` bytes before the anchor."""
-    middle = F.call_function("div", F.col("lo") + F.col("hi"), F.lit(2)).cast("int")
-    halves = F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).cast("int").alias("lo"), F.col("hi")))
-    half = groups.withColumn("h", F.explode(halves)).select(
-        "run", "context", "at", "n", "bytes", F.col("h.lo").cast("int").alias("lo"), F.col("h.hi").cast("int").alias("hi")
-    )
-    # Contexts too short to hold any string of the half drop out.
-    enough = (F.col("at") >= F.col("lo")) & (F.octet_length("bytes") - F.col("at") >= LENGTH - F.col("hi"))
-    # The bytes that all strings of the half share; with one start left that is the string itself.
-    shared = F.substring("bytes", (F.col("at") - F.col("lo") + 1).cast("int"), (F.col("lo") + LENGTH - F.col("hi")).cast("int"))
-    return half.where(enough).withColumn("group", F.sha2(F.concat(shared, F.format_string("|%d|%d", "lo", "hi").cast("binary")), 256))
+def _edges() -> list[tuple[int, int]]:
+    """The starts of strings before their anchor, 0 to ``LENGTH - RUN``, in ``RANGES`` ranges."""
+    cuts = [i * (LENGTH - RUN + 1) // RANGES for i in range(RANGES + 1)]
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def _pair(data: bytes) -> tuple[int, int]:
+    digest = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+CORES = pa.schema([(c, pa.int64()) for c in ("run", "context", "n", "row", "place")] + [("range", pa.int32())] + [
+    (c, pa.int64()) for c in ("core", "core2", "ext", "ext2")
+])
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each context and range of starts a hash of the bytes that all strings of the range share, and one of all their bytes.
+
+    Where the text ends within the range, the second stands for both with the text's own limits.
+    """
+    for x in (part for whole in batches for part in slices(whole, "text")):
+        out: list[tuple] = []
+        for row, text, wanted in zip(x.column("row").to_pylist(), texts(x.column("text")), x.column("wanted").to_pylist(), strict=True):
+            for r in wanted:
+                place = r["place"]
+                for number, (low, high) in enumerate(_edges()):
+                    last, first = min(high, place), max(low, place + LENGTH - len(text))
+                    if first > last:
+                        continue
+                    core = _pair(text[place - low : place + LENGTH - high] if place >= low and place + LENGTH - high <= len(text) else b"")
+                    ext = _pair(b"%d|%d|" % (first, last) + text[place - last : place + LENGTH - first])
+                    out.append((r["run"], r["context"], r["n"], row, place, number, *core, *ext))
+        yield batch(CORES, list(zip(*out, strict=True)) if out else [[]] * len(CORES))
+
+
+STRINGS = pa.schema([("run", pa.int64()), ("range", pa.int32()), ("ext", pa.int64()), ("ext2", pa.int64()), ("n", pa.int64()), ("before", pa.int32()), ("hash", pa.int64()), ("hash2", pa.int64())])
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every string of the wanted ranges."""
+    for x in (part for whole in batches for part in slices(whole, "text")):
+        out: list[tuple] = []
+        for text, wanted in zip(texts(x.column("text")), x.column("wanted").to_pylist(), strict=True):
+            for r in wanted:
+                place = r["place"]
+                low, high = _edges()[r["range"]]
+                for before in range(max(low, place + LENGTH - len(text)), min(high, place) + 1):
+                    out.append((r["run"], r["range"], r["ext"], r["ext2"], r["n"], before, *_pair(text[place - before : place - before + LENGTH])))
+        yield batch(STRINGS, list(zip(*out, strict=True)) if out else [[]] * len(STRINGS))
+
+
+def _crowded(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``run, context, spans`` of the contexts of runs that have too many for one task, by counting.
+
+    Strings through an anchor are dealt into ranges by their start. Contexts that agree in all bytes of a range repeat there
+    together; only where contexts share the middle of a range but not all of it are its strings counted
+    one by one. Every row is narrow, and a context has at most ``LENGTH - RUN + 1`` of them.
+    """
+    kind = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'bigint'}" for f in CORES)
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("run", "context", "n", "place")).alias("wanted"))  # of one text
+    cores = written(plain.join(asked, "row").mapInArrow(_cores, kind), "cores")
+    whole, middle = ["run", "range", "ext", "ext2"], ["run", "range", "core", "core2"]
+    each = written(cores.groupBy(*whole, "core", "core2").agg(F.sum("n").alias("n"), F.min(F.struct("row", "place")).alias("one")), "ranges")
+    mixed = written(each.groupBy(*middle).agg(F.count("*").alias("members")).where("members > 1"), "mixed")
+    some = each.join(mixed, middle).select("one.row", F.col("one.place").alias("place"), *whole, "n")
+    again = some.groupBy("row").agg(F.collect_list(F.struct("place", *whole, "n")).alias("wanted"))  # of one text
+    kind = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'bigint'}" for f in STRINGS)
+    strings = written(plain.join(again, "row").mapInArrow(_strings, kind), "strings")
+    key = ["run", "before", "hash", "hash2"]
+    often = written(strings.groupBy(*key).agg(F.sum("n").alias("times")).where("times > 1").select(*key), "often")
+    found = strings.join(often, key).select(*whole, F.col("before").cast("bigint").alias("low"), F.col("before").cast("bigint").alias("high"))
+    edges = F.array(*[F.struct(F.lit(a).cast("bigint").alias("low"), F.lit(b).cast("bigint").alias("high")) for a, b in _edges()])
+    # Where the text ends within a range, the range stands for the strings that it has.
+    full = each.where("n > 1").join(mixed, middle, "left_anti").select(*whole, F.element_at(edges, F.col("range") + 1).alias("e")).select(*whole, "e.low", "e.high")
+    spans = cores.join(found.unionAll(full), whole)
+    return spans.groupBy("run", "context").agg(F.collect_list(F.array(-F.col("high"), -F.col("low"))).alias("spans"))  # of one context
 
 
 def repeats(docs: DataFrame, text_col: str = "text", row_col: str = "row") -> DataFrame:
@@ -307,26 +373,17 @@ def repeats(docs: DataFrame, text_col: str = "text", row_col: str = "row") -> Da
         "one.row", F.col("one.place").alias("place"), "run", "context", "n", F.coalesce("large", F.lit(False)).alias("large"),
         F.least(F.col("one.place"), F.lit(LENGTH - RUN)).alias("whole"),
     )
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "run", "context", "n", "whole", "large")).alias("wanted"))  # of one text
-    data = plain.join(asked, "row").mapInArrow(_contexts, "run bigint, context bigint, at bigint, n bigint, large boolean, bytes binary")
-    groups = written(data, "contexts")
+    wanted = written(wanted, "wanted")
+    asked = wanted.where("NOT large").groupBy("row").agg(F.collect_list(F.struct("place", "run", "context", "n", "whole")).alias("wanted"))  # of one text
+    groups = plain.join(asked, "row").mapInArrow(_contexts, "run bigint, context bigint, at bigint, n bigint, bytes binary")
     spans = "run bigint, context bigint, spans array<array<bigint>>"
-    compare = lambda df: df.repartition("group").sortWithinPartitions("group").mapInArrow(_compare, spans)
-    some = compare(groups.where("NOT large").select(F.col("run").alias("group"), "run", "context", "at", "n", "bytes"))
-    left = groups.where("large").drop("large").withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LENGTH - RUN))
-    while not left.isEmpty():
-        groups = written(_split(left), "contexts")
-        size = groups.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("places")).where("places > 1")
-        sized = groups.join(written(size, "sizes"), "group")
-        ready = sized.where((F.col("members") <= CONTEXTS) & (F.col("lo") < F.col("hi")))
-        # One start left: all members hold the same string, and there are several.
-        single = sized.where("lo = hi").select("run", "context", F.array(F.array(-F.col("lo").cast("bigint"), -F.col("lo").cast("bigint"))).alias("spans"))
-        some = some.unionAll(compare(ready.select("group", "run", "context", "at", "n", "bytes"))).unionAll(single)
-        left = sized.where((F.col("members") > CONTEXTS) & (F.col("lo") < F.col("hi"))).drop("group", "members", "places")
+    some = groups.withColumn("group", F.col("run")).repartition("group").sortWithinPartitions("group").mapInArrow(_compare, spans)
+    some = some.unionAll(_crowded(plain, wanted.where("large")))
     some = written(some.where(F.size("spans") > 0), "repeats")
     # One context only, several times: all of it repeats, from its first byte to its last.
     whole = F.array(F.array(F.col("place") - F.col("whole"), F.col("place") + LENGTH))
-    parts = F.transform("spans", lambda s: F.array(F.col("place") + s[0], F.col("place") + s[1] + LENGTH))
+    # Starts before the text stand for its first.
+    parts = F.transform("spans", lambda s: F.array(F.greatest(F.col("place") + s[0], F.lit(0)), F.col("place") + s[1] + LENGTH))
     equal = several.where("NOT differ").select("row", whole.alias("spans"))
     return equal.unionAll(several.where("differ").join(some, ["run", "context"]).select("row", parts.alias("spans")))
 

@@ -466,3 +466,19 @@ def test_decontaminate_long_texts_in_linear_time():
     spans = decontaminate.stretches(text, hit, starts, ends)
     assert time.perf_counter() - began < 5
     assert n == 1_200_000 and len(spans) == 400_000 and spans[:2] == [[4, 9], [14, 19]] and spans[-1] == [3_999_994, 3_999_999]
+
+
+@pytest.mark.parametrize("contexts", [0, 1, 2048])
+def test_repeats_near_the_ends_of_texts(spark, monkeypatch, contexts):
+    """Copies that begin or end anywhere in a common passage, with changed bytes, counted or sorted."""
+    monkeypatch.setattr(suffixes, "CONTEXTS", contexts)
+    rng = random.Random(12)
+    base = bytes(rng.choice(b"abcdefgh ") for _ in range(700)).decode()
+    texts = [base[rng.randrange(300) : 700 - rng.randrange(250)] for _ in range(25)]
+    for i in range(10, 25):
+        at = rng.randrange(len(texts[i]))
+        texts[i] = texts[i][:at] + "#" * (i % 3 + 1) + texts[i][at + 1 :]
+    texts += [base[:200], base[:200], base[1:201], base[-200:], "é" + base[-200:], "x" * 450, "x" * 199, base[300:450] * 4]
+    got = suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    got = got.select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(removed([t.encode() for t in texts]))
