@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprep.session import work_dir
+from newsprep.session import located, work_dir
 
 #: A word where only blanks and line breaks separate.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -25,15 +26,23 @@ PLAIN = bytes(
 MASK = (1 << 64) - 1
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a table in the shared folder: computed once, and safe when executors are lost."""
     path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     # Spark removes shuffle files once the driver has collected the plan that made them: do it now, not when its heap is full.
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no later table or result reads."""
+    for df in tables:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            system, path = located(unquote(folder))
+            system.delete_dir(path)
+
+
 def stored(path: str, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """The rows of a folder of Parquet files below the shared folder, read by a task; none where there is no folder."""
     system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, texts, written
+from .common import batch, dropped, slices, texts, written
 from .neardup import mix
 
 LENGTH, RUN = 200, 50
@@ -147,16 +148,14 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def repeated(contexts: list[bytes], at: np.ndarray, groups: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each context the places where a string starts that repeats in its group.
+def repeated(text: np.ndarray, sizes: np.ndarray, at: np.ndarray, groups: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The places where a string starts that repeats in its group, and the context of each, for contexts laid end to end.
 
     Contexts overlap in their texts, so equal strings count as two only if they lie equally far from
     the anchor in two contexts of one group, or in a context that counts twice.
     """
-    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    text = np.frombuffer(b"".join(contexts), np.uint8)
     starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(contexts)), sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     room = (starts + sizes)[owner] - np.arange(len(text))
     order = two_stage(text, length)
     order = order[room[order] >= length]  # a string stays within its context
@@ -180,11 +179,11 @@ def repeated(contexts: list[bytes], at: np.ndarray, groups: np.ndarray, counts:
         equal = key[by][1:] == key[by][:-1]
         found[order[by][:-1][equal]] = True
         found[order[by][1:][equal]] = True
-    often = (counts > 1)[owner] & (room >= length)
-    return [np.flatnonzero(f) for f in np.split(found | often, starts[1:])]
+    places = np.flatnonzero(found | (counts > 1)[owner] & (room >= length))
+    return places - starts[owner[places]], owner[places]
 
 
-ROWS = pa.schema([("row", pa.int64()), ("place", pa.int64()), ("run", pa.int64()), ("context", pa.int64()), ("whole", pa.int64())])
+ROWS = pa.schema([("row", pa.int64()), ("place", pa.int64()), ("run", pa.int64()), ("context", pa.int64())])
 
 
 def _number(data: bytes) -> int:
@@ -194,12 +193,12 @@ def _number(data: bytes) -> int:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every anchor with a hash of its run and one of its context."""
     for x in (part for whole in batches for part in slices(whole, "text")):
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for number, text in zip(x.column("row").to_pylist(), texts(x.column("text")), strict=True):
             place, value = anchors(text)
             lo, hi = np.maximum(place + RUN - LENGTH, 0), np.minimum(place + LENGTH, len(text))
             context = np.fromiter((_number(text[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.int64, len(place))
-            for column, value_ in zip(out, (np.full(len(place), number), place, value.view(np.int64), context, place - lo), strict=True):
+            for column, value_ in zip(out, (np.full(len(place), number), place, value.view(np.int64), context), strict=True):
                 column.append(value_)
         yield batch(ROWS, [np.concatenate(c) for c in out])
 
@@ -215,37 +214,49 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*numbers, pa.array(data, pa.binary())], names=["run", "context", "at", "n", "bytes"])
 
 
-def _spans(starts: np.ndarray) -> list[list[int]]:
-    """Starts of strings as first and last of each stretch."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return [[int(a), int(b)] for a, b in zip(starts[np.concatenate(([0], cut + 1))], starts[np.concatenate((cut, [len(starts) - 1]))], strict=True)]
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorts whole groups of contexts, as many at once as ``SORTED`` bytes; rows come ordered by group."""
 
-    def flush(held: list[dict]) -> pa.RecordBatch:
-        _, groups = np.unique([r["group"] for r in held], return_inverse=True)
-        found = repeated([r["bytes"] for r in held], np.array([r["at"] for r in held]), groups, np.array([r["n"] for r in held]))
-        # The place of a start relative to the anchor.
-        spans = [[[a - r["at"], b - r["at"]] for a, b in _spans(f)] for r, f in zip(held, found, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r["run"] for r in held], pa.int64()), pa.array([r["context"] for r in held], pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
-            names=["run", "context", "spans"],
-        )
-
-    held: list[dict] = []
-    size, last = 0, None
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        run, context, group, at, n = (rows.column(c).to_numpy() for c in ("run", "context", "group", "at", "n"))
+        data = rows.column("bytes").chunk(0) if rows.num_rows else pa.array([], pa.binary())
+        sizes = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64)
+        offset = np.frombuffer(data.buffers()[1], np.int32)[data.offset] if len(data) else 0
+        text = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offset : offset + int(sizes.sum())]
+        place, owner = repeated(text, sizes, at, np.unique(group, return_inverse=True)[1], n)
+        # Starts in a row are one span: its first and last place relative to the anchor.
+        new = np.ones(len(place), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(place)) - 1 if len(first) else first
+        whose = owner[first]
+        ends = np.stack((place[first] - at[whose], place[last] - at[whose]), axis=1).ravel()
+        spans = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ends) + 1, 2, dtype=np.int32)), pa.array(ends, pa.int64()))
+        counts = np.bincount(whose, minlength=len(run))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), spans)
+        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(context), lists], names=["run", "context", "spans"])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
     for x in batches:
-        for r in x.to_pylist():
-            if size >= SORTED and r["group"] != last:
-                yield flush(held)
-                held, size = [], 0
-            held.append(r)
-            size += len(r["bytes"])
-            last = r["group"]
+        group = x.column("group").to_numpy()
+        ends = np.flatnonzero(np.append(group[1:] != group[:-1], False)) + 1  # where a group of this batch ends; the last may go on
+        total = np.cumsum(pc.binary_length(x.column("bytes")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        if held and len(group) and size >= SORTED and held[-1].column("group")[-1].as_py() != group[0]:
+            yield flush(held)
+            held, size = [], 0
+        while at < len(x):
+            before = int(total[at - 1]) if at else 0
+            far = ends[(ends > at) & (total[np.maximum(ends, 1) - 1] - before + size >= SORTED)]
+            if not len(far):
+                held.append(x.slice(at))
+                size += int(total[-1]) - before
+                break
+            held.append(x.slice(at, int(far[0]) - at))
+            yield flush(held)
+            held, size, at = [], 0, int(far[0])
     if held:
         yield flush(held)
 
@@ -362,10 +373,12 @@ def repeats(docs: DataFrame, text_col: str = "text", row_col: str = "row") -> Da
     A row may come several times; a range may reach beyond the end of its text.
     """
     plain = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
-    found = written(plain.mapInArrow(_anchors, "row bigint, place bigint, run bigint, context bigint, whole bigint"), "anchors")
+    found = written(plain.mapInArrow(_anchors, "row bigint, place bigint, run bigint, context bigint"), "anchors")
     # Written tables on both sides of the joins: a run or context with many places is then dealt out as a skewed key.
     runs = found.groupBy("run").agg(F.count("*").alias("places"), (F.min("context") != F.max("context")).alias("differ")).where("places > 1")
-    several = written(found.join(written(runs.select("run", "differ"), "runs"), "run"), "several")
+    runs = written(runs.select("run", "differ"), "runs")
+    several = written(found.join(runs, "run"), "several")
+    dropped(found, runs)  # nothing reads them again
     # Different contexts: their bytes come from one place each.
     each = written(several.where("differ").groupBy("run", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")), "different")
     crowded = each.groupBy("run").agg(F.count("*").alias("members")).where(F.col("members") > CONTEXTS)
@@ -374,6 +387,7 @@ def repeats(docs: DataFrame, text_col: str = "text", row_col: str = "row") -> Da
         F.least(F.col("one.place"), F.lit(LENGTH - RUN)).alias("whole"),
     )
     wanted = written(wanted, "wanted")
+    dropped(each)
     asked = wanted.where("NOT large").groupBy("row").agg(F.collect_list(F.struct("place", "run", "context", "n", "whole")).alias("wanted"))  # of one text
     groups = plain.join(asked, "row").mapInArrow(_contexts, "run bigint, context bigint, at bigint, n bigint, bytes binary")
     spans = "run bigint, context bigint, spans array<array<bigint>>"
@@ -381,7 +395,7 @@ def repeats(docs: DataFrame, text_col: str = "text", row_col: str = "row") -> Da
     some = some.unionAll(_crowded(plain, wanted.where("large")))
     some = written(some.where(F.size("spans") > 0), "repeats")
     # One context only, several times: all of it repeats, from its first byte to its last.
-    whole = F.array(F.array(F.col("place") - F.col("whole"), F.col("place") + LENGTH))
+    whole = F.array(F.array(F.greatest(F.col("place") - (LENGTH - RUN), F.lit(0)), F.col("place") + LENGTH))
     # Starts before the text stand for its first.
     parts = F.transform("spans", lambda s: F.array(F.greatest(F.col("place") + s[0], F.lit(0)), F.col("place") + s[1] + LENGTH))
     equal = several.where("NOT differ").select("row", whole.alias("spans"))
@@ -396,7 +410,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told apart by their number, so ids may repeat or be null. An empty table gives an empty
     result; other columns are ignored. ``spans`` are the removed byte ranges, before merging.
     """
-    numbered = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "texts")
+    numbered = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "texts", "zstd")
     gathered = repeats(numbered).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
     kind = numbered.schema["doc_id"].dataType.simpleString()
     joined = numbered.join(gathered, "row", "left").select("doc_id", "text", "spans")
