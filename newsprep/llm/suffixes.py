@@ -20,7 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, dropped, slices, texts, written
+from newsprep.session import work_dir
+
+from .common import batch, dropped, slices, stored, texts, written
 from .neardup import mix
 
 LENGTH, RUN = 200, 50
@@ -203,15 +205,58 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(ROWS, [np.concatenate(c) for c in out])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Texts are numbered by the part of the table that they were read in, in the high bits, and their place there.
+PART_BITS = 33
+
+
+def _beside(df: DataFrame, name: str) -> str:
+    """Writes narrow rows with ``row`` by the part that their texts are in, so that texts need not be shuffled to meet them.
+
+    A part holds no more rows than its texts have places.
+    """
+    path = work_dir(df.sparkSession, name)
+    parts = df.withColumn("part", F.shiftright("row", PART_BITS)).repartition("part").sortWithinPartitions("part", "row")
+    parts.write.partitionBy("part").parquet(path)
+    return path
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[list[np.ndarray]]]]:
+    """Slices of texts, and for each text the columns of its rows in ``path``."""
+    part, held = None, [np.zeros(0, np.int64) for _ in ("row", *names)]
+    for x in (some for whole in batches for some in slices(whole, "text")):
+        own: list[list[np.ndarray]] = []
+        for row in x.column("row").to_pylist():
+            if row >> PART_BITS != part:
+                part = row >> PART_BITS
+                tables = list(stored(f"{path}/part={part}"))
+                held = [np.concatenate([t.column(c).to_numpy(zero_copy_only=False) for t in tables]) if tables else np.zeros(0, np.int64) for c in ("row", *names)]
+                order = np.argsort(held[0], kind="stable")  # files of a part may come in any order
+                held = [h[order] for h in held]
+            a, b = np.searchsorted(held[0], (row, row + 1))
+            own.append([h[a:b] for h in held[1:]])
+        yield x, texts(x.column("text")), own
+
+
+WANTED = ["place", "run", "context", "n", "large"]
+
+
+def _contexts(path: str):
     """The bytes of the wanted contexts of each text."""
-    for x in (part for whole in batches for part in slices(whole, "text")):
-        rows, data = [], []
-        for text, wanted in zip(texts(x.column("text")), x.column("wanted").to_pylist(), strict=True):
-            rows += wanted
-            data += [text[max(r["place"] + RUN - LENGTH, 0) : r["place"] + LENGTH] for r in wanted]
-        numbers = [pa.array([r[name] for r in rows], pa.int64()) for name in ("run", "context", "whole", "n")]
-        yield pa.RecordBatch.from_arrays([*numbers, pa.array(data, pa.binary())], names=["run", "context", "at", "n", "bytes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, plain, own in _meeting(batches, path, WANTED):
+            data, columns = [], [[], [], [], []]
+            for text, (place, runs, context, n, large) in zip(plain, own, strict=True):
+                some = ~large.astype(bool)
+                place = place[some]
+                data += [text[max(p + RUN - LENGTH, 0) : p + LENGTH] for p in place.tolist()]
+                for column, values in zip(columns, (runs[some], context[some], np.minimum(place, LENGTH - RUN), n[some]), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.concatenate(c).astype(np.int64)) for c in columns), pa.array(data, pa.binary())], names=["run", "context", "at", "n", "bytes"]
+            )
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,31 +306,34 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        out = [[], [], [], []]
-        for text, spans in zip(texts(x.column("text")), x.column("spans"), strict=True):
-            ranges = sorted((a, b) for a, b in (tuple(s) for s in spans.as_py() or ()))
-            kept, at, removed, runs = hashlib.sha256(), 0, 0, 0
-            end = -1
-            for a, b in ((a, min(b, len(text))) for a, b in ranges):
-                if a > end:  # touching ranges are one run
-                    if end >= 0:
-                        at = end
+def _digest(path: str):
+    """What is left of each text without the ranges that ``path`` has for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, plain, own in _meeting(batches, path, ["low", "high"]):
+            out: list[list] = [[], [], [], [], []]
+            for text, (low, high) in zip(plain, own, strict=True):
+                order = np.argsort(low, kind="stable")
+                low, high = low[order], np.minimum(high[order], len(text))
+                reach = np.maximum.accumulate(high) if len(high) else high
+                new = np.ones(len(low), bool)
+                new[1:] = low[1:] > reach[:-1]  # touching ranges are one run
+                first = np.flatnonzero(new)
+                starts, ends = low[first], reach[np.append(first[1:], len(low)) - 1] if len(first) else first
+                kept, at = hashlib.sha256(), 0
+                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                     kept.update(text[at:a])
-                    runs += 1
-                    removed += b - a
-                    end = b
-                elif b > end:
-                    removed += b - end
-                    end = b
-            kept.update(text[max(end, 0) :])
-            for column, value in zip(out, (len(text), removed, runs, kept.hexdigest()), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [x.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string()), x.column("spans")],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
-        )
+                    at = b
+                kept.update(text[at:])
+                values = len(text), int((ends - starts).sum()), len(starts), kept.hexdigest(), np.stack((starts, ends), axis=1).tolist() if len(starts) else []
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [x.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.list_(pa.int64())))],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+            )
+
+    return run
 
 
 def _edges() -> list[tuple[int, int]]:
@@ -304,43 +352,49 @@ CORES = pa.schema([(c, pa.int64()) for c in ("run", "context", "n", "row", "plac
 ])
 
 
-def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cores(path: str):
     """For each context and range of starts a hash of the bytes that all strings of the range share, and one of all their bytes.
 
     Where the text ends within the range, the second stands for both with the text's own limits.
     """
-    for x in (part for whole in batches for part in slices(whole, "text")):
-        out: list[tuple] = []
-        for row, text, wanted in zip(x.column("row").to_pylist(), texts(x.column("text")), x.column("wanted").to_pylist(), strict=True):
-            for r in wanted:
-                place = r["place"]
-                for number, (low, high) in enumerate(_edges()):
-                    last, first = min(high, place), max(low, place + LENGTH - len(text))
-                    if first > last:
-                        continue
-                    core = _pair(text[place - low : place + LENGTH - high] if place >= low and place + LENGTH - high <= len(text) else b"")
-                    ext = _pair(b"%d|%d|" % (first, last) + text[place - last : place + LENGTH - first])
-                    out.append((r["run"], r["context"], r["n"], row, place, number, *core, *ext))
-        yield batch(CORES, list(zip(*out, strict=True)) if out else [[]] * len(CORES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, plain, own in _meeting(batches, path, WANTED):
+            out: list[tuple] = []
+            for row, text, columns in zip(x.column("row").to_pylist(), plain, own, strict=True):
+                for place, number, context, n, large in zip(*(c.tolist() for c in columns), strict=True):
+                    for part, (low, high) in enumerate(_edges() if large else ()):
+                        last, first = min(high, place), max(low, place + LENGTH - len(text))
+                        if first > last:
+                            continue
+                        core = _pair(text[place - low : place + LENGTH - high] if place >= low and place + LENGTH - high <= len(text) else b"")
+                        ext = _pair(b"%d|%d|" % (first, last) + text[place - last : place + LENGTH - first])
+                        out.append((number, context, n, row, place, part, *core, *ext))
+            yield batch(CORES, list(zip(*out, strict=True)) if out else [[]] * len(CORES))
+
+    return run
 
 
 STRINGS = pa.schema([("run", pa.int64()), ("range", pa.int32()), ("ext", pa.int64()), ("ext2", pa.int64()), ("n", pa.int64()), ("before", pa.int32()), ("hash", pa.int64()), ("hash2", pa.int64())])
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strings(path: str):
     """Every string of the wanted ranges."""
-    for x in (part for whole in batches for part in slices(whole, "text")):
-        out: list[tuple] = []
-        for text, wanted in zip(texts(x.column("text")), x.column("wanted").to_pylist(), strict=True):
-            for r in wanted:
-                place = r["place"]
-                low, high = _edges()[r["range"]]
-                for before in range(max(low, place + LENGTH - len(text)), min(high, place) + 1):
-                    out.append((r["run"], r["range"], r["ext"], r["ext2"], r["n"], before, *_pair(text[place - before : place - before + LENGTH])))
-        yield batch(STRINGS, list(zip(*out, strict=True)) if out else [[]] * len(STRINGS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, plain, own in _meeting(batches, path, ["place", "run", "range", "ext", "ext2", "n"]):
+            out: list[tuple] = []
+            for text, columns in zip(plain, own, strict=True):
+                for place, number, part, ext, ext2, n in zip(*(c.tolist() for c in columns), strict=True):
+                    low, high = _edges()[part]
+                    for before in range(max(low, place + LENGTH - len(text)), min(high, place) + 1):
+                        out.append((number, part, ext, ext2, n, before, *_pair(text[place - before : place - before + LENGTH])))
+            yield batch(STRINGS, list(zip(*out, strict=True)) if out else [[]] * len(STRINGS))
+
+    return run
 
 
-def _crowded(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+def _crowded(plain: DataFrame, wanted: str) -> DataFrame:
     """``run, context, spans`` of the contexts of runs that have too many for one task, by counting.
 
     Strings through an anchor are dealt into ranges by their start. Contexts that agree in all bytes of a range repeat there
@@ -348,15 +402,14 @@ def _crowded(plain: DataFrame, wanted: DataFrame) -> DataFrame:
     one by one. Every row is narrow, and a context has at most ``LENGTH - RUN + 1`` of them.
     """
     kind = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'bigint'}" for f in CORES)
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("run", "context", "n", "place")).alias("wanted"))  # of one text
-    cores = written(plain.join(asked, "row").mapInArrow(_cores, kind), "cores")
+    cores = written(plain.mapInArrow(_cores(wanted), kind), "cores")
     whole, middle = ["run", "range", "ext", "ext2"], ["run", "range", "core", "core2"]
     each = written(cores.groupBy(*whole, "core", "core2").agg(F.sum("n").alias("n"), F.min(F.struct("row", "place")).alias("one")), "ranges")
     mixed = written(each.groupBy(*middle).agg(F.count("*").alias("members")).where("members > 1"), "mixed")
     some = each.join(mixed, middle).select("one.row", F.col("one.place").alias("place"), *whole, "n")
-    again = some.groupBy("row").agg(F.collect_list(F.struct("place", *whole, "n")).alias("wanted"))  # of one text
+    again = _beside(some.select("row", "place", *whole, "n"), "again")
     kind = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'bigint'}" for f in STRINGS)
-    strings = written(plain.join(again, "row").mapInArrow(_strings, kind), "strings")
+    strings = written(plain.mapInArrow(_strings(again), kind), "strings")
     key = ["run", "before", "hash", "hash2"]
     often = written(strings.groupBy(*key).agg(F.sum("n").alias("times")).where("times > 1").select(*key), "often")
     found = strings.join(often, key).select(*whole, F.col("before").cast("bigint").alias("low"), F.col("before").cast("bigint").alias("high"))
@@ -368,9 +421,10 @@ def _crowded(plain: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, text_col: str = "text", row_col: str = "row") -> DataFrame:
-    """``row, spans``: byte ranges of the rows covered by strings of ``LENGTH`` bytes that also start elsewhere.
+    """``row, low, high``: byte ranges of the rows covered by strings of ``LENGTH`` bytes that also start elsewhere.
 
-    A row may come several times; a range may reach beyond the end of its text.
+    Rows are numbered as ``monotonically_increasing_id`` does. A row may come several times, or with overlapping ranges; a range may
+    reach beyond the end of its text. Texts are never shuffled: what is asked of them is written beside each part of the table.
     """
     plain = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     found = written(plain.mapInArrow(_anchors, "row bigint, place bigint, run bigint, context bigint"), "anchors")
@@ -384,22 +438,19 @@ def repeats(docs: DataFrame, text_col: str = "text", row_col: str = "row") -> Da
     crowded = each.groupBy("run").agg(F.count("*").alias("members")).where(F.col("members") > CONTEXTS)
     wanted = each.join(written(crowded.select("run", F.lit(True).alias("large")), "crowded"), "run", "left").select(
         "one.row", F.col("one.place").alias("place"), "run", "context", "n", F.coalesce("large", F.lit(False)).alias("large"),
-        F.least(F.col("one.place"), F.lit(LENGTH - RUN)).alias("whole"),
     )
-    wanted = written(wanted, "wanted")
+    asked = _beside(wanted, "wanted")
     dropped(each)
-    asked = wanted.where("NOT large").groupBy("row").agg(F.collect_list(F.struct("place", "run", "context", "n", "whole")).alias("wanted"))  # of one text
-    groups = plain.join(asked, "row").mapInArrow(_contexts, "run bigint, context bigint, at bigint, n bigint, bytes binary")
+    groups = plain.mapInArrow(_contexts(asked), "run bigint, context bigint, at bigint, n bigint, bytes binary")
     spans = "run bigint, context bigint, spans array<array<bigint>>"
     some = groups.withColumn("group", F.col("run")).repartition("group").sortWithinPartitions("group").mapInArrow(_compare, spans)
-    some = some.unionAll(_crowded(plain, wanted.where("large")))
+    some = some.unionAll(_crowded(plain, asked))
     some = written(some.where(F.size("spans") > 0), "repeats")
-    # One context only, several times: all of it repeats, from its first byte to its last.
-    whole = F.array(F.array(F.greatest(F.col("place") - (LENGTH - RUN), F.lit(0)), F.col("place") + LENGTH))
-    # Starts before the text stand for its first.
-    parts = F.transform("spans", lambda s: F.array(F.greatest(F.col("place") + s[0], F.lit(0)), F.col("place") + s[1] + LENGTH))
-    equal = several.where("NOT differ").select("row", whole.alias("spans"))
-    return equal.unionAll(several.where("differ").join(some, ["run", "context"]).select("row", parts.alias("spans")))
+    # One context only, several times: all of it repeats, from its first byte to its last. Starts before the text stand for its first.
+    place = F.col("place")
+    equal = several.where("NOT differ").select("row", F.greatest(place - (LENGTH - RUN), F.lit(0)).alias("low"), (place + LENGTH).alias("high"))
+    other = several.where("differ").join(some, ["run", "context"]).select("row", "place", F.explode("spans").alias("s"))
+    return equal.unionAll(other.select("row", F.greatest(place + F.col("s")[0], F.lit(0)).alias("low"), (place + F.col("s")[1] + LENGTH).alias("high")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,10 +459,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a string of ``LENGTH`` bytes that also starts elsewhere covers it, in the same
     text or another, equal rows included. Null text is empty; shorter texts lose nothing. Rows are
     told apart by their number, so ids may repeat or be null. An empty table gives an empty
-    result; other columns are ignored. ``spans`` are the removed byte ranges, before merging.
+    result; other columns are ignored. ``spans`` are the removed byte ranges.
     """
     numbered = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "texts", "zstd")
-    gathered = repeats(numbered).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
+    found = _beside(repeats(numbered), "removed")
     kind = numbered.schema["doc_id"].dataType.simpleString()
-    joined = numbered.join(gathered, "row", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_digest, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")
+    return numbered.mapInArrow(_digest(found), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")
