@@ -27,9 +27,9 @@ from .neardup import mix
 
 LENGTH, RUN = 200, 50
 #: Bytes hashed at once, contexts of one run that a task compares, context bytes sorted and neighbours compared at once.
-PIECE, CONTEXTS, SORTED, COMPARED = 1 << 18, 2048, 500_000, 1 << 14
-#: Ranges of the starts of strings of a run with more contexts.
-RANGES = 8
+PIECE, CONTEXTS, SORTED, COMPARED = 1 << 18, 256, 500_000, 1 << 14
+#: Ranges of the starts of strings of a run with more contexts, and rows that a task makes of them at a time.
+RANGES, ROWS_AT_ONCE = 8, 20_000
 
 _BASE = 0xC2B2AE3D27D4EB4F
 _POWERS: list[np.ndarray] = []
@@ -370,6 +370,9 @@ def _cores(path: str):
                         core = _pair(text[place - low : place + LENGTH - high] if place >= low and place + LENGTH - high <= len(text) else b"")
                         ext = _pair(b"%d|%d|" % (first, last) + text[place - last : place + LENGTH - first])
                         out.append((number, context, n, row, place, part, *core, *ext))
+                    if len(out) >= ROWS_AT_ONCE:
+                        yield batch(CORES, list(zip(*out, strict=True)))
+                        out.clear()
             yield batch(CORES, list(zip(*out, strict=True)) if out else [[]] * len(CORES))
 
     return run
@@ -389,11 +392,34 @@ def _strings(path: str):
                     low, high = _edges()[part]
                     for before in range(max(low, place + LENGTH - len(text)), min(high, place) + 1):
                         out.append((number, part, ext, ext2, n, before, *_pair(text[place - before : place - before + LENGTH])))
+                    if len(out) >= ROWS_AT_ONCE:
+                        yield batch(STRINGS, list(zip(*out, strict=True)))
+                        out.clear()
             yield batch(STRINGS, list(zip(*out, strict=True)) if out else [[]] * len(STRINGS))
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of starts that touch or overlap as one, for every list of them."""
+    for x in batches:
+        lists = x.column("spans")
+        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        ends = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+        # Each list has a stretch of numbers of its own, so that one running maximum serves all.
+        low, high = ends[:, 0] + owner * (4 * LENGTH), ends[:, 1] + owner * (4 * LENGTH)
+        order = np.argsort(low, kind="stable")
+        low, high, owner = low[order], np.maximum.accumulate(high[order]), owner[order]
+        new = np.ones(len(low), bool)
+        new[1:] = low[1:] > high[:-1] + 1
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(low)) - 1 if len(first) else first
+        flat = (np.stack((low[first], high[last]), axis=1) - (owner[first] * (4 * LENGTH))[:, None]).ravel()
+        spans = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2, dtype=np.int32)), pa.array(flat, pa.int64()))
+        ends_ = np.concatenate(([0], np.cumsum(np.bincount(owner[first], minlength=len(lists))))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([x.column("run"), x.column("context"), pa.ListArray.from_arrays(pa.array(ends_), spans)], names=["run", "context", "spans"])
+
+
 def _crowded(plain: DataFrame, wanted: str) -> DataFrame:
     """``run, context, spans`` of the contexts of runs that have too many for one task, by counting.
 
@@ -417,7 +443,8 @@ def _crowded(plain: DataFrame, wanted: str) -> DataFrame:
     # Where the text ends within a range, the range stands for the strings that it has.
     full = each.where("n > 1").join(mixed, middle, "left_anti").select(*whole, F.element_at(edges, F.col("range") + 1).alias("e")).select(*whole, "e.low", "e.high")
     spans = cores.join(found.unionAll(full), whole)
-    return spans.groupBy("run", "context").agg(F.collect_list(F.array(-F.col("high"), -F.col("low"))).alias("spans"))  # of one context
+    lists = spans.groupBy("run", "context").agg(F.collect_list(F.array(-F.col("high"), -F.col("low"))).alias("spans"))  # of one context
+    return lists.mapInArrow(_merged, "run bigint, context bigint, spans array<array<bigint>>")
 
 
 def repeats(docs: DataFrame, text_col: str = "text", row_col: str = "row") -> DataFrame:
