@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsprep.llm import decontaminate, mixing, neardup
@@ -66,7 +67,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "near duplicates", "benchmark decontamination", "mixing", "sharding"]
     ids = {r["doc_id"] for r in docs.collect()}
-    kept = {r["doc_id"] for r in neardup.near_duplicates(docs).where("kept").collect()}
+    kept = {r["doc_id"] for r in neardup.near_duplicates(docs, words=5, threshold=80).where("kept").collect()}
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
     clean = {r["doc_id"] for r in decontaminate.decontaminate(docs, items).where("found.n_hit = 0").collect()}
     left = docs.where(docs.doc_id.isin(list(kept & clean & ids)))
@@ -104,3 +105,16 @@ def test_language_stage_without_labels(spark):
     rows = [(1, "the house", None), (2, "12 !?", None), (3, None, None), (4, "日本", None), (5, "", None), (6, "x", None)]
     left = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), DATA)
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 4, 6]
+
+
+def test_pipeline_stages_on_nulls_and_nothing(spark):
+    """Every stage takes nulls in any column, empty texts, repeated rows and an empty table, and keeps its columns."""
+    rows = [(1, "the house stands here", "en", "a"), (1, "the house stands here", "en", "a"), (2, None, None, None), (3, "", "en", None), (None, "one word", None, "a"), (4, "!?", "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("size", F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+        left = stage(spark, docs, DATA)
+        if name != "sharding":
+            assert left.columns == docs.columns and {r["size"] for r in left.collect()} <= {"mine"}
+        else:
+            assert left.count() == len(rows)
