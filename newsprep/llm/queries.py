@@ -163,7 +163,19 @@ def op2(table) -> DataFrame:
     return extract.extract(table("pages"))
 
 
-@query("op5_suffix_dedup")
+@query("op5_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+u AS (SELECT doc_id, n, j, substr(h, 4000 * j + 1, 4400) AS part FROM (SELECT *, unnest(range((n + 1800) // 2000)) AS j FROM d)),
+s AS (SELECT doc_id, 2000 * j + i AS i, md5(substr(part, 2 * i + 1, 400)) AS x FROM (SELECT *, unnest(range(least(2000, n - 199 - 2000 * j))) AS i FROM u)),
+r AS (SELECT doc_id, i FROM s JOIN (SELECT x FROM s GROUP BY x HAVING count(*) > 1) USING (x)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+p AS (SELECT doc_id, span, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY 1, 2),
+c AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+t AS (SELECT c.doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS after,
+             string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM c JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(after, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""")
 def op5(table) -> DataFrame:
     found = suffixes.remove_repeats(table("documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
