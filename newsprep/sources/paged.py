@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +25,10 @@ from newsprep.operators.parse import explode_messages, good_rows, reject_rows, v
 # Fixed value: the stamp of request parameters, as in ``iso_z``.
 _STAMP = "%Y-%m-%dT%H:%M:%SZ"
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_PAGE = pa.schema([
+    ("interval", pa.int64()), ("interval_start", pa.timestamp("us", "UTC")), ("interval_end", pa.timestamp("us", "UTC")),
+    ("page", pa.int64()), ("value", pa.string()),
+])
 
 
 def _micros(stamp: str) -> int:
@@ -72,7 +77,8 @@ class PagedNewsReader(DataSourceReader):
         edges = [lo + -(-i * (hi - lo) // n) for i in range(n + 1)]
         return [Interval(i, edges[i], edges[i + 1]) for i in range(n)]
 
-    def read(self, partition: Interval) -> Iterator[tuple]:
+    def read(self, partition: Interval) -> Iterator[pa.RecordBatch]:
+        """One batch per page: rows would be held until ten thousand of them make a batch."""
         module, factory = self.options["fetcher"].split(":")
         fetch_page = getattr(importlib.import_module(module), factory)(self.options)
         start, end = _at(partition.start), _at(partition.end)
@@ -86,7 +92,9 @@ class PagedNewsReader(DataSourceReader):
                 )
             except Exception as failure:
                 raise RuntimeError(f"page {page} (token {token}) of interval {partition.number} failed: {failure}") from failure
-            yield partition.number, start, end, page, json.dumps(answer["news"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([x], f.type) for x, f in zip((partition.number, start, end, page, json.dumps(answer["news"])), _PAGE)
+            ], schema=_PAGE)
             token, page = answer.get("next_page_token"), page + 1
             if token is None:
                 return

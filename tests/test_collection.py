@@ -3,7 +3,9 @@
 import json
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from newsprep import plans
@@ -11,7 +13,9 @@ from newsprep.operators import latest
 from newsprep.sources import (
     compact, ensure_collection, landing_batch, parse_pages, read_collection, read_pages, read_rejects, upsert,
 )
+from newsprep.sources import folder_pages
 from newsprep.sources.collection import POINT_SCHEMA
+from newsprep.sources.paged import PagedNewsReader
 from newsprep.streaming import ingest_frames, news_stream
 
 
@@ -189,3 +193,31 @@ def test_bad_rows_of_a_shared_second_count_once(spark):
         "interval bigint, interval_start timestamp, interval_end timestamp, page bigint, value string")
     good, rejects = parse_pages(pages)
     assert good.count() == 0 and [r["reason"] for r in rejects.collect()] == ["missing headline"]
+
+
+def test_a_batch_holds_one_page():
+    reader = PagedNewsReader({"start": "2024-01-01T00:00:00Z", "end": "2024-01-01T00:00:04Z", "fetcher": "tests.pages:open_pages"})
+    batches = list(reader.read(reader.partitions()[0]))
+    assert [type(b) for b in batches] == [pa.RecordBatch] * 3 and [b.num_rows for b in batches] == [1, 1, 1]
+
+
+def test_pages_list_the_folder_once_and_read_an_hour_once(tmp_path, monkeypatch):
+    for hour in (473352, 473353, 473360):
+        (tmp_path / f"hour={hour}").mkdir()
+        rows = [{"id": str(hour * 10 + i), "created_at": f"2024-01-01T{hour - 473352:02d}:0{i}:00Z"} for i in range(5)]
+        (tmp_path / f"hour={hour}" / "a.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    listed, loaded, selector = [], [], fs.FileSelector
+    fetch = folder_pages.open_pages({"folder": f"file://{tmp_path}"})
+    monkeypatch.setattr(folder_pages.fs, "FileSelector", lambda path, *a, **k: listed.append(path) or selector(path, *a, **k))
+    loads = json.loads
+    monkeypatch.setattr(folder_pages.json, "loads", lambda x: loaded.append(x) or loads(x))
+    token, ids = None, []
+    while True:
+        page = fetch("2024-01-01T00:02:00Z", "2024-01-01T08:01:00Z", 2, token)
+        ids += [int(r["id"]) for r in page["news"]]
+        token = page["next_page_token"]
+        if token is None:
+            break
+    assert ids == [4733522, 4733523, 4733524, *range(4733530, 4733535), 4733600, 4733601]
+    assert len(listed) == len(set(listed)) == 4 and len(loaded) == 15
+    assert fetch("2024-01-01T03:00:00Z", "2024-01-01T05:00:00Z", 2, None) == {"news": [], "next_page_token": None}
