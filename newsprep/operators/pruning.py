@@ -19,6 +19,7 @@ ROWS, CENTRES, ROUNDS = 128, 128, 3
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors.astype(np.float64, copy=False)
     lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
     return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths != 0)
 
@@ -27,14 +28,15 @@ class Clusters:
     """Blocks of neighbouring unit vectors. Rows are in id order and ``members`` are their numbers."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
         unit = _unit(vectors)
         n = min(CENTRES, max(1, int(len(unit) ** 0.5)))
         centres = unit[np.linspace(0, len(unit) - 1, n).astype(np.int64)] if len(unit) else np.zeros((0, vectors.shape[1]))
         for _ in range(ROUNDS):
             own = (unit @ centres.T).argmax(axis=1)
             sums = np.zeros_like(centres)
-            np.add.at(sums, own, unit)
+            some, start = np.unique(own[by := np.argsort(own, kind="stable")], return_index=True)
+            if len(some):
+                sums[some] = np.add.reduceat(unit[by], start)
             moved = _unit(sums)
             centres = np.where(np.abs(moved).sum(axis=1, keepdims=True) > 0, moved, centres)
         near = unit @ centres.T
@@ -61,7 +63,6 @@ class Impacts:
     """Blocks of rows with the same heavy buckets. A bucket on many rows is cut like any other, into one weight per block."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
         unit = _unit(vectors)
         order = np.lexsort((-unit.max(axis=1), unit.argmax(axis=1))) if unit.size else np.arange(len(unit))
         self.members = [np.sort(order[i : i + ROWS]) for i in range(0, len(order), ROWS)]
@@ -77,38 +78,23 @@ class Impacts:
 METHODS: dict[str, Callable[[np.ndarray], Clusters | Impacts]] = {"clusters": Clusters, "impacts": Impacts}
 
 
-def pruned_top_k(blocks: Clusters | Impacts, queries: np.ndarray, k: int, scores: Callable, best: Callable):
-    """Best ``k`` rows of each question, with the pairs of blocks and questions and how many of them were skipped.
+def prune_pairs(blocks: Clusters | Impacts, queries: np.ndarray, best, meet: Callable) -> tuple[int, int]:
+    """Bring ``best`` to the best rows of each question; returns the pairs of blocks and questions, and how many of them were skipped.
 
     Each question first meets the block with its highest bound; the ``k``-th score from there rules out
-    most of the others. ``scores`` is the score of rows with questions, ``best`` the choice among candidates.
+    most of the others. ``meet`` compares rows with questions, both by number.
     """
     bounds = blocks.bounds(queries)
-    floor = np.full(len(queries), -np.inf)
-    held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
     first, done = bounds.argmax(axis=1), 0
 
-    def meet(block: int, asked: np.ndarray) -> None:
-        nonlocal held, done
-        if not len(asked):
-            return
+    def visit(block: int, asked: np.ndarray) -> None:
+        nonlocal done
         done += len(asked)
-        members = blocks.members[block]
-        found = scores(blocks.vectors[members], queries[asked])
-        row, column = np.nonzero(found >= floor[asked])
-        if not len(row):
-            return
-        some = asked[column], found[row, column], members[row]
-        mine = np.isin(held[0], asked)
-        query, score, at = best(*[np.concatenate((h[mine], x)) for h, x in zip(held, some)], k)
-        full, counts = np.unique(query, return_counts=True)
-        full = full[counts >= k]
-        floor[full] = score[np.searchsorted(query, full, side="right") - 1]
-        held = [np.concatenate((h[~mine], x)) for h, x in zip(held, (query, score, at))]
+        meet(rows=blocks.members[block], columns=asked)
 
     for block in np.unique(first):
-        meet(block, np.flatnonzero(first == block))
+        visit(block, np.flatnonzero(first == block))
     for block in np.argsort(-bounds.max(axis=0), kind="stable"):
-        meet(block, np.flatnonzero((first != block) & (bounds[:, block] + SLACK >= floor)))
+        visit(block, np.flatnonzero((first != block) & (bounds[:, block] + SLACK >= best.score[:, -1])))
     pairs = len(blocks.members) * len(queries)
-    return (*best(*held, k), pairs, pairs - done)
+    return pairs, pairs - done

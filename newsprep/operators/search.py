@@ -2,10 +2,13 @@
 
 Every question is compared with every point, but the pairs never become rows. The questions are
 written once, in blocks, to the shared folder. The points are read where they stand, without a
-shuffle: a task holds a chunk of them, takes block after block of questions, scores the two as one
-matrix product and emits at most ``k`` rows per question. A window then keeps the best ``k`` of
+shuffle: a task holds a chunk of them, as many as fit into ``HELD`` bytes, takes block after block
+of questions and emits at most ``k`` rows per question. A window then keeps the best ``k`` of
 those. It is the same plan for one question and for any number; the driver sees neither side.
 
+Pairs are screened by matrix products of single precision, with a margin above their rounding
+error; only those that may be among the best ``k`` are scored, in double precision.
+
 With ``prune`` a chunk is cut into blocks of points with an upper bound on their scores, and a
 block is left out for every question whose ``k``-th score so far is above the bound. Nothing is
 sampled or capped: all ways give the same exact result.
@@ -13,8 +16,9 @@ sampled or capped: all ways give the same exact result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from datetime import datetime
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +29,16 @@ from pyspark.sql import types as T
 
 from newsprep.session import stored, work_dir
 
-from .pruning import METHODS, pruned_top_k
+from .pruning import METHODS, prune_pairs
 
-#: Columns of a score block; bounds the size of one matrix product.
-_SCORE_COLUMNS = 256
+#: Bytes of vectors that a task holds as one chunk of points.
+HELD = 32 << 20
+#: Questions and points of one matrix product at most; points of the first, which sets the bars of the others; pairs scored at once.
+_COLUMNS, _ROWS, _FIRST, _PAIRS = 512, 2048, 1024, 1 << 15
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Equal-length vectors of a column as one float64 matrix."""
+    """Equal-length vectors of a column as one matrix, in the precision of the column."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     if isinstance(vectors, pa.ChunkedArray):
@@ -40,7 +46,7 @@ def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if len(vectors) == 0:
         return np.zeros((0, 0))
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(vectors), -1)
+    return flat.reshape(len(vectors), -1)
 
 
 def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -52,21 +58,53 @@ def _sortable(ids: np.ndarray) -> np.ndarray:
     return ids.astype("U") if ids.dtype == object else ids
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
+
+
+def _rounded(dots: np.ndarray, length: np.ndarray) -> np.ndarray:
+    raw = np.divide(dots, length, out=np.zeros_like(dots), where=length != 0)
+    return np.sign(raw) * np.floor(np.abs(raw) * 1e6 + 0.5) / 1e6
+
+
 def scores(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Cosine of every point with every query, rounded half up at six places; 0 for a zero vector."""
-    lengths = np.outer(np.sqrt(np.einsum("ij,ij->i", points, points)), np.sqrt(np.einsum("ij,ij->i", queries, queries)))
-    dots = points @ queries.T
-    raw = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths != 0)
-    return np.sign(raw) * np.floor(np.abs(raw) * 1e6 + 0.5) / 1e6
+    points, queries = points.astype(np.float64, copy=False), queries.astype(np.float64, copy=False)
+    return _rounded(points @ queries.T, np.outer(lengths(points), lengths(queries)))
+
+
+class Side:
+    """Points or questions, with unit vectors of single precision that screen the pairs."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, self.lengths, self.numbers = vectors, lengths(vectors), np.arange(len(vectors))
+        self.unit = np.zeros(vectors.shape, np.float32)
+        for at in range(0, len(vectors), _ROWS):
+            length = self.lengths[at:at + _ROWS, None]
+            np.divide(vectors[at:at + _ROWS], length, out=self.unit[at:at + _ROWS], where=length != 0, casting="same_kind")
+
 
+class Best:
+    """The best ``k`` points of each question so far: by score, then by number, which is by id."""
 
-def _best(query: np.ndarray, score: np.ndarray, point: np.ndarray, k: int):
-    """The first ``k`` candidates of each query: by score, then by point id."""
-    order = np.lexsort((_sortable(point), -score, query))
-    query, score, point = query[order], score[order], point[order]
-    first = np.searchsorted(query, query, side="left")
-    keep = np.arange(len(query)) - first < k
-    return query[keep], score[keep], point[keep]
+    def __init__(self, questions: int, k: int):
+        self.k = k
+        self.score, self.point = np.full((questions, k), -np.inf), np.full((questions, k), -1)
+
+    def take(self, query: np.ndarray, point: np.ndarray, score: np.ndarray) -> None:
+        some, place = np.unique(query, return_inverse=True)
+        place = np.concatenate((np.repeat(np.arange(len(some)), self.k), place))
+        score = np.concatenate((self.score[some].ravel(), score))
+        point = np.concatenate((self.point[some].ravel(), point))
+        order = np.lexsort((point, -score, place))
+        place = place[order]
+        keep = order[np.arange(len(place)) - np.searchsorted(place, place, side="left") < self.k]
+        self.score[some], self.point[some] = score[keep].reshape(-1, self.k), point[keep].reshape(-1, self.k)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Questions, scores and points."""
+        query, place = np.nonzero(self.point >= 0)
+        return query, self.score[query, place], self.point[query, place]
 
 
 def _candidates(block: np.ndarray, bar: np.ndarray, k: int) -> np.ndarray:
@@ -85,35 +123,44 @@ def _candidates(block: np.ndarray, bar: np.ndarray, k: int) -> np.ndarray:
     return above | (level & (np.cumsum(level, axis=0, dtype=np.int32) <= room))
 
 
-def top_k(blocks: Iterable[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, k: int):
-    """Best ``k`` points of each query over a stream of ``(ids, vectors)`` blocks.
-
-    Keeps ``k`` candidates per query between blocks; the score of the k-th one so far screens
-    the next block.
-    """
-    held: dict[int, tuple] = {}
-    floor = np.full(len(queries), -np.inf)
-    for ids, vectors in blocks:
-        if len(ids) == 0:
-            continue
-        order = np.argsort(_sortable(ids), kind="stable")
-        ids, vectors = ids[order], vectors[order]
-        for start in range(0, len(queries), _SCORE_COLUMNS):
-            stop = min(start + _SCORE_COLUMNS, len(queries))
-            block = scores(vectors, queries[start:stop])
-            row, col = np.nonzero(_candidates(block, floor[start:stop], k))
-            if len(row) == 0:
-                continue
-            found = (col + start, block[row, col], ids[row])
-            if start in held:
-                found = tuple(np.concatenate(pair) for pair in zip(held[start], found))
-            query, score, point = held[start] = _best(*found, k)
-            full, counts = np.unique(query, return_counts=True)
-            full = full[counts >= k]
-            floor[full] = score[np.searchsorted(query, full, side="right") - 1]
-    if not held:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
-    return tuple(np.concatenate(parts) for parts in zip(*held.values()))
+def _meet(points: Side, rows, asked: Side, columns: np.ndarray, best: Best) -> None:
+    """Give ``best`` what one product finds; ``rows`` are in id order."""
+    number, k = points.numbers[rows], best.k
+    block = asked.unit[columns] @ points.unit[rows].T
+    floor = best.score[columns, -1]
+    # Above the error of a product of single precision and of rounding at six places.
+    slack = (points.unit.shape[1] + 16) * 2.0**-23 + 1e-6
+    chosen = block >= (floor - slack)[:, None].astype(np.float32)
+    if len(number) > k and np.count_nonzero(chosen) > 8 * k * len(columns):
+        level = np.partition(block, len(number) - k, axis=1)[:, len(number) - k]
+        chosen = block >= np.maximum(floor - slack, level - 2 * slack)[:, None].astype(np.float32)
+    if np.count_nonzero(chosen) > 8 * k * len(columns):
+        # Questions with many points about their bar, equal ones mostly: all scores, and of those at the bar the first rows.
+        many = np.flatnonzero(np.count_nonzero(chosen, axis=1) > max(8 * k, len(number) // 16))
+        if len(many):
+            score = scores(points.vectors[rows], asked.vectors[columns[many]])
+            row, column = np.nonzero(_candidates(score, floor[many], k))
+            best.take(columns[many][column], number[row], score[row, column])
+            chosen[many] = False
+    column, row = np.divmod(np.flatnonzero(chosen), max(1, len(number)))
+    column, row = columns[column], number[row]
+    for at in range(0, len(row), _PAIRS):
+        q, p = column[at:at + _PAIRS], row[at:at + _PAIRS]
+        dots = np.einsum("ij,ij->i", points.vectors[p], asked.vectors[q], dtype=np.float64)
+        score = _rounded(dots, points.lengths[p] * asked.lengths[q])
+        enough = score >= best.score[q, -1]
+        best.take(q[enough], p[enough], score[enough])
+
+
+def meet(points: Side, rows: np.ndarray, asked: Side, columns: np.ndarray, best: Best, query_block: int = _COLUMNS, point_block: int = _ROWS) -> None:
+    """All pairs of the numbered points and questions, in products of at most ``point_block`` by ``query_block``."""
+    high, wide = min(point_block, _ROWS), min(query_block, _COLUMNS)
+    first = min(high, _FIRST)
+    for left in range(0, len(columns), wide):
+        some = columns[left:left + wide]
+        _meet(points, rows[:first], asked, some, best)
+        for at in range(first, len(rows), high):
+            _meet(points, rows[at:at + high], asked, some, best)
 
 
 def _out_schema(queries: DataFrame, points: DataFrame) -> T.StructType:
@@ -142,19 +189,27 @@ def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
 _NAMES = ["query_id", "chunk_id", "score"]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors in chunks of about ``rows`` rows."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors in chunks of about ``HELD`` bytes, in id order. Vectors without a finite length score with nothing."""
+
+    def whole(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        ids, vectors = ids_of(table.column(0)), matrix(table.column(1))
+        order = np.argsort(_sortable(ids), kind="stable")
+        order = order[np.isfinite(lengths(vectors))[order]]
+        return ids[order], vectors[order]
+
     held: list[pa.RecordBatch] = []
+    size = 0
     for x in batches:
         held.append(x)
-        if sum(map(len, held)) >= rows:
-            whole = pa.Table.from_batches(held)
-            yield ids_of(whole.column(0)), matrix(whole.column(1))
-            held = []
-    if held:
-        whole = pa.Table.from_batches(held)
-        if len(whole):
-            yield ids_of(whole.column(0)), matrix(whole.column(1))
+        size += x.nbytes
+        if size >= HELD:
+            yield whole(held)
+            size = 0
+    if sum(map(len, held)):
+        yield whole(held)
 
 
 def _found(
@@ -168,20 +223,22 @@ def _found(
     queries.write.option("maxRecordsPerFile", 1 << 20).parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, vectors in _chunks(batches, point_block):
-            order = np.argsort(_sortable(ids), kind="stable")
-            ids, vectors = ids[order], vectors[order]
+        for ids, vectors in _chunks(batches):
+            if not len(ids):
+                continue
+            points = Side(vectors)
             method = METHODS[prune](vectors) if prune else None
             for block in stored(path, query_block):
-                query_ids, asked = ids_of(block.column(0)), matrix(block.column(1))
+                query_ids = ids_of(block.column(0))
                 if not len(query_ids):
                     continue
-                pairs = skipped = None
+                asked, best, pairs, skipped = Side(matrix(block.column(1))), Best(len(query_ids), k), None, None
                 if method is None:
-                    found = top_k([(ids, vectors)], asked, k)
+                    meet(points, points.numbers, asked, asked.numbers, best, query_block, point_block)
                 else:
-                    query, score, at, pairs, skipped = pruned_top_k(method, asked, k, scores, _best)
-                    found = query, score, ids[at]
+                    pairs, skipped = prune_pairs(method, asked.vectors, best, partial(meet, points, asked=asked, best=best))
+                query, score, at = best.found()
+                found = query, score, ids[at]
                 arrays = _rows(query_ids, found, types)
                 none = pa.nulls(len(arrays[2]), pa.int64())
                 yield pa.RecordBatch.from_arrays([*arrays, none, none], names=[*_NAMES, "pairs", "skipped"])
@@ -214,8 +271,8 @@ def search(
     ``queries`` has ``query_id`` and ``vector``; ``points`` has ``chunk_id`` and ``vector``; both
     ids are unique and all vectors have one length. Returns ``query_id, chunk_id, score, rank``;
     ties in the rounded score go to the smaller id. ``since`` (FLT-2) is an interval such as
-    ``24 hours``: only points created within it up to ``as_of`` are scored. A task holds
-    ``point_block`` points and ``query_block`` questions at a time. ``prune`` is ``clusters`` for dense
+    ``24 hours``: only points created within it up to ``as_of`` are scored. A task reads ``query_block``
+    questions at a time, and compares them with at most ``point_block`` points at once. ``prune`` is ``clusters`` for dense
     vectors that lie in groups, ``impacts`` for word counts, or None.
 
     The questions are written, and so computed, once, when this is called.

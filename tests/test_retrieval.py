@@ -328,3 +328,32 @@ def test_with_state_runs_the_model_once(spark, tmp_path):
     rows = op.with_state(op.embed(df, make), 2)
     assert rows.where("state = 'ok'").count() == 2 and rows.where("state = 'failed'").count() == 2
     assert sorted(t for f in tmp_path.iterdir() for t in f.read_text().split("\n")) == ["a", "b"]
+
+
+@pytest.mark.parametrize("prune", [None, "clusters", "impacts"])
+def test_near_ties_are_told_apart_in_double_precision(spark, prune):
+    """Scores that single precision cannot order, beside many equal vectors; the grid of products does not matter."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=16)
+    points = [(f"p{i:04d}", base + 2e-4 * rng.normal(size=16)) for i in range(600)] + [(f"e{i:04d}", base) for i in range(300)]
+    points += [("nan", np.full(16, np.nan))]
+    queries = [(f"q{i}", base + 1e-3 * i * rng.normal(size=16)) for i in range(6)]
+    asked, stored = frame(spark, queries, "query_id"), frame(spark, points, "chunk_id").coalesce(1)
+    p = np.array([v for _, v in points[:-1]], np.float32).astype(np.float64)
+    q = np.array([v for _, v in queries], np.float32).astype(np.float64)
+    exact = np.floor(q @ p.T / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(p, axis=1)) * 1e6 + 0.5) / 1e6
+    expected = sorted(
+        (queries[i][0], points[j][0], exact[i, j], rank)
+        for i in range(len(q)) for rank, j in enumerate(sorted(range(len(p)), key=lambda j: (-exact[i, j], points[j][0]))[:4], 1)
+    )
+    for blocks in ({}, {"query_block": 2, "point_block": 32}):
+        assert got(op.search(asked, stored, 4, prune=prune, **blocks)) == expected
+
+
+def test_a_task_returns_k_rows_of_a_question_whatever_the_blocks(spark):
+    """Small blocks bound a product, not what a task compares: they used to give k rows for each of them."""
+    queries, points = frame(spark, random_rows(1, 20, "q"), "query_id"), frame(spark, random_rows(2, 200, "p"), "chunk_id").coalesce(1)
+    from newsprep.operators.search import _found
+
+    found = _found(queries.select("query_id", "vector"), points.select("chunk_id", "vector"), 3, 5, 16, None)
+    assert found.count() == 60
