@@ -31,6 +31,8 @@ INLINE = (
 TAG = "<[a-zA-Z/!?]" + REST
 # Fixed value: a named, decimal or hexadecimal character reference.
 REFERENCE = "&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[a-zA-Z][a-zA-Z0-9]*+);"
+# Fixed value: white space that is not one single space already.
+SPACES = "[\\s\u00a0&&[^ ]][\\s\u00a0]*+| [\\s\u00a0]++"
 #: Every name with its text, as the standard library has them.
 _NAMED = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
 
@@ -61,10 +63,14 @@ def _decode(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 
-def html_to_text(c: Column | str) -> Column:
-    """Readable text of an HTML page or fragment; plain text passes through."""
-    text = F.regexp_replace(as_column(c), HIDDEN, " ")
+def _without_tags(c: Column) -> Column:
+    text = F.regexp_replace(c, HIDDEN, " ")
     text = F.regexp_replace(text, TITLE, " ")
     text = F.regexp_replace(text, INLINE, "")
     text = F.regexp_replace(text, TAG, " ")
-    return clean(F.regexp_replace(bind(text, _decode), "[\\s\u00a0]+", " "))
+    return F.when(F.contains(c, F.lit("<")), text).otherwise(c)
+
+
+def html_to_text(c: Column | str) -> Column:
+    """Readable text of an HTML page or fragment; plain text passes through, without a look for tags where no bracket is."""
+    return clean(F.regexp_replace(bind(bind(as_column(c), _without_tags), _decode), SPACES, " "))

@@ -35,7 +35,7 @@ def word_buckets(c: Column | str, dim: int) -> Column:
 
 
 #: Counters held at once while a batch is encoded.
-_COUNTERS = 1 << 22
+_COUNTERS = 1 << 20
 
 
 def _counter(dim: int):

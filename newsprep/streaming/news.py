@@ -12,6 +12,7 @@ from newsprep.functions.tokens import MakeCount
 from newsprep.operators.encode import MakePredict
 from newsprep.operators.parse import explode_messages, good_rows, reject_rows, validate
 from newsprep.plans.ingest import news_points
+from newsprep.session import spread
 from newsprep.sources.collection import ensure_collection, upsert
 from newsprep.sources.landing import landing_stream
 
@@ -27,8 +28,9 @@ def ingest_frames(
     """STM-2: one table of raw frames into the collection; returns its counts.
 
     Writing the same batch again replaces what it wrote before, rejects included: they are written
-    in a second pass over the frames, even if there are none.
+    in a second pass over the frames, even if there are none. A few large files are dealt out to all cores.
     """
+    frames = spread(frames)
     validated = validate(explode_messages(frames))
     seen = Observation(f"batch-{run_id}-{batch_id}")
     counted = validated.observe(

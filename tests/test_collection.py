@@ -221,3 +221,14 @@ def test_pages_list_the_folder_once_and_read_an_hour_once(tmp_path, monkeypatch)
     assert ids == [4733522, 4733523, 4733524, *range(4733530, 4733535), 4733600, 4733601]
     assert len(listed) == len(set(listed)) == 4 and len(loaded) == 15
     assert fetch("2024-01-01T03:00:00Z", "2024-01-01T05:00:00Z", 2, None) == {"news": [], "next_page_token": None}
+
+
+def test_one_file_of_frames_is_dealt_out_to_all_cores(spark, tmp_path):
+    dst = str(tmp_path / "points")
+    ensure_collection(spark, dst, 16)
+    values = [json.dumps([article(i, f"text {i}")]) for i in range(40)] + [f"[{{broken {i}" for i in range(40)]
+    frames = spark.createDataFrame([(v,) for v in values], "value string").coalesce(1)
+    counts = ingest_frames(frames, dst, "live", 0, dim=16, max_tokens=8)
+    assert (counts["articles"], counts["rejects"]) == (40, 40)
+    assert len({r["article_id"] for r in read_collection(spark, dst).collect()}) == 40
+    assert len(list((tmp_path / "points" / "message_rejects").rglob("*.parquet"))) > 1

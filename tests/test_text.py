@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -148,3 +150,12 @@ def test_count_tokens(spark):
     assert [r[0] for r in df.select(fn.count_tokens("x")).collect()] == [3, 0, 0]
     make = lambda: lambda texts: [len(t) for t in texts]
     assert [r[0] for r in df.select(fn.count_tokens("x", make)).collect()] == [10, 0, 0]
+
+
+def test_html_without_brackets_is_not_looked_through_for_tags(one, spark, plan):
+    """Only the white space that changes is replaced, and the result is that of replacing all of it."""
+    for text in ("a b", " a  b ", "a\u00a0b", "a \u00a0 b\t\nc", "x &lt;b&gt; y", "<p>a  b</p> c", "", " ", "a > b"):
+        expected = re.sub("[ \t\n\u00a0]+", " ", text.replace("<p>", " ").replace("</p>", " ")).strip().replace("&lt;", "<").replace("&gt;", ">")
+        assert one(fn.html_to_text, text) == expected
+    assert one(fn.html_to_text, None) is None
+    assert "CASE WHEN Contains(" in plan(spark.createDataFrame([("a",)], "x string").select(fn.html_to_text("x")))
