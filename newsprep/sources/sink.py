@@ -22,8 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from newsprep.session import located
 
-#: Bytes of rows that a task holds before it writes them as one row group.
-GROUP = 32 << 20
+#: Bytes of rows that a task holds before it writes them as one row group, and rows of a batch that it copies at once.
+GROUP, PIECE = 8 << 20, 1 << 10
 STATES = ("ok", "reject")
 
 
@@ -32,6 +32,13 @@ def attempt_folder(run_id: str, batch_id: int, attempt: str) -> str:
     return f"log/run_id={quote(run_id, safe='')}/batch_id={batch_id}/attempt={attempt}"
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Views of at most ``PIECE`` rows."""
+    for x in batches:
+        for at in range(0, len(x), PIECE):
+            yield x.slice(at, PIECE)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What one task wrote: rows by state and the buckets of the accepted ones."""
@@ -80,9 +87,9 @@ class CollectionWriter(DataSourceArrowWriter):
                 held[state].clear()
 
         try:
-            for x in iterator:
+            for x in pieces(iterator):
                 for state in STATES:
-                    some = x.filter(pc.equal(x.column("state"), state))
+                    some = x.filter(pc.equal(x.column("state"), state))  # a copy, so that no batch is held
                     if len(some):
                         done.rows[state] += len(some)
                         if state == "ok":

@@ -16,6 +16,8 @@ from newsprep.session import spread
 from newsprep.sources.collection import ensure_collection, upsert
 from newsprep.sources.landing import landing_stream
 
+#: Rows that go to a Python worker at once; a chunk carries its article's summary, which may be long.
+ARROW_ROWS = 2000
 #: Called after each batch with its number and its counts.
 Tap = Callable[[int, dict], None]
 
@@ -72,6 +74,7 @@ def news_stream(
     ensure_collection(spark, dst, dim)
 
     def write(frames: DataFrame, batch_id: int) -> None:
+        frames.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)  # the stream has a session of its own
         if sample:
             frames.select("value").limit(sample).write.mode("overwrite").parquet(f"{dst}/frame_sample/run_id={run_id}/batch_id={batch_id}")
         counts = ingest_frames(frames, dst, run_id, batch_id, make_predict_fn, dim, max_tokens, make_count)

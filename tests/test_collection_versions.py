@@ -2,7 +2,9 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,12 @@ def test_any_history_against_a_plain_model(spark, path, seed):
             for i, day in rows:
                 wanted[i] = max(day, wanted.get(i, 0))
         assert view(spark, path) == wanted
+
+
+def test_a_task_of_the_sink_holds_little(spark, path):
+    rng = random.Random(5)
+    made = points(spark, ("x", 1)).crossJoin(spark.createDataFrame([(rng.randbytes(1000).hex(),) for _ in range(12000)], "noise string").coalesce(1))
+    upsert(made.withColumn("chunk_id", F.md5("noise")).withColumn("payload", F.col("payload").withField("text", F.col("noise"))).drop("noise"), path, "r", 0)
+    files = list(Path(path).glob("log/*/*/*/state=ok/*.parquet"))
+    groups = [m.row_group(g) for f in files for m in [pq.read_metadata(f)] for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 12000 and max(g.total_byte_size for g in groups) < 12 << 20
