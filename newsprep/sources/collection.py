@@ -71,8 +71,12 @@ _FILE = T.StructType([
 _BATCH = ["run_id", "batch_id"]
 #: Stored rows with the place where they stand, which tells them from rows that equal them.
 _STANDING = T.StructType([*_STORED.fields, T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())])
-#: Buckets of a new collection, rows of a file of a version, and places of rows that are sent to every task at most.
+#: Buckets of a new collection, rows of a file of a version, and places of rows that are sent to every task at most as rows.
 BUCKETS, FILE_ROWS, PLACES = 16, 1 << 20, 200_000
+#: Rows of a file that a compaction leaves apart: it is written again where it is read, while smaller ones are put together with new rows.
+APART = 1 << 15
+#: Places in one bitmap, as many as ``bitmap_construct_agg`` takes.
+_BITS = 1 << 15
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet") -> DataFrame:
@@ -237,24 +241,47 @@ def _contested(spark: SparkSession, path: str, state: Snapshot) -> DataFrame:
 
 
 def _writes(spark: SparkSession, path: str, state: Snapshot, earlier: bool) -> DataFrame:
-    """Every write in the touched buckets and since, with ``_live`` as the version has it, null for new ones.
+    """Every write in the touched buckets and since, with ``_live`` as the version has it, null for new ones, and ``_apart`` for large files.
 
     Without ``earlier`` the version's earlier writes are left out where no replaced attempt can have hidden them.
     """
     touched, hit = set(state.touched()), {b for e in state.dead for b in e["buckets"]}
-    rows = _fresh(spark, path, state).withColumn("_live", F.lit(None).cast("boolean"))
+    rows = _fresh(spark, path, state).withColumns({"_live": F.lit(None).cast("boolean"), "_apart": F.lit(False)})
     for live in (True, False):
         files = [f for f in state.files if f["live"] is live and f["bucket"] in (touched if live or earlier else hit)]
-        if files:
-            rows = rows.unionByName(_alive(_stored(spark, path, files), state).withColumn("_live", F.lit(live)))
+        for apart in (True, False):
+            some = [f for f in files if (f["rows"] >= APART) is apart]
+            if some:
+                rows = rows.unionByName(_alive(_stored(spark, path, some), state).withColumns({"_live": F.lit(live), "_apart": F.lit(apart)}))
     return rows
 
 
+def _bit(bitmaps: str) -> Column:
+    """Whether the bit of ``_place`` is set; a place behind the end has none."""
+    byte = F.substring(F.col(bitmaps), F.shiftright("_place", 3).cast("int") + 1, F.lit(1))
+    return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.col("_place") % 8) == 1, F.lit(False))
+
+
+def _bitmaps(places: DataFrame) -> DataFrame:
+    """``_file, _row, _wins`` as two bitmaps for every 32,768 rows of a file: the rows compared and those that win."""
+    last = F.shiftright(F.max("_place"), 3).cast("int") + 1
+    packed = _placed(places).groupBy("_file", "_part").agg(
+        F.bitmap_construct_agg("_place").alias("_compared"), F.bitmap_construct_agg(F.when(F.col("_wins"), F.col("_place"))).alias("_winners"),
+        last.alias("_bytes"),
+    )
+    return packed.select("_file", "_part", *[F.substring(F.col(c), F.lit(1), F.col("_bytes")).alias(c) for c in ("_compared", "_winners")])
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_part": F.shiftright("_row", _BITS.bit_length() - 1), "_place": F.col("_row") % _BITS})
+
+
 def _with_standing(spark: SparkSession, path: str, state: Snapshot, rows: DataFrame) -> DataFrame:
     """``rows`` with ``_live``: whether a write is now the last of its id.
 
     Only ids and stamps of the contested ids are compared, by a maximum that each task takes first, however often an id
-    was written; the whole rows then meet one narrow row per place, which is broadcast if there are few.
+    was written. What comes out is broadcast, as a row per place if there are few, else as a bit per row of a file: the
+    whole rows are marked where they are read, and never shuffled for it.
     """
     narrow = rows.select("chunk_id", F.struct(*[F.col(c) if isinstance(c, str) else c for c in _recency()], "batch_id", "attempt").alias("_at"), "_file", "_row")
     based = bool(state.files)
@@ -262,11 +289,16 @@ def _with_standing(spark: SparkSession, path: str, state: Snapshot, rows: DataFr
         narrow = narrow.join(_contested(spark, path, state), "chunk_id", "left_semi")
     # Nulls are the least in a struct, as they are last in the order of writes.
     last = narrow.groupBy("chunk_id").agg(F.max(F.struct("_at", "_file", "_row")).alias("_last")).select("_last._file", "_last._row", F.lit(True).alias("_wins"))
-    if based:  # rows of other ids stand as they did
-        last = narrow.select("_file", "_row").join(last, ["_file", "_row"], "left").select("_file", "_row", F.coalesce("_wins", F.lit(False)).alias("_wins"))
     # The rows compared are at most those of the new batches and as many of the version as there are in their buckets, both counted.
-    few = sum(e["rows"] for e in state.fresh) + sum(f["rows"] for f in state.files if f["bucket"] in state.touched()) <= PLACES
-    return rows.join(F.broadcast(last) if few else last, ["_file", "_row"], "left").withColumn("_live", F.coalesce("_wins", "_live", F.lit(False))).drop("_wins")
+    if sum(e["rows"] for e in state.fresh) + sum(f["rows"] for f in state.files if f["bucket"] in state.touched()) > PLACES:
+        if based:  # rows of other ids stand as they did
+            last = last.unionByName(narrow.select("_file", "_row", F.lit(False).alias("_wins")))
+        found = _placed(rows).join(F.broadcast(_bitmaps(last)), ["_file", "_part"], "left")
+        stands = F.when(_bit("_compared"), _bit("_winners")).otherwise(F.coalesce("_live", F.lit(False)))
+        return found.withColumn("_live", stands).select(*rows.columns)
+    if based:
+        last = narrow.select("_file", "_row").join(last, ["_file", "_row"], "left").select("_file", "_row", F.coalesce("_wins", F.lit(False)).alias("_wins"))
+    return rows.join(F.broadcast(last), ["_file", "_row"], "left").withColumn("_live", F.coalesce("_wins", "_live", F.lit(False))).drop("_wins")
 
 
 def _within(created: Column, start: datetime | None, end: datetime | None) -> Column:
@@ -316,7 +348,7 @@ def compact(spark: SparkSession, path: str, keep_earlier: bool = True) -> int:
     """Fold the batches since the last version into a new one and return its number; without any, the current one.
 
     Only buckets that they touch are read and written again; the others stay where they are. Rows
-    are clustered by creation time within a bucket. Without ``keep_earlier`` only the last write of
+    are clustered by creation time within a file. Only new rows and those of small files are shuffled to their bucket. Without ``keep_earlier`` only the last write of
     each id is kept: a batch written again after that no longer gives back what it had hidden.
     """
     state = snapshot(spark, path)
@@ -324,15 +356,18 @@ def compact(spark: SparkSession, path: str, keep_earlier: bool = True) -> int:
         return state.version
     number, touched = state.version + 1, set(state.touched())
     target, buckets = f"versions/v={number}", _meta(spark, path)[2]
-    mine = [f for f in state.files if f["bucket"] in touched]
+    mine = [f for f in state.files if f["bucket"] in touched and f["rows"] < APART]
     marked = _with_standing(spark, path, state, _writes(spark, path, state, earlier=keep_earlier)).withColumnRenamed("_live", "live")
     marked = (marked if keep_earlier else marked.where("live")).withColumn("_created", F.col("payload.created_at"))
     placed = marked.withColumn("bucket", _bucket(buckets))
     # Ranges of time make the files of a bucket; where a bucket is one file, its place is enough.
     n = sum(x["rows"] for x in (*mine, *state.fresh))
-    placed = placed.repartitionByRange("bucket", "live", "_created") if n > buckets * FILE_ROWS else placed.repartition("bucket", "live")
-    clustered = placed.sortWithinPartitions("bucket", "live", "_created", "chunk_id").select(*_STORED.names, "bucket", "live")
-    clustered.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket", "live").parquet(f"{path}/{target}/points")
+    together, apart = placed.where(~F.col("_apart")), placed.where("_apart")
+    together = together.repartitionByRange("bucket", "live", "_created") if n > buckets * FILE_ROWS else together.repartition("bucket", "live")
+    if any(f["rows"] >= APART for f in state.files if f["bucket"] in touched):
+        together = together.unionByName(apart)
+    clustered = together.sortWithinPartitions("bucket", "live", "_created", "chunk_id").select(*_STORED.names, "bucket", "live")
+    clustered.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket", "live").parquet(f"{path}/{target}/points")
     _list_files(spark, path, target, [f for f in state.files if f["bucket"] not in touched])
     covered = _covered(spark, path, state.version)
     if state.dead:

@@ -82,7 +82,7 @@ class CollectionWriter(DataSourceArrowWriter):
                 table = pa.Table.from_batches(held[state])
                 if state not in writers:
                     system.create_dir(f"{root}/state={state}")
-                    writers[state] = pq.ParquetWriter(f"{root}/state={state}/{name}", table.schema, filesystem=system, compression="snappy")
+                    writers[state] = pq.ParquetWriter(f"{root}/state={state}/{name}", table.schema, filesystem=system, compression="zstd")
                 writers[state].write_table(table)
                 held[state].clear()
 

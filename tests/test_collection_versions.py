@@ -181,6 +181,39 @@ def test_any_history_against_a_plain_model(spark, path, seed):
         assert view(spark, path) == wanted
 
 
+def test_large_batches_against_a_plain_model(spark, path, monkeypatch, plan):
+    """All rows count as many and all files as large: bits instead of places, files written again where they are read."""
+    monkeypatch.setattr(collection, "PLACES", 0)
+    monkeypatch.setattr(collection, "APART", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng, batches = random.Random(3), {}
+        for step in range(6):
+            batches[step % 4] = [(f"i{rng.randrange(300)}", rng.randint(1, 28)) for _ in range(200)]
+            upsert(points(spark, *batches[step % 4]), path, "r", step % 4)
+            if step in (1, 2, 4):
+                compact(spark, path, keep_earlier=True)
+            wanted = {}
+            for rows in batches.values():
+                for i, day in rows:
+                    wanted[i] = max(day, wanted.get(i, 0))
+            assert view(spark, path) == wanted
+        text = plan(read_collection(spark, path))
+        assert "SortMergeJoin [_file" not in text and "BroadcastHashJoin [_file" in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bits_of_places(spark):
+    rows = [("f", r, r % 3 == 0) for r in (0, 1, 3, 7, 8, 9, 32767, 32768, 65537)] + [("g", 6, True)]
+    places = spark.createDataFrame(rows, "_file string, _row long, _wins boolean")
+    asked = collection._placed(spark.createDataFrame([("f", r) for r in range(65600)] + [("g", 6), ("h", 6)], "_file string, _row long"))
+    found = asked.join(collection._bitmaps(places), ["_file", "_part"], "left").select(
+        "_file", "_row", collection._bit("_compared").alias("compared"), collection._bit("_winners").alias("wins")
+    ).where("compared OR wins").collect()
+    assert sorted((r["_file"], r["_row"], r["wins"]) for r in found) == sorted(rows) and all(r["compared"] for r in found)
+
+
 def test_a_task_of_the_sink_holds_little(spark, path):
     rng = random.Random(5)
     made = points(spark, ("x", 1)).crossJoin(spark.createDataFrame([(rng.randbytes(1000).hex(),) for _ in range(12000)], "noise string").coalesce(1))
