@@ -34,25 +34,27 @@ def word_buckets(c: Column | str, dim: int) -> Column:
     return F.transform(words(c), lambda w: hash_bucket(w, dim).cast("int"))
 
 
-#: Counters held at once while a batch is encoded.
-_COUNTERS = 1 << 20
+#: Counters of eight bytes held at once while a batch is encoded.
+_COUNTERS = 1 << 18
 
 
 def _counter(dim: int):
     rows_at_once = max(1, _COUNTERS // dim)
 
-    def count_slice(buckets: pa.Array) -> pa.Array:
+    def count_slice(buckets: pa.Array) -> np.ndarray:
         rows = len(buckets)
         lengths = buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(rows, dtype=np.int64), lengths)
         hits = buckets.flatten().to_numpy(zero_copy_only=False)
-        counts = np.bincount(owner * dim + hits, minlength=rows * dim).astype(np.float32)
-        offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts))
+        return np.bincount(owner * dim + hits, minlength=rows * dim)
 
     def count(buckets: pa.Array) -> pa.Array:
-        starts = range(0, max(len(buckets), 1), rows_at_once)
-        return pa.concat_arrays([count_slice(buckets.slice(i, rows_at_once)) for i in starts])
+        rows = len(buckets)
+        counts = np.empty(rows * dim, np.float32)  # filled slice by slice, never copied
+        for i in range(0, rows, rows_at_once):
+            counts[i * dim:(i + rows_at_once) * dim] = count_slice(buckets.slice(i, rows_at_once))
+        offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts))
 
     return F.arrow_udf(count, VECTOR)
 

@@ -16,6 +16,8 @@ import numpy as np
 SLACK = 2e-6
 #: Rows of a block of impacts, centres of a chunk at most, and rounds in which the centres settle.
 ROWS, CENTRES, ROUNDS = 128, 128, 3
+#: Rows of which ``Impacts`` holds unit vectors at once.
+_UNITS = 2048
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -63,12 +65,19 @@ class Impacts:
     """Blocks of rows with the same heavy buckets. A bucket on many rows is cut like any other, into one weight per block."""
 
     def __init__(self, vectors: np.ndarray):
-        unit = _unit(vectors)
-        order = np.lexsort((-unit.max(axis=1), unit.argmax(axis=1))) if unit.size else np.arange(len(unit))
+        most, heavy = np.zeros(len(vectors)), np.zeros(len(vectors), np.int64)
+        if vectors.size:
+            for at in range(0, len(vectors), _UNITS):
+                unit = _unit(vectors[at : at + _UNITS])
+                most[at : at + _UNITS], heavy[at : at + _UNITS] = unit.max(axis=1), unit.argmax(axis=1)
+        order = np.lexsort((-most, heavy)) if vectors.size else np.arange(len(vectors))
         self.members = [np.sort(order[i : i + ROWS]) for i in range(0, len(order), ROWS)]
-        width = unit.shape[1] if unit.ndim > 1 else 0
-        self.most = np.array([unit[m].max(axis=0) for m in self.members]).reshape(-1, width)
-        self.least = np.array([unit[m].min(axis=0) for m in self.members]).reshape(-1, width)
+        width = vectors.shape[1] if vectors.ndim > 1 else 0
+        self.most, self.least = np.zeros((len(self.members), width)), np.zeros((len(self.members), width))
+        for i, m in enumerate(self.members):
+            unit = _unit(vectors[m])
+            if width:
+                self.most[i], self.least[i] = unit.max(axis=0), unit.min(axis=0)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         unit = _unit(queries)

@@ -32,7 +32,7 @@ from newsprep.session import stored, work_dir
 from .pruning import METHODS, prune_pairs
 
 #: Bytes of vectors that a task holds as one chunk of points.
-HELD = 32 << 20
+HELD = 16 << 20
 #: Questions and points of one matrix product at most; points of the first, which sets the bars of the others; pairs scored at once.
 _COLUMNS, _ROWS, _FIRST, _PAIRS = 512, 2048, 1024, 1 << 15
 
@@ -193,12 +193,23 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     """Ids and vectors in chunks of about ``HELD`` bytes, in id order. Vectors without a finite length score with nothing."""
 
     def whole(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        table = pa.Table.from_batches(held)
+        ids = ids_of(pa.chunked_array([x.column(0) for x in held]))
+        parts = [matrix(x.column(1)) for x in held if len(x)]
         held.clear()
-        ids, vectors = ids_of(table.column(0)), matrix(table.column(1))
         order = np.argsort(_sortable(ids), kind="stable")
-        order = order[np.isfinite(lengths(vectors))[order]]
-        return ids[order], vectors[order]
+        order = order[np.concatenate([np.isfinite(lengths(p)) for p in parts])[order]]
+        # Rows go straight from the batches to their places, so that the vectors are held twice and no more.
+        place = np.full(len(ids), -1)
+        place[order] = np.arange(len(order))
+        vectors = np.empty((len(order), parts[0].shape[1]), parts[0].dtype)
+        start = 0
+        for part in parts:
+            for at in range(0, len(part), _ROWS):
+                some = part[at:at + _ROWS]
+                to = place[start:start + len(some)]
+                vectors[to[to >= 0]] = some[to >= 0]
+                start += len(some)
+        return ids[order], vectors
 
     held: list[pa.RecordBatch] = []
     size = 0
