@@ -319,7 +319,7 @@ def compacted(spark, sf_dir):
 
 
 def _every_chunk(spark, sf_dir):
-    """All chunks, equal ones too, so that batches hide each other's rows. Not kept: a batch computes the chunks of its own articles."""
+    """All chunks, equal ones too, so that batches hide each other's rows."""
     return plans.news_points(news(spark, sf_dir), dim=DIM, max_tokens=WORDS, dedup=False)
 
 
@@ -333,7 +333,7 @@ def rewrite_after_compact(spark, sf_dir):
     """A batch that was folded in is written again with half of its rows; what they hid comes back."""
     path = work_dir(spark, "collection")
     ensure_collection(spark, path, DIM)
-    made = _every_chunk(spark, sf_dir)
+    made = materialize(_every_chunk(spark, sf_dir))
     upsert(made.where(F.col("article_id") % 2 == 0), path, "a", 0)
     upsert(made.where(F.col("article_id") % 2 == 1), path, "a", 1)
     compact(spark, path)
@@ -346,7 +346,7 @@ def late_batch(spark, sf_dir):
     """Batches arrive in the wrong order, with compactions between them."""
     path = work_dir(spark, "collection")
     ensure_collection(spark, path, DIM)
-    made = _every_chunk(spark, sf_dir)
+    made = _every_chunk(spark, sf_dir)  # not kept: a batch computes the chunks of its own articles
     for batch in (2, 0, 1):
         upsert(made.where(F.col("article_id") % 3 == batch), path, "a", batch)
         compact(spark, path)
@@ -359,7 +359,7 @@ def collection_range(spark, sf_dir):
     """One hour of the collection, by the time bounds of its files; a second batch is not folded in."""
     path = work_dir(spark, "collection")
     ensure_collection(spark, path, DIM)
-    made = _every_chunk(spark, sf_dir)
+    made = materialize(_every_chunk(spark, sf_dir))
     upsert(made.where(F.col("article_id") % 5 > 0), path, "a", 0)
     compact(spark, path)
     upsert(made.where(F.col("article_id") % 5 == 0), path, "a", 1)
