@@ -9,7 +9,7 @@ from newsprep.functions.tokens import MakeCount
 from newsprep.operators.chunk import chunk
 from newsprep.operators.documents import to_documents, to_points
 from newsprep.operators.encode import MakePredict, embed, hash_encode
-from newsprep.sources.collection import latest_points
+from newsprep.sources.collection import latest_points, latest_points_kept
 
 
 def news_chunks(news: DataFrame, max_tokens: int = 384, make_count: MakeCount | None = None) -> DataFrame:
@@ -31,9 +31,16 @@ def news_points(
     max_tokens: int = 384,
     make_count: MakeCount | None = None,
     dedup: bool = True,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Points ready for ``upsert``. ``dedup`` embeds equal chunks once; batch input only."""
+    """Points ready for ``upsert``. ``dedup`` embeds equal chunks once; batch input only.
+
+    With ``folder``, a new one, the chunks are kept there to find the equal ones, and no whole chunk is shuffled. The points read
+    from it; once they are written it can go.
+    """
     chunks = news_chunks(news, max_tokens, make_count)
-    if dedup:
+    if dedup and folder is None:
         chunks = latest_points(chunks)
+    elif dedup:  # the payload holds the text
+        chunks = latest_points_kept(chunks.drop("chunk"), folder).withColumn("chunk", F.col("payload.text"))
     return encode_text(chunks, make_predict_fn, dim, "chunk")

@@ -8,6 +8,7 @@ import os
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -76,6 +77,31 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when it is written; else they stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def kept(df: DataFrame, folder: str) -> DataFrame:
+    """Rows computed once, as a compressed table in a folder below the shared one; see ``removed``."""
+    with without_leftovers(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def removed(folder: str) -> None:
+    """Delete a table that nothing reads any more."""
+    system, root = located(folder)
+    system.delete_dir(root)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out rows when a small input has fewer splits than the session has cores.
 

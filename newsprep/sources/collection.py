@@ -20,6 +20,7 @@ pointer row is written.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
@@ -33,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsprep.functions.vectors import VECTOR, norm
 from newsprep.operators.latest import latest
-from newsprep.session import located
+from newsprep.session import kept, located, removed, without_leftovers
 
 from .sink import CollectionSink
 
@@ -73,8 +74,13 @@ _BATCH = ["run_id", "batch_id"]
 _STANDING = T.StructType([*_STORED.fields, T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())])
 #: Buckets of a new collection, rows of a file of a version, and places of rows that are sent to every task at most as rows.
 BUCKETS, FILE_ROWS, PLACES = 16, 1 << 20, 200_000
-#: Rows of a file that a compaction leaves apart: it is written again where it is read, while smaller ones are put together with new rows.
-APART = 1 << 15
+#: Rows of a file that a compaction leaves apart: it stays if its rows stand alike, else it is written again where it is read, while
+#: smaller ones are put together with new rows.
+APART = 3 << 12
+#: Rows that a compaction shuffles before it writes them and goes on with others, and how many such rounds it makes at most.
+ROUND_ROWS, ROUNDS = 1 << 19, 16
+#: Of zstd in the files of a version; a tenth smaller than the usual level for a little more time.
+LEVEL = 6
 #: Places in one bitmap, as many as ``bitmap_construct_agg`` takes.
 _BITS = 1 << 15
 
@@ -100,6 +106,25 @@ def latest_points(points: DataFrame) -> DataFrame:
     return latest(points, recency=_recency())
 
 
+def latest_points_kept(points: DataFrame, folder: str) -> DataFrame:
+    """``latest_points`` of rows that are kept in ``folder``: only ids, stamps and places are shuffled, the rows are chosen where they are read."""
+    rows = kept(points, folder).select("*", *_where())
+    last = _last(rows.select("chunk_id", _stamp().alias("_at"), "_file", "_row"))
+    found = _placed(rows).join(F.broadcast(_bitmaps(last)), ["_file", "_part"], "left")
+    return found.where(_bit("_winners")).select(*points.columns)
+
+
+def _stamp(*more: str) -> Column:
+    """Nulls are the least in a struct, as they are last in the order of writes."""
+    return F.struct(*[F.col(c) if isinstance(c, str) else c for c in _recency()], *more)
+
+
+def _last(narrow: DataFrame) -> DataFrame:
+    """Of ``chunk_id, _at, _file, _row`` the places of the last write per id, by a maximum that each task takes first."""
+    last = narrow.groupBy("chunk_id").agg(F.max(F.struct("_at", "_file", "_row")).alias("_last"))
+    return last.select("_last._file", "_last._row", F.lit(True).alias("_wins"))
+
+
 def _recency() -> tuple[str | Column, ...]:
     return "updated_at", F.col("payload.created_at"), "article_id", "part", "pos"
 
@@ -194,6 +219,10 @@ class Snapshot:
     def touched(self) -> list[int]:
         return sorted({b for e in (*self.fresh, *self.dead) for b in e["buckets"]})
 
+    def hit(self) -> set[int]:
+        """Buckets that hold rows of replaced attempts."""
+        return {b for e in self.dead for b in e["buckets"]}
+
 
 def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snapshot:
     """What a reader sees now, or the points of an earlier version."""
@@ -218,11 +247,15 @@ def _fresh(spark: SparkSession, path: str, state: Snapshot) -> DataFrame:
     return spark.read.schema(_LOG).option("basePath", f"{path}/log").parquet(*folders).select(*_STORED.names, *_where())
 
 
+def _name(file: Row) -> str:
+    return f"{file['folder']}/{file['file']}"
+
+
 def _stored(spark: SparkSession, path: str, files: list[Row]) -> DataFrame:
     """Rows of the named files of a version."""
     if not files:
         return _table(spark, [], _STANDING)
-    return spark.read.schema(_STORED).parquet(*[f"{path}/{f['folder']}/{f['file']}" for f in files]).select(*_STORED.names, *_where())
+    return spark.read.schema(_STORED).parquet(*[f"{path}/{_name(f)}" for f in files]).select(*_STORED.names, *_where())
 
 
 def _alive(rows: DataFrame, state: Snapshot) -> DataFrame:
@@ -234,21 +267,22 @@ def _contested(spark: SparkSession, path: str, state: Snapshot) -> DataFrame:
     """The ids whose last write may have changed: those written since, and those whose last write belongs to a replaced attempt."""
     ids = _fresh(spark, path, state).select("chunk_id")
     if state.dead:
-        attempts, hit = [e["attempt"] for e in state.dead], {b for e in state.dead for b in e["buckets"]}
+        attempts, hit = [e["attempt"] for e in state.dead], state.hit()
         lost = _stored(spark, path, [f for f in state.files if f["live"] and f["bucket"] in hit])
         ids = ids.unionAll(lost.where(F.col("attempt").isin(attempts)).select("chunk_id"))
     return ids.distinct()
 
 
-def _writes(spark: SparkSession, path: str, state: Snapshot, earlier: bool) -> DataFrame:
+def _writes(spark: SparkSession, path: str, state: Snapshot, earlier: bool, without: Iterable[str] = ()) -> DataFrame:
     """Every write in the touched buckets and since, with ``_live`` as the version has it, null for new ones, and ``_apart`` for large files.
 
-    Without ``earlier`` the version's earlier writes are left out where no replaced attempt can have hidden them.
+    Without ``earlier`` the version's earlier writes are left out where no replaced attempt can have hidden them. Files named in
+    ``without`` are not read.
     """
-    touched, hit = set(state.touched()), {b for e in state.dead for b in e["buckets"]}
+    touched, hit = set(state.touched()), state.hit()
     rows = _fresh(spark, path, state).withColumns({"_live": F.lit(None).cast("boolean"), "_apart": F.lit(False)})
     for live in (True, False):
-        files = [f for f in state.files if f["live"] is live and f["bucket"] in (touched if live or earlier else hit)]
+        files = [f for f in state.files if f["live"] is live and f["bucket"] in (touched if live or earlier else hit) and _name(f) not in without]
         for apart in (True, False):
             some = [f for f in files if (f["rows"] >= APART) is apart]
             if some:
@@ -276,29 +310,69 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_part": F.shiftright("_row", _BITS.bit_length() - 1), "_place": F.col("_row") % _BITS})
 
 
-def _with_standing(spark: SparkSession, path: str, state: Snapshot, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``_live``: whether a write is now the last of its id.
+def _standing(spark: SparkSession, path: str, state: Snapshot, rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The places of the rows compared and whether they win, a row per place or, if they may be many, as ``_bitmaps``; and which of the two.
 
-    Only ids and stamps of the contested ids are compared, by a maximum that each task takes first, however often an id
-    was written. What comes out is broadcast, as a row per place if there are few, else as a bit per row of a file: the
-    whole rows are marked where they are read, and never shuffled for it.
+    Only ids and stamps of the contested ids are compared, however often an id was written.
     """
-    narrow = rows.select("chunk_id", F.struct(*[F.col(c) if isinstance(c, str) else c for c in _recency()], "batch_id", "attempt").alias("_at"), "_file", "_row")
+    narrow = rows.select("chunk_id", _stamp("batch_id", "attempt").alias("_at"), "_file", "_row")
     based = bool(state.files)
     if based:
         narrow = narrow.join(_contested(spark, path, state), "chunk_id", "left_semi")
-    # Nulls are the least in a struct, as they are last in the order of writes.
-    last = narrow.groupBy("chunk_id").agg(F.max(F.struct("_at", "_file", "_row")).alias("_last")).select("_last._file", "_last._row", F.lit(True).alias("_wins"))
+    last = _last(narrow)
     # The rows compared are at most those of the new batches and as many of the version as there are in their buckets, both counted.
     if sum(e["rows"] for e in state.fresh) + sum(f["rows"] for f in state.files if f["bucket"] in state.touched()) > PLACES:
         if based:  # rows of other ids stand as they did
             last = last.unionByName(narrow.select("_file", "_row", F.lit(False).alias("_wins")))
-        found = _placed(rows).join(F.broadcast(_bitmaps(last)), ["_file", "_part"], "left")
-        stands = F.when(_bit("_compared"), _bit("_winners")).otherwise(F.coalesce("_live", F.lit(False)))
-        return found.withColumn("_live", stands).select(*rows.columns)
+        return _bitmaps(last), True
     if based:
         last = narrow.select("_file", "_row").join(last, ["_file", "_row"], "left").select("_file", "_row", F.coalesce("_wins", F.lit(False)).alias("_wins"))
-    return rows.join(F.broadcast(last), ["_file", "_row"], "left").withColumn("_live", F.coalesce("_wins", "_live", F.lit(False))).drop("_wins")
+    return last, False
+
+
+def _marked(rows: DataFrame, places: DataFrame, packed: bool) -> DataFrame:
+    """``rows`` with ``_live``: whether a write is now the last of its id. The places are broadcast: whole rows are marked where they are read."""
+    if packed:
+        found = _placed(rows).join(F.broadcast(places), ["_file", "_part"], "left")
+        stands = F.when(_bit("_compared"), _bit("_winners")).otherwise(F.coalesce("_live", F.lit(False)))
+        return found.withColumn("_live", stands).select(*rows.columns)
+    return rows.join(F.broadcast(places), ["_file", "_row"], "left").withColumn("_live", F.coalesce("_wins", "_live", F.lit(False))).drop("_wins")
+
+
+def _with_standing(spark: SparkSession, path: str, state: Snapshot, rows: DataFrame) -> DataFrame:
+    return _marked(rows, *_standing(spark, path, state, rows))
+
+
+def _alike(state: Snapshot, bitmaps: DataFrame) -> dict[str, bool]:
+    """The large files of touched buckets, without rows of replaced attempts, whose rows all stand alike now: whether they are last writes."""
+    buckets = set(state.touched()) - state.hit()
+    large = [f for f in state.files if f["bucket"] in buckets and f["rows"] >= APART]
+    if not large:
+        return {}
+    name = F.regexp_extract("_file", "versions/v=[0-9]+/points/[^/]+/[^/]+/[^/]+$", 0)
+    bits = [F.sum(F.bitmap_count(F.col(c))).alias(c) for c in ("_compared", "_winners")]
+    counted = {r["name"]: r for r in bitmaps.where(name != "").groupBy(name.alias("name")).agg(*bits).collect()}
+    found = {}
+    for f in large:
+        r = counted.get(_name(f))
+        live = (r["_winners"] if r else 0) + (f["rows"] - (r["_compared"] if r else 0) if f["live"] else 0)
+        if live in (0, f["rows"]):
+            found[_name(f)] = live > 0
+    return found
+
+
+def _rounds(rows: DataFrame, n: int) -> list[Column]:
+    """Conditions that part rows by ranges of creation time, of which files in that order are not read whole; where times are few, by bucket too."""
+    parts = min(ROUNDS, -(-n // ROUND_ROWS))
+    if parts < 2:
+        return [F.lit(True)]
+    created = F.col("payload.created_at")
+    at = rows.agg(F.percentile_approx(F.unix_micros(created), [i / parts for i in range(1, parts)], 10_000).alias("at")).first()["at"]
+    cuts = [F.timestamp_micros(F.lit(x)) for x in sorted(set(at or ()))]
+    ranges = [(created >= low) & (created < high) for low, high in zip(cuts, cuts[1:])]
+    ranges = [created.isNull() | (created < cuts[0]), *ranges, created >= cuts[-1]] if cuts else [F.lit(True)]
+    each = -(-parts // len(ranges))
+    return [r & (F.col("bucket") % each == i) for r in ranges for i in range(each)]
 
 
 def _within(created: Column, start: datetime | None, end: datetime | None) -> Column:
@@ -347,8 +421,9 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
 def compact(spark: SparkSession, path: str, keep_earlier: bool = True) -> int:
     """Fold the batches since the last version into a new one and return its number; without any, the current one.
 
-    Only buckets that they touch are read and written again; the others stay where they are. Rows
-    are clustered by creation time within a file. Only new rows and those of small files are shuffled to their bucket. Without ``keep_earlier`` only the last write of
+    Only buckets that they touch are read and written again; the others stay where they are, and so do large files whose rows
+    all stand alike. Rows are clustered by creation time within a file. Only new rows and those of small files are shuffled to their
+    bucket, in rounds: shuffle files of a round are gone before the next. Without ``keep_earlier`` only the last write of
     each id is kept: a batch written again after that no longer gives back what it had hidden.
     """
     state = snapshot(spark, path)
@@ -356,19 +431,40 @@ def compact(spark: SparkSession, path: str, keep_earlier: bool = True) -> int:
         return state.version
     number, touched = state.version + 1, set(state.touched())
     target, buckets = f"versions/v={number}", _meta(spark, path)[2]
+    rows = _writes(spark, path, state, earlier=keep_earlier)
+    places, packed = _standing(spark, path, state, rows)
+    alike: dict[str, bool] = {}
+    if packed:  # compared once, for all rounds
+        places = kept(places, f"{path}/{target}/standing")
+        alike = _alike(state, places)
+        rows = _writes(spark, path, state, earlier=keep_earlier, without=alike)
     mine = [f for f in state.files if f["bucket"] in touched and f["rows"] < APART]
-    marked = _with_standing(spark, path, state, _writes(spark, path, state, earlier=keep_earlier)).withColumnRenamed("_live", "live")
+    marked = _marked(rows, places, packed).withColumnRenamed("_live", "live")
     marked = (marked if keep_earlier else marked.where("live")).withColumn("_created", F.col("payload.created_at"))
     placed = marked.withColumn("bucket", _bucket(buckets))
-    # Ranges of time make the files of a bucket; where a bucket is one file, its place is enough.
+    # Ranges of time make the files of a bucket; where a bucket is one file of a round, its place is enough: a task of its own if there are many rows.
     n = sum(x["rows"] for x in (*mine, *state.fresh))
     together, apart = placed.where(~F.col("_apart")), placed.where("_apart")
-    together = together.repartitionByRange("bucket", "live", "_created") if n > buckets * FILE_ROWS else together.repartition("bucket", "live")
-    if any(f["rows"] >= APART for f in state.files if f["bucket"] in touched):
-        together = together.unionByName(apart)
-    clustered = together.sortWithinPartitions("bucket", "live", "_created", "chunk_id").select(*_STORED.names, "bucket", "live")
-    clustered.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket", "live").parquet(f"{path}/{target}/points")
-    _list_files(spark, path, target, [f for f in state.files if f["bucket"] not in touched])
+    rounds = _rounds(rows.where(~F.col("_apart")), n)
+    for i, part in enumerate(rounds):
+        some = together.where(part)
+        if n > len(rounds) * buckets * FILE_ROWS:
+            some = some.repartitionByRange("bucket", "live", "_created")
+        elif packed:
+            some = some.repartitionById(2 * buckets, 2 * F.col("bucket") + F.col("live").cast("int"))
+        else:
+            some = some.repartition("bucket", "live")
+        if i == 0 and any(f["rows"] >= APART and _name(f) not in alike for f in state.files if f["bucket"] in touched):
+            some = some.unionByName(apart)
+        clustered = some.sortWithinPartitions("bucket", "live", "_created", "chunk_id").select(*_STORED.names, "bucket", "live")
+        with without_leftovers(spark):
+            clustered.write.mode("append" if i else "overwrite").options(**{
+                "compression": "zstd", "parquet.compression.codec.zstd.level": LEVEL, "maxRecordsPerFile": FILE_ROWS
+            }).partitionBy("bucket", "live").parquet(f"{path}/{target}/points")
+    stay = [{**f.asDict(), "live": alike.get(_name(f), f["live"])} for f in state.files if f["bucket"] not in touched or _name(f) in alike]
+    _list_files(spark, path, target, [[f[c] for c in _FILE.names] for f in stay if keep_earlier or f["live"] or f["bucket"] not in touched])
+    if packed:
+        removed(f"{path}/{target}/standing")
     covered = _covered(spark, path, state.version)
     if state.dead:
         covered = covered.where(~F.col("attempt").isin([e["attempt"] for e in state.dead]))
@@ -378,8 +474,8 @@ def compact(spark: SparkSession, path: str, keep_earlier: bool = True) -> int:
     return number
 
 
-def _list_files(spark: SparkSession, path: str, target: str, others: list[Row]) -> None:
-    """The files of a version: those just written, of which only the creation times are read, and those of untouched buckets."""
+def _list_files(spark: SparkSession, path: str, target: str, others: list[list]) -> None:
+    """The files of a version: those just written, of which only the creation times are read, and those that stay."""
     schema = T.StructType([
         T.StructField("payload", T.StructType([PAYLOAD["created_at"]])), T.StructField("bucket", T.IntegerType()), T.StructField("live", T.BooleanType()),
     ])

@@ -221,3 +221,61 @@ def test_a_task_of_the_sink_holds_little(spark, path):
     files = list(Path(path).glob("log/*/*/*/state=ok/*.parquet"))
     groups = [m.row_group(g) for f in files for m in [pq.read_metadata(f)] for g in range(m.num_row_groups)]
     assert sum(g.num_rows for g in groups) == 12000 and max(g.total_byte_size for g in groups) < 12 << 20
+
+
+def test_a_large_compaction_goes_in_rounds_and_leaves_whole_files(spark, path, monkeypatch):
+    """A round holds some of the rows; a file whose rows are all hidden now is only listed anew."""
+    monkeypatch.setattr(collection, "PLACES", 0)
+    monkeypatch.setattr(collection, "APART", 1)
+    monkeypatch.setattr(collection, "ROUND_ROWS", 100)
+    ids = [f"i{n}" for n in range(400)]
+    upsert(points(spark, *[(i, 1 + n % 20) for n, i in enumerate(ids)]), path, "r", 0)
+    compact(spark, path)
+    first = {(f["folder"], f["file"]) for f in snapshot(spark, path).files}
+    per_bucket = {}
+    for f in snapshot(spark, path).files:
+        per_bucket.setdefault(f["bucket"], []).append((f["low"], f["high"]))
+    assert all(len(x) == 4 and all(a[1] < b[0] for a, b in zip(sorted(x), sorted(x)[1:])) for x in per_bucket.values())
+    upsert(points(spark, *[(i, 3 + n % 20) for n, i in enumerate(ids)]), path, "r", 1)
+    compact(spark, path)
+    files = snapshot(spark, path).files
+    assert {(f["folder"], f["file"]) for f in files if not f["live"]} == first
+    assert sum(f["rows"] for f in files if f["live"]) == 400 and not Path(path, "versions/v=2/standing").exists()
+    assert sum(pq.read_metadata(f).num_rows for f in Path(path).glob("versions/v=2/points/*/*/*.parquet")) == 400
+    assert view(spark, path) == {i: 3 + n % 20 for n, i in enumerate(ids)} and view(spark, path, version=1) == {i: 1 + n % 20 for n, i in enumerate(ids)}
+    # Files with rows of both kinds, and of a batch that is written again, are written again.
+    upsert(points(spark, *[(i, 28) for i in ids[::3]]), path, "r", 2)
+    compact(spark, path)
+    wanted = {i: 28 if n % 3 == 0 else 3 + n % 20 for n, i in enumerate(ids)}
+    assert view(spark, path) == wanted
+    upsert(points(spark, ("i1", 2)), path, "r", 1)
+    wanted = {i: 28 if n % 3 == 0 else 1 + n % 20 for n, i in enumerate(ids)} | {"i1": 2}
+    assert view(spark, path) == wanted
+    compact(spark, path)
+    vacuum(spark, path, grace=timedelta(0))
+    assert view(spark, path) == wanted
+    upsert(points(spark, ("i2", 27)), path, "r", 3)
+    compact(spark, path, keep_earlier=False)
+    assert view(spark, path) == wanted | {"i2": 27} and all(f["live"] for f in snapshot(spark, path).files if f["bucket"] == bucket_of(spark, "i2"))
+
+
+@pytest.mark.parametrize("days", [[1], [None], [1, 1, 1, 1, 2, None], list(range(1, 29))])
+def test_rounds_part_all_rows(spark, monkeypatch, days):
+    monkeypatch.setattr(collection, "ROUND_ROWS", 100)
+    rows = [(n, n % 16, (datetime(2024, 1, days[n % len(days)]) if days[n % len(days)] else None,)) for n in range(600)]
+    made = spark.createDataFrame(rows, "n int, bucket int, payload struct<created_at timestamp>")
+    found = [[r["n"] for r in made.where(part).collect()] for part in collection._rounds(made, 600)]
+    assert sorted(sum(found, [])) == list(range(600)) and len(found) >= 6 and max(map(len, found)) <= 300
+    assert len(collection._rounds(made, 100)) == 1
+
+
+def test_latest_of_a_table_is_the_latest(spark, tmp_path, plan):
+    rng = random.Random(7)
+    rows = [(f"i{rng.randrange(60)}", rng.randint(1, 9)) for _ in range(400)]
+    made = points(spark, *rows).unionByName(points(spark, *rows[:50])).withColumn("chunk_id", F.when(F.col("article_id") < 9, F.col("chunk_id")))
+    made = made.withColumn("updated_at", F.when(F.col("article_id") % 2 == 0, F.col("updated_at"))).repartition(5)
+    found = collection.latest_points_kept(made, f"{tmp_path}/kept")
+    key = lambda r: (r["chunk_id"] or "", r["updated_at"], r["article_id"], r["payload"]["created_at"])
+    assert found.columns == made.columns
+    assert sorted(map(str, map(key, found.collect()))) == sorted(map(str, map(key, collection.latest_points(made).collect())))
+    assert "Exchange" not in plan(found).split("BroadcastExchange")[0]  # whole rows are not shuffled

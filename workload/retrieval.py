@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -10,9 +10,9 @@ from newsprep import operators as op
 from newsprep import plans
 from newsprep.functions.prompts import ABOUT, CLOSE, HISTORY, INSTRUCTION, NEWS, OPEN, QUESTION
 from newsprep.operators.history import AI, HUMAN
-from newsprep.session import materialize, work_dir
+from newsprep.session import kept, materialize, removed, work_dir
 from newsprep.sources import (
-    append_log, compact, ensure_collection, prompt_log, read_collection, read_log, read_rejects, upsert, write_answers,
+    append_log, compact, ensure_collection, prompt_log, read_collection, read_log, read_rejects, upsert, vacuum, write_answers,
 )
 
 from .common import (
@@ -285,15 +285,22 @@ def log_if_metadata(spark, sf_dir):
 
 
 def _written(spark, sf_dir):
-    """A collection written in two batches of which the first is written twice, then the second compacted."""
+    """A collection written in two batches of which the first is written twice, then the second compacted.
+
+    What nothing reads any more goes: chunks, points, and the files of a batch that was folded in.
+    """
     path = work_dir(spark, "collection")
     ensure_collection(spark, path, DIM)
-    made = points(spark, sf_dir)
+    chunks, folder = work_dir(spark, "chunks"), work_dir(spark, "points")
+    made = kept(plans.news_points(news(spark, sf_dir), dim=DIM, max_tokens=WORDS, folder=chunks).drop("chunk"), folder)
+    removed(chunks)
     older = F.col("article_id") % 2 == 0
     upsert(made.where(older), path, "a", 0)
     upsert(made.where(older), path, "a", 0)
     compact(spark, path)
+    vacuum(spark, path, grace=timedelta(0))  # nobody else reads it
     upsert(made, path, "b", 0)
+    removed(folder)
     return path
 
 
